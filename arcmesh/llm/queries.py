@@ -36,6 +36,12 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcmesh.llm.neardup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcmesh.llm.exactdup import exact_dedup
 
@@ -48,7 +54,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op4_bpe_round_trip, op7_exact_dedup, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op3_source_mix, op4_bpe_round_trip, op6_near_dedup, op7_exact_dedup, op8_language_id)}
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op7_exact_dedup"] = r"""
 WITH d AS (
