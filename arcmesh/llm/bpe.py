@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcmesh.llm.store import arrow_rows, keyed, parts
-from arcmesh.llm.textblocks import buffers, chunks
+from arcmesh.llm.textblocks import buffers
+from arcmesh.llm.wordjoin import BLOCK, PAYLOAD, blocks, opened, payloads
 
-BLOCK = 24 << 20
 #: Words handled at a time when a block's ids are laid out.
 SPAN = 400_000
 
@@ -58,56 +58,9 @@ def split(off: np.ndarray, raw: np.ndarray) -> tuple[pa.LargeBinaryArray, np.nda
     return found, np.diff(np.searchsorted(at, off))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table, np.ndarray, pa.Array]]:
-    """Block number, rows (rk, doc_id, words), index of each word into the block's distinct words, those."""
-    from pyspark import TaskContext
-
-    k, held = TaskContext.get().partitionId() << 24, 0
-    rows: list[pa.RecordBatch] = []
-    found: list[pa.Array] = []
-
-    def out() -> tuple[int, pa.Table, np.ndarray, pa.Array]:
-        coded = pa.concat_arrays(found).dictionary_encode()
-        return k, pa.Table.from_batches(rows), coded.indices.to_numpy(), coded.dictionary
-
-    for batch in batches:
-        off, raw = buffers(batch.column("text"))
-        for a, b in chunks(off):
-            words, per = split(off[a : b + 1] - off[a], raw[off[a] : off[b]])
-            part = batch.slice(a, b - a)
-            rows.append(pa.RecordBatch.from_arrays([part.column("rk"), part.column("doc_id"), pa.array(per)], ["rk", "doc_id", "words"]))
-            found.append(words)
-            held += int(off[b] - off[a]) + 64 * (b - a)
-            if held >= size:
-                yield out()
-                k, held, rows, found = k + 1, 0, [], []
-    if rows:
-        yield out()
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Indices by byte plane, which packs better."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def _unplanes(x: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
-
-
-def _ipc(t: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema) as w:
-        w.write_table(t.combine_chunks())
-    return sink.getvalue().to_pybytes()
-
-
 def _requests(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, _, _, distinct in _blocks(batches, size):
+        for k, _, _, distinct in blocks(batches, size, split):
             whole = pa.RecordBatch.from_arrays([distinct.cast(pa.binary()), pa.array(np.full(len(distinct), k)), pa.array(np.arange(len(distinct), dtype=np.int32))], ["word", "block", "at"])
             for i in range(0, len(distinct), 50_000):
                 yield whole.slice(i, 50_000)
@@ -115,14 +68,6 @@ def _requests(size: int):
     return run
 
 
-def _payloads(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, rows, index, distinct in _blocks(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(distinct)], pa.int32()), pa.array([_ipc(rows)], pa.binary()), pa.array([_planes(index)], pa.binary())], ["block", "distinct", "rows", "index"])
-
-    return run
-
-
 class Vocabulary:
     """A tokenizer file, read once by the driver and sent to the tasks as text."""
 
@@ -168,15 +113,7 @@ def _encode(text, kind: str):
 
 def _laid(kind: str, left: pa.Table, right: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """For spans of a block's documents: rows (rk, doc_id), the offsets of each in the ids, the ids."""
-    if left.num_rows != 1:
-        raise ValueError("a block came back with other contents: the input isn't replayable")
-    rows = pa.ipc.open_stream(left.column("rows")[0].as_py()).read_all().combine_chunks()
-    index = _unplanes(left.column("index")[0].as_py())
-    at = right.column("at").to_numpy()
-    if len(at) != left.column("distinct")[0].as_py() or len(at) and at.max() != len(at) - 1:
-        raise ValueError("a block's words came back in other numbers: the input isn't replayable")
-    place = np.empty(len(at), np.int64)
-    place[at] = np.arange(len(at))
+    rows, index, place = opened(left, right)
     off, raw = buffers(right.column("ids"))
     flat, off = raw.view(kind), off // np.dtype(kind).itemsize
     first, size = off[:-1][place], np.diff(off)[place]
@@ -202,7 +139,7 @@ def _joined(docs: DataFrame, vocabulary: Vocabulary, block: int):
     text = docs.sparkSession.sparkContext.broadcast(vocabulary.text)  # the vocabulary's own size
     n = parts(docs)
     table = rows.mapInArrow(_requests(block), "word binary, block long, at int").repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode(text, vocabulary.kind), "block long, at int, ids binary")
-    payload = rows.mapInArrow(_payloads(block), "block long, distinct int, rows binary, index binary")
+    payload = rows.mapInArrow(payloads(block, split), PAYLOAD)
     return payload.groupBy("block").cogroup(table.groupBy("block"))
 
 
