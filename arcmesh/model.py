@@ -1,0 +1,8 @@
+"""Schemas of the topology tables."""
+
+POINT = "struct<x:double,y:double>"
+POINTS = f"array<{POINT}>"
+FEATURES = "object_name string, layer int, fid long, id string, id_is_int boolean, type string, properties string"
+RINGS = "ring_id long, layer int, fid long, geom_path array<int>, part_idx int, ring_idx int, geom_type string, is_ring boolean"
+VERTICES = "ring_id long, pos int, x double, y double"
+POINT_ROWS = "layer int, fid long, geom_path array<int>, geom_type string, part_idx int, x double, y double"
