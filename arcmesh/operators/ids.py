@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 def dense_ids(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """df with 0..n-1 in the given order: range partitions, their sizes, then places within them. Only
     the sizes, a row per partition, come to the driver."""
+    from arcmesh.sources.features import local
+
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
     part = F.shiftright("_place", 33)
@@ -20,5 +22,5 @@ def dense_ids(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFr
     for r in sizes:
         starts.append((r.p, total))
         total += r.n
-    at = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    at = F.broadcast(local(df.sparkSession, starts, "_part long, _start long"))
     return placed.join(at, part == at._part).withColumn(name, (F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_place", "_part", "_start")

@@ -43,6 +43,7 @@ class Topology:
         self.options = options or TopologyOptions(**own)
         self.spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         self.invalid = 0
+        self._depth = 2  # levels of collections that a table may hold
         self._encoded: dict | None = None
         if isinstance(data, str):
             data = json.loads(data)
@@ -69,7 +70,9 @@ class Topology:
             for t in tables[1:]:
                 out = out.unionByName(t)
             return out
-        return sources.table(self.spark, [self._layer(x) for x in layers])
+        own = [self._layer(x) for x in layers]
+        self._depth = sources.depth_of(own)
+        return sources.table(self.spark, own)
 
     def _layer(self, x: Any) -> list[dict]:
         if isinstance(x, str):
@@ -119,7 +122,8 @@ class Topology:
             for fid, g in enumerate(top["geometries"] if top["type"] == "GeometryCollection" else [top]):
                 key = g.get("id", fid)
                 rows.append((layer, fid, str(key), isinstance(key, int), g["type"], json.dumps(g["properties"]) if g.get("properties") is not None else None, json.dumps(walk(layer, fid, g, []))))
-        make = self.spark.createDataFrame
+        make = lambda own, schema: sources.local(self.spark, own, schema)
+        self._depth = sources.depth_of([[{"geometry": r[6], "type": r[4]} for r in rows]])
         self.features = make(rows, sources.COLUMNS)
         self.__dict__["rings"] = make(rings, "ring_id long, layer int, fid long, geom_path array<int>, part_idx int, ring_idx int, geom_type string").withColumn("is_ring", F.col("geom_type").isin("Polygon", "MultiPolygon"))
         self.__dict__["refs"] = make(refs, "ring_id long, seq int, arc_id int, signed_ref int")
@@ -132,7 +136,7 @@ class Topology:
     @cached_property
     def _lines(self) -> DataFrame:
         """Every line and ring with its points and number, wound and simplified beforehand."""
-        own = sources.lines(sources.leaves(self.features)).withColumn("is_ring", F.col("geom_type").isin("Polygon", "MultiPolygon"))
+        own = sources.lines(sources.leaves(self.features, self._depth)).withColumn("is_ring", F.col("geom_type").isin("Polygon", "MultiPolygon"))
         if self.options.winding_order:
             own = own.withColumn("pts", F.when(F.col("is_ring"), geom.ring_winding("pts", F.col("ring_idx") == 0, self.options.winding_order)).otherwise(F.col("pts")))
         own = dense_ids(own, ["layer", "fid", "geom_path", "part_idx", "ring_idx"], "ring_id")
@@ -144,7 +148,7 @@ class Topology:
 
     @cached_property
     def _plain_points(self) -> DataFrame:
-        return sources.points(sources.leaves(self.features))
+        return sources.points(sources.leaves(self.features, self._depth))
 
     @cached_property
     def bbox(self) -> tuple[float, float, float, float] | None:
@@ -257,7 +261,7 @@ class Topology:
 
     def _after(self, final: tuple, options: TopologyOptions) -> Topology:
         out = Topology(spark=self.spark, options=options)
-        for name in ("features", "rings", "refs"):
+        for name in ("features", "rings", "refs", "_depth"):
             out.__dict__[name] = getattr(self, name)
         out.__dict__["_final"] = final
         return out
@@ -317,12 +321,12 @@ class Topology:
         parts = own.groupBy("fid", "geom_path", "geom_type", "part_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring_idx", pairs("pts").alias("c")))), lambda v: v["c"]).alias("rings"))
         whole = parts.groupBy("fid", "geom_path", "geom_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("part_idx", "rings"))), lambda v: v["rings"]).alias("c"))
         flat = F.expr("case geom_type when 'MultiPolygon' then to_json(c) when 'Polygon' then to_json(c[0]) when 'MultiLineString' then to_json(transform(c, r -> r[0])) else to_json(c[0][0]) end")
-        _, points = self._plain(self._final_points())
+        _, points = self._plain(self._final)
         dots = points.filter(F.col("layer") == layer).groupBy("fid", "geom_path", "geom_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("part_idx", F.array("x", "y").alias("c")))), lambda v: v["c"]).alias("c"))
         dots = dots.select("fid", "geom_path", "geom_type", F.expr("if(geom_type = 'Point', to_json(c[0]), to_json(c))").alias("coords"))
         leaf = whole.select("fid", "geom_path", "geom_type", flat.alias("coords")).union(dots).select("fid", "geom_path", F.format_string('{"type":"%s","coordinates":%s}', "geom_type", "coords").alias("g"))
         # collections are put together from the deepest level up
-        for depth in (4, 3, 2, 1):
+        for depth in range(self._depth, 0, -1):
             deep = leaf.filter(F.size("geom_path") == depth)
             joined = deep.groupBy("fid", F.slice("geom_path", 1, depth - 1).alias("geom_path")).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(F.element_at("geom_path", depth).alias("i"), "g"))), lambda v: v["g"])).alias("g"))
             leaf = leaf.filter(F.size("geom_path") < depth).union(joined.select("fid", "geom_path", F.format_string('{"type":"GeometryCollection","geometries":[%s]}', "g")))
@@ -339,13 +343,9 @@ class Topology:
             out = to_wkb(out)
         return out
 
-    def _final_points(self) -> tuple:
-        return self._final
-
     def geojson_rows(self, **how) -> DataFrame:
         """value: a GeoJSON feature per row, for a text sink."""
         own = self.to_dataframe(**how)
-        key = F.expr("if(id_is_int, id, to_json(named_struct('v', id)))")
         key = F.when(F.col("id_is_int"), F.col("id")).otherwise(F.regexp_extract(F.to_json(F.struct(F.col("id").alias("v"))), r'^\{"v":(.*)\}$', 1))
         return own.select("fid", F.format_string('{"type":"Feature","id":%s,"properties":%s,"geometry":%s}', key, F.coalesce("properties", F.lit("{}")), F.coalesce("geometry", F.lit("null"))).alias("value"))
 

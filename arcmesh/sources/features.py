@@ -108,9 +108,25 @@ def normalise(data: Any, ignore_index: bool = False) -> tuple[list[dict], int]:
     return from_items(data.items())
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of driver rows that needs no Python task to be read."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow), schema=schema)
+
+
 def table(spark: SparkSession, layers: list[list[dict]]) -> DataFrame:
-    rows = [(k, f["fid"], f["id"], f["id_is_int"], f["type"], f["properties"], f["geometry"]) for k, own in enumerate(layers) for f in own]
-    return spark.createDataFrame(rows, COLUMNS)
+    return local(spark, [(k, f["fid"], f["id"], f["id_is_int"], f["type"], f["properties"], f["geometry"]) for k, own in enumerate(layers) for f in own], COLUMNS)
+
+
+def depth_of(layers: list[list[dict]]) -> int:
+    """Levels of collections in features that the driver holds."""
+    level = lambda g: 1 + max(map(level, g.get("geometries") or [{}])) if g.get("type") == "GeometryCollection" else 0
+    return max((level(json.loads(f["geometry"])) for own in layers for f in own if f["type"] == "GeometryCollection" and f["geometry"]), default=0)
 
 
 def from_table(df: DataFrame, geometry: str = "geometry", id_col: str | None = None, layer: int = 0) -> DataFrame:
@@ -147,7 +163,7 @@ def read_geojson(spark: SparkSession, path: str, ignore_index: bool = False, lay
     return out
 
 
-def leaves(features: DataFrame, depth: int = 4) -> DataFrame:
+def leaves(features: DataFrame, depth: int = 2) -> DataFrame:
     """layer, fid, geom_path, geom_type, geometry: collections opened, down to `depth` levels."""
     now = features.select("layer", "fid", F.array().cast("array<int>").alias("geom_path"), F.col("type").alias("geom_type"), "geometry")
     out = now.filter("geom_type <> 'GeometryCollection'")
@@ -158,29 +174,26 @@ def leaves(features: DataFrame, depth: int = 4) -> DataFrame:
     return out
 
 
-def _nested(leaf: DataFrame, kind: str, levels: int) -> DataFrame:
-    coords = F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<" * levels + "double" + ">" * levels)
-    return leaf.filter(F.col("geom_type") == kind).withColumn("c", coords)
-
-
-def _points(c: str) -> F.Column:
-    return F.transform(F.col(c), lambda v: F.struct(v[0].alias("x"), v[1].alias("y")))
-
-
 def lines(leaf: DataFrame) -> DataFrame:
     """layer, fid, geom_path, geom_type, part_idx, ring_idx, pts of every line and ring that has points."""
     keep = ["layer", "fid", "geom_path", "geom_type"]
-    zero = F.lit(0)
-    a = _nested(leaf, "LineString", 2).select(*keep, zero.alias("part_idx"), zero.alias("ring_idx"), "c")
-    b = _nested(leaf, "MultiLineString", 3).select(*keep, F.posexplode("c").alias("part_idx", "c")).select(*keep, "part_idx", zero.alias("ring_idx"), "c")
-    c = _nested(leaf, "Polygon", 3).select(*keep, F.posexplode("c").alias("ring_idx", "c")).select(*keep, zero.alias("part_idx"), "ring_idx", "c")
-    d = _nested(leaf, "MultiPolygon", 4).select(*keep, F.posexplode("c").alias("part_idx", "p")).select(*keep, "part_idx", F.posexplode("p").alias("ring_idx", "c"))
-    return a.unionByName(b).unionByName(c).unionByName(d).filter("size(c) > 0").select(*keep, "part_idx", "ring_idx", _points("c").alias("pts"))
+    four, three = "array<array<array<array<double>>>>", "array<array<array<double>>>"
+    c = F.get_json_object("geometry", "$.coordinates")
+    # every kind as parts of rings of points
+    parts = (
+        F.when(F.col("geom_type") == "MultiPolygon", F.from_json(c, four))
+        .when(F.col("geom_type") == "Polygon", F.array(F.from_json(c, three)))
+        .when(F.col("geom_type") == "MultiLineString", F.transform(F.from_json(c, three), lambda v: F.array(v)))
+        .when(F.col("geom_type") == "LineString", F.from_json(F.concat(F.lit("[["), c, F.lit("]]")), four))
+    )
+    own = leaf.filter(F.col("geom_type").isin("LineString", "MultiLineString", "Polygon", "MultiPolygon")).select(*keep, F.posexplode(parts).alias("part_idx", "p")).select(*keep, "part_idx", F.posexplode("p").alias("ring_idx", "c"))
+    return own.filter("size(c) > 0").select(*keep, "part_idx", "ring_idx", F.transform("c", lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))).alias("pts"))
 
 
 def points(leaf: DataFrame) -> DataFrame:
     """layer, fid, geom_path, geom_type, part_idx, x, y of every point."""
     keep = ["layer", "fid", "geom_path", "geom_type"]
-    a = _nested(leaf, "Point", 1).filter("size(c) > 1").select(*keep, F.lit(0).alias("part_idx"), F.col("c")[0].alias("x"), F.col("c")[1].alias("y"))
-    b = _nested(leaf, "MultiPoint", 2).select(*keep, F.posexplode("c").alias("part_idx", "p")).select(*keep, "part_idx", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
-    return a.union(b)
+    c = F.get_json_object("geometry", "$.coordinates")
+    own = F.from_json(F.when(F.col("geom_type") == "Point", F.concat(F.lit("["), c, F.lit("]"))).otherwise(c), "array<array<double>>")
+    dots = leaf.filter(F.col("geom_type").isin("Point", "MultiPoint")).select(*keep, F.posexplode(own).alias("part_idx", "p"))
+    return dots.filter("size(p) > 1").select(*keep, "part_idx", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
