@@ -4,11 +4,14 @@ Two small collections of m band hashes (of `rows` minhashes each) are computed p
 pairs of one hash from either make the table keys, so m * m tables of 2 * rows minhashes cost 2 * m * rows
 minhashes. Documents of equal shingle sets are one class from the start. In each bucket every class is
 first held against the bucket's smallest (its hub); after the links so found, only classes of a bucket
-that are still in different components are held against each other, so a large group of near copies
-costs a link per member and not all pairs. All links are confirmed on the full shingle sets.
+that are still in different components are held against each other, once and only where their bit sketches
+agree, so a large group of near copies costs a link per member and not all pairs. All links are confirmed
+on the full shingle sets.
 
-With the defaults a pair of similarity 0.8 shares no table with probability 7e-5, and a pair is left
-out before the full comparison only if under 17 of its 40 minhashes agree (1e-8 at 0.8).
+With the defaults a pair of similarity 0.8 shares no table with probability 7e-5. A sketch has a bit of
+each of 64 * LONGS further minhashes, of documents that share a bucket; two sketches of similarity J agree
+in (1 + J) / 2 of them, and a pair is left out before the full comparison only if they agree 4.5 standard
+deviations less often than at 0.8 (4e-6).
 
 Nulls: a null text has no shingles and is linked with nothing, as are empty texts; a null doc_id is kept
 and is a component's id only if no member has one. Repeated rows are one class. Empty tables give empty
@@ -33,6 +36,9 @@ from arcmesh.llm.textblocks import buffers, chunks, hash_words, mix64, rolling,
 #: Band hashes in each of the two collections, and minhashes in a band hash.
 BANDS, ROWS = 10, 2
 PERCENT = 80
+#: Sketch bits / 64, and the bits that must agree.
+LONGS = 16
+AGREE = int(64 * LONGS * (0.9 - 4.5 * (0.09 / (64 * LONGS)) ** 0.5))
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -57,8 +63,8 @@ def _signatures(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = np.random.default_rng(20240607)
         k = 2 * bands * rows
-        mul = draw.integers(1, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        add = draw.integers(0, 1 << 63, k, dtype=np.uint64)
+        mul = draw.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1)
+        flip = draw.integers(0, 1 << 32, k, dtype=np.uint32)
         for batch in batches:
             sets = [s for _, s in shingle_sets(batch.column("text"), width)]
             n = np.array([len(s) for s in sets], np.int64)
@@ -66,10 +72,10 @@ def _signatures(width: int, bands: int, rows: int):
             have = np.flatnonzero(n)
             for at in range(0, len(have), 500):
                 own = have[at : at + 500]
-                flat = np.concatenate([sets[i] for i in own])
+                flat = (np.concatenate([sets[i] for i in own]) >> np.uint64(32)).astype(np.uint32)
                 starts = np.cumsum(n[own]) - n[own]
                 for j in range(k):
-                    least[own, j] = np.minimum.reduceat(((flat * mul[j] + add[j]) >> np.uint64(32)).astype(np.uint32), starts)
+                    least[own, j] = np.minimum.reduceat((flat ^ flip[j]) * mul[j], starts)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             flat = pa.array(least.reshape(-1).view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("rk"), batch.column("doc_id"), pa.array(n), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * k), flat)], ["rk", "doc_id", "n", "digest", "sig"])
@@ -77,6 +83,23 @@ def _signatures(width: int, bands: int, rows: int):
     return run
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """LONGS words of minhash bits of each set (not empty)."""
+    draw = np.random.default_rng(7)
+    k = 64 * LONGS
+    flip, mul, pick = (draw.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(f) for f in (0, 1, 1))
+    out = np.zeros((len(sets), LONGS), np.uint64)
+    for at in range(0, len(sets), 400):
+        own = sets[at : at + 400]
+        n = np.array([len(x) for x in own])
+        flat = (np.concatenate(own) >> np.uint64(32)).astype(np.uint32)
+        starts = np.cumsum(n) - n
+        for j in range(k):
+            least = np.minimum.reduceat((flat ^ flip[j]) * mul[j], starts)
+            out[at : at + 400, j // 64] |= (least * pick[j] >> np.uint32(31)).astype(np.uint64) << np.uint64(j % 64)
+    return out
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,17 +107,17 @@ def _sets(width: int):
             ends = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(s) for s in sets], out=ends[1:])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["cid", "shingles"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LONGS), pa.array(sketches(sets).reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array(np.diff(ends).astype(np.int64)), bits, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["cid", "n", "bits", "shingles"])
 
     return run
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """pairs (a, b) whose sizes and minhashes allow the similarity."""
-    own = classes.select("cid", "n", "sig")
-    both = pairs.join(own.toDF("a", "na", "sa"), "a").join(own.toDF("b", "nb", "sb"), "b")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return both.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).filter(agree >= least).select("a", "b")
+def _alike(a: str, b: str):
+    """Whether the sizes and sketches of two columns (struct of n and bits) allow the similarity."""
+    apart = sum((F.bit_count(F.get(F.col(f"{a}.bits"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.bits"), F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    sizes = 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= PERCENT * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
+    return sizes & (apart <= 64 * LONGS - AGREE)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -104,6 +127,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("shared", shared).filter(100 * F.col("shared") >= PERCENT * (F.size("ta") + F.size("tb") - F.col("shared"))).select("a", "b")
 
 
+def table_key(i, x, j, y):
+    """Key of table (i, j): a pair of band hashes, one of each collection."""
+    return F.xxhash64(i.cast("int"), x, j.cast("int"), y)
+
+
 def near_dedup(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """rk, doc_id, n_shingles, component_id, keep_rk, kept for each row of docs: the components of links
     of similarity 0.8 or more between the sets of width-word shingles."""
@@ -116,22 +144,27 @@ def near_dedup(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int =
     half = bands * rows
     # the hashes of both collections are computed once per class, then paired
     halves = classes.select("cid", *[F.array(*[F.xxhash64(F.slice("sig", F.lit(j * rows + base + 1), rows)) for j in range(bands)]).alias(name) for name, base in (("p", 0), ("q", half))])
-    keys = halves.select("cid", F.posexplode("p").alias("i", "x"), "q").select("cid", "i", "x", F.posexplode("q").alias("j", "y")).select("cid", F.xxhash64("i", "x", "j", "y").alias("key"))
+    keys = halves.select("cid", F.posexplode("p").alias("i", "x"), "q").select("cid", "i", "x", F.posexplode("q").alias("j", "y")).select("cid", table_key(F.col("i"), F.col("x"), F.col("j"), F.col("y")).alias("key"))
     per_key = Window.partitionBy("key")
     buckets = written(keys.withColumn("hub", F.min("cid").over(per_key)).withColumn("last", F.max("cid").over(per_key)).filter("hub <> last").select("key", "cid", "hub"), "buckets")
-    least = int(0.4 * 2 * half) + 1
-    star = _alike(buckets.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), classes, least)
-    star = written(star, "star")
     wanted = buckets.select(F.col("cid").alias("rk")).distinct()
-    sets = written(texts.join(wanted, "rk", "left_semi").select("rk", "text").mapInArrow(_sets(width), "cid long, shingles array<long>"), "sets")
-    links = written(_confirmed(star, sets), "links")
+    sets = written(texts.join(wanted, "rk", "left_semi").select("rk", "text").mapInArrow(_sets(width), "cid long, n long, bits array<long>, shingles array<long>"), "sets")
+    brief = sets.select("cid", F.struct("n", "bits").alias("s"))
+    star = buckets.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    star = written(star.join(brief.toDF("a", "x"), "a").join(brief.toDF("b", "y"), "b").filter(_alike("x", "y")).select("a", "b"), "star")
+    links = written(_confirmed(star, sets.select("cid", "shingles")), "links")
     found = components(links)
-    # classes of a bucket that the hubs have not brought together
+    # classes of a bucket that the hubs have not brought together; a pair comes from its first common table
     placed = buckets.join(found.withColumnRenamed("v", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
     split = placed.withColumn("lo", F.min("comp").over(per_key)).withColumn("hi", F.max("comp").over(per_key)).filter("lo <> hi").select("key", "cid", "comp")
-    x, y = split.toDF("key", "a", "ca"), split.toDF("key", "b", "cb")
-    rest = x.join(y, "key").filter("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = written(_confirmed(written(_alike(rest, classes, least), "rest"), sets), "links")
+    split = split.join(brief, "cid").join(halves, "cid").select("key", "cid", "comp", "s", "p", "q")
+    x, y = split.toDF("key", "a", "ca", "x", "xp", "xq"), split.toDF("key", "b", "cb", "y", "yp", "yq")
+    same = lambda u, v: F.array_position(F.zip_with(u, v, lambda e, f: e == f), True)
+    i, j = same("xp", "yp"), same("xq", "yq")
+    first_table = (i > 0) & (j > 0) & (F.col("x_key") == table_key(i - 1, F.element_at("xp", i.cast("int")), j - 1, F.element_at("xq", j.cast("int"))))
+    pairs = x.withColumnRenamed("key", "x_key").join(y, (F.col("x_key") == F.col("key")) & F.expr("a < b and ca <> cb") & _alike("x", "y") & first_table)
+    rest = pairs.select("a", "b").join(star, ["a", "b"], "left_anti")
+    more = written(_confirmed(rest, sets.select("cid", "shingles")), "links")
     label = components(links.union(more))
     placed = classes.join(label.withColumnRenamed("v", "cid"), "cid", "left").select("digest", "first", F.coalesce("label", "cid").alias("comp"))
     whole = placed.groupBy("comp").agg(F.min("first").alias("keep"))
