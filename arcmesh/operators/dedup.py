@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from arcmesh.functions import geom
 from arcmesh.operators.ids import dense_ids
+from arcmesh.operators.tables import settled
 
 
 def matched(slots: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def matched(slots: DataFrame) -> DataFrame:
 def arcs_and_refs(slots: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame]:
     """arcs (arc_id, pts, is_shared) numbered densely in slot order, and refs (ring_id, seq, arc_id,
     signed_ref): the arc, or -arc - 1 if it runs backward. parity: a line of a single arc has no sign."""
-    found = matched(slots)
+    found = settled(matched(slots))
     kept = found.filter(F.expr("keep.ring_id = ring_id and keep.seq = seq")).select("ring_id", "seq", "pts", (F.col("copies") > 1).alias("is_shared"))
     arcs = dense_ids(kept, ["ring_id", "seq"], "arc_id")
     ids = arcs.select(F.struct("ring_id", "seq").alias("keep"), "arc_id")
@@ -40,7 +41,7 @@ def merge_contiguous(slots: DataFrame) -> DataFrame:
     """slots where neighbours of a line that nothing else needs apart are one: a cut is undone where both
     sides belong to this line alone and no third piece ends in its point; the last piece of a closed line
     meets its first likewise."""
-    found = matched(slots).withColumn("shared", F.col("copies") > 1)
+    found = settled(matched(slots)).withColumn("shared", F.col("copies") > 1)
     first, last = F.get("pts", F.lit(0)), F.get("pts", F.size("pts") - 1)
     ends = found.select(F.explode(F.array(first, last)).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     w = Window.partitionBy("ring_id").orderBy("seq")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from arcmesh.operators import cut, dedup, junctions
+from arcmesh.operators.tables import settled
 
 
 @dataclass(frozen=True)
@@ -19,7 +20,7 @@ class Encoded:
 
 def encode(verts: DataFrame, cell: float, shared_coords: bool = False, exact: bool = True) -> Encoded:
     """verts: ring_id, pos, x, y, is_ring. cell: about the length of a few segments."""
-    found = junctions.coords_connected(verts) if shared_coords else junctions.path_connected(verts, cell, exact)
+    found = settled(junctions.coords_connected(verts) if shared_coords else junctions.path_connected(verts, cell, exact))
     v = verts if shared_coords else cut.insert_junctions(verts, found, cell)
-    slots = cut.slots(cut.split(v, found))
+    slots = settled(cut.slots(cut.split(v, found)))
     return Encoded(found, slots, *dedup.arcs_and_refs(slots))

@@ -19,6 +19,7 @@ from arcmesh.functions import geom
 from arcmesh.operators import cut, decode, dedup, junctions, quantize, simplify
 from arcmesh.operators.ids import dense_ids
 from arcmesh.operators.lines import vertices
+from arcmesh.operators.tables import settled
 from arcmesh.options import TopologyOptions, epsilon, quantum
 from arcmesh.sources import features as sources
 
@@ -140,7 +141,7 @@ class Topology:
         if self.options.winding_order:
             own = own.withColumn("pts", F.when(F.col("is_ring"), geom.ring_winding("pts", F.col("ring_idx") == 0, self.options.winding_order)).otherwise(F.col("pts")))
         own = dense_ids(own, ["layer", "fid", "geom_path", "part_idx", "ring_idx"], "ring_id")
-        return simplify.simplify(own, epsilon(self.options.presimplify, 1.0), self.options.simplify_algorithm, self.options.prevent_oversimplify).cache()
+        return settled(simplify.simplify(own, epsilon(self.options.presimplify, 1.0), self.options.simplify_algorithm, self.options.prevent_oversimplify))
 
     @cached_property
     def rings(self) -> DataFrame:
@@ -172,7 +173,7 @@ class Topology:
 
     @cached_property
     def _vertices(self) -> DataFrame:
-        return vertices(self._grid_lines.select("ring_id", "is_ring", "pts")).select("ring_id", "pos", "x", "y", "is_ring").cache()
+        return settled(vertices(self._grid_lines.select("ring_id", "is_ring", "pts")).select("ring_id", "pos", "x", "y", "is_ring"))
 
     @cached_property
     def _cell(self) -> float:
@@ -184,22 +185,22 @@ class Topology:
         if not self.options.topology:
             return v.select("x", "y").limit(0)
         if self.options.shared_coords:
-            return junctions.coords_connected(v)
+            return settled(junctions.coords_connected(v))
         whole = self.grid is not None or v.filter("x <> rint(x) or y <> rint(y) or abs(x) > 33554432 or abs(y) > 33554432").limit(1).count() == 0
-        return junctions.path_connected(v, self._cell, whole).cache()
+        return settled(junctions.path_connected(v, self._cell, whole))
 
     @cached_property
     def slots(self) -> DataFrame:
         v = self._vertices
         if self.options.topology and not self.options.shared_coords:
             v = cut.insert_junctions(v, self.junctions, self._cell)
-        return cut.slots(cut.split(v, self.junctions)).cache()
+        return settled(cut.slots(cut.split(v, self.junctions)))
 
     @cached_property
     def _coded(self) -> tuple[DataFrame, DataFrame]:
-        own = dedup.merge_contiguous(self.slots) if self.options.topology else self.slots
+        own = settled(dedup.merge_contiguous(self.slots)) if self.options.topology else self.slots
         arcs, refs = dedup.arcs_and_refs(own)
-        return arcs.cache(), refs.cache()
+        return settled(arcs), settled(refs)
 
     @cached_property
     def shared_arcs(self) -> DataFrame:
@@ -248,16 +249,16 @@ class Topology:
         if box is None:
             return now
         t = _steps(box, q)
-        return quantize.quantize(arcs, t).cache(), t, box, quantize.quantize_xy(points, t)
+        return settled(quantize.quantize(arcs, t)), t, box, quantize.quantize_xy(points, t)
 
     def _simplified(self, now: tuple, e: float, algorithm: str, careful: bool, q: float) -> tuple:
         arcs, points = self._plain(now)
-        arcs = simplify.simplify(arcs, e, algorithm, careful).cache()
+        arcs = settled(simplify.simplify(arcs, e, algorithm, careful))
         box = _box(arcs, points)
         if not q or not now[1] or box is None:
             return arcs, None, box, points
         t = _steps(box, q)
-        return quantize.quantize(arcs, t).cache(), t, box, quantize.quantize_xy(points, t)
+        return settled(quantize.quantize(arcs, t)), t, box, quantize.quantize_xy(points, t)
 
     def _after(self, final: tuple, options: TopologyOptions) -> Topology:
         out = Topology(spark=self.spark, options=options)
@@ -325,12 +326,13 @@ class Topology:
         dots = points.filter(F.col("layer") == layer).groupBy("fid", "geom_path", "geom_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("part_idx", F.array("x", "y").alias("c")))), lambda v: v["c"]).alias("c"))
         dots = dots.select("fid", "geom_path", "geom_type", F.expr("if(geom_type = 'Point', to_json(c[0]), to_json(c))").alias("coords"))
         leaf = whole.select("fid", "geom_path", "geom_type", flat.alias("coords")).union(dots).select("fid", "geom_path", F.format_string('{"type":"%s","coordinates":%s}', "geom_type", "coords").alias("g"))
-        # collections are put together from the deepest level up
+        # collections are put together from the deepest level up; each level is kept, as the next reads it twice
         for depth in range(self._depth, 0, -1):
+            leaf = settled(leaf)
             deep = leaf.filter(F.size("geom_path") == depth)
             joined = deep.groupBy("fid", F.slice("geom_path", 1, depth - 1).alias("geom_path")).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(F.element_at("geom_path", depth).alias("i"), "g"))), lambda v: v["g"])).alias("g"))
             leaf = leaf.filter(F.size("geom_path") < depth).union(joined.select("fid", "geom_path", F.format_string('{"type":"GeometryCollection","geometries":[%s]}', "g")))
-        out = self.features.filter(F.col("layer") == layer).join(leaf.select("fid", F.col("g").alias("geometry")), "fid", "left")
+        out = self.features.filter(F.col("layer") == layer).drop("geometry").join(leaf.select("fid", F.col("g").alias("geometry")), "fid", "left")
         if validate:
             from arcmesh.operators.validity import invalid_rings
 

@@ -90,9 +90,15 @@ def test_decoding_gives_the_input_back(encoded):
     topo, _, owner = encoded
     out = json.loads(topo.to_geojson(winding_order=None))
     for i, (f, name) in enumerate(zip(out["features"], owner, strict=True)):
-        if name in ("crossing", "zigzag", "toy"):
+        if name in ("crossing", "zigzag", "toy"):  # equal but for vertices that cuts have added
             want = moved(CASES[name][i - owner.index(name)], 1000 * list(CASES).index(name))
-            assert f["geometry"]["coordinates"] == want["coordinates"]
+            got = f["geometry"]["coordinates"]
+            flat = [p for i, p in enumerate(got) if p in want["coordinates"] or not _between(got[i - 1], p, got[i + 1])]
+            assert flat == want["coordinates"]
+
+
+def _between(a, b, c):
+    return (b[0] - a[0]) * (c[1] - b[1]) == (b[1] - a[1]) * (c[0] - b[0])
 
 
 def test_points_quantized(spark):
