@@ -434,11 +434,11 @@ class Topology:
 
     def to_chart(self, color: str | None = None, tooltip: bool = True, projection: str = "identity", object_name: str | int = 0) -> dict:
         """A Vega-Lite specification of a layer, as a dict."""
-        name = self.options.names[self._layer_number(object_name)]
-        spec: dict[str, Any] = {"data": {"values": self.to_dict(), "format": {"type": "topojson", "feature": name}}, "mark": {"type": "geoshape", "tooltip": {"content": "data"} if tooltip else None}, "projection": {"type": projection, "reflectY": projection == "identity"}}
+        values = json.loads(self.to_geojson(object_name=object_name))
+        spec: dict[str, Any] = {"data": {"values": values, "format": {"property": "features"}}, "mark": {"type": "geoshape", "tooltip": {"content": "data"} if tooltip else None}, "projection": {"type": projection, "reflectY": projection == "identity"}}
         if color:
-            spec["encoding"] = {"color": {"field": color, "type": "nominal" if ":" not in color else {"Q": "quantitative", "N": "nominal", "O": "ordinal"}[color[-1]]}}
-            spec["encoding"]["color"]["field"] = color.split(":")[0]
+            field, _, kind = color.partition(":")
+            spec["encoding"] = {"color": {"field": field, "type": {"Q": "quantitative", "O": "ordinal"}.get(kind, "nominal")}}
         return spec
 
 
