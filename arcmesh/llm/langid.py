@@ -70,7 +70,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies: tables[0] of words, tables[n] of n-grams; each row is a vector over langs."""
+    """Log frequencies: rows of one matrix over langs; tables[0] has the rows of words, tables[n] of n-grams."""
 
     def __init__(self, langs: list[str], rows: list[tuple[int, str, str, int]]):
         self.langs = langs
@@ -78,21 +78,38 @@ class Model:
         counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
         for kind, lang, item, n in rows:
             counts[kind].setdefault(item, np.zeros(len(langs)))[at[lang]] += n
-        self.tables: list[dict[str, np.ndarray]] = []
+        self.tables: list[dict[str, int]] = []
+        logs: list[np.ndarray] = []
         for table in counts:
             total = sum(table.values()) if table else np.zeros(len(langs))
-            self.tables.append({k: np.log((v + 0.1) / (total + 0.1 * (len(table) + 1))).astype(np.float32) for k, v in table.items()})
-
-    def word(self, w: str) -> np.ndarray | float:
-        if (own := self.tables[0].get(w)) is not None:
-            return own
-        by: dict[int, list[np.ndarray]] = {}
-        for n, g in _grams(w):
-            if by and n not in by:
-                break
-            if (own := self.tables[n].get(g)) is not None:
-                by.setdefault(n, []).append(own)
-        return sum(next(iter(by.values()))) / len(next(iter(by.values()))) if by else 0.0
+            self.tables.append({k: len(logs) + i for i, k in enumerate(table)})
+            logs += [np.log((v + 0.1) / (total + 0.1 * (len(table) + 1))) for v in table.values()]
+        self.logs = np.array(logs, np.float32).reshape(len(logs), len(langs))
+
+    def vectors(self, words_: list[str]) -> np.ndarray:
+        """Each word's log frequencies; of an unseen word the mean over its longest known n-grams."""
+        known, grams = self.tables[0], [(n, self.tables[n].get) for n in range(LONGEST, 0, -1)]
+        rows: list[int] = []
+        sizes = np.zeros(len(words_), np.int64)
+        for k, w in enumerate(words_):
+            if (own := known.get(w)) is not None:
+                rows.append(own)
+                sizes[k] = 1
+                continue
+            marked = f"<{w}>"
+            for n, get in grams:
+                source = marked if n > 1 else w
+                hits = [v for i in range(len(source) - n + 1) if (v := get(source[i : i + n])) is not None]
+                if hits:
+                    rows += hits
+                    sizes[k] = len(hits)
+                    break
+        out = np.zeros((len(words_), len(self.langs)), np.float32)
+        have = np.flatnonzero(sizes)
+        if len(have):
+            n = sizes[have]
+            out[have] = np.add.reduceat(self.logs[rows], np.cumsum(n) - n, axis=0) / n[:, None]
+        return out
 
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -116,7 +133,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 def predictor(model: Model):
     """A function of a text column (Arrow) to langs and scores."""
 
-    def predict(texts: pa.Array, cache: dict[bytes, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    def predict(texts: pa.Array) -> tuple[list[str], np.ndarray]:
         off, raw = buffers(texts)
         n, size = len(off) - 1, len(model.langs)
         sums = np.zeros((n, size))
@@ -125,16 +142,7 @@ def predictor(model: Model):
             if not len(found) or not size:
                 continue
             coded = found.dictionary_encode()
-            vectors = np.zeros((len(coded.dictionary), size), np.float32)
-            if len(cache) > 400_000:
-                cache.clear()
-            for i, w in enumerate(coded.dictionary.to_pylist()):
-                own = cache.get(w)
-                if own is None:
-                    own = model.word(w.decode("utf-8", "replace"))
-                    if len(w) < 64:
-                        cache[w] = own
-                vectors[i] = own
+            vectors = model.vectors([w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()])
             have = np.flatnonzero(per)
             starts = (np.cumsum(per) - per)[have]
             sums[a + have] = np.add.reduceat(vectors[coded.indices.to_numpy()], starts, axis=0, dtype=np.float64)
@@ -158,9 +166,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # WORDS + LONGEST * GRAMS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, cache = predictor(held.value), {}
+        f = predictor(held.value)
         for b in batches:
-            langs, scores = f(b.column("text"), cache)
+            langs, scores = f(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["rk", "doc_id", "lang_pred", "score"])
 
     return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))).mapInArrow(run, "rk long, doc_id long, lang_pred string, score double")
@@ -182,7 +190,7 @@ def with_language(docs: DataFrame, model: Model, name: str) -> DataFrame:
     def lang(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        langs, scores = predictor(held.value)(pa.array(texts, pa.binary()), {})
+        langs, scores = predictor(held.value)(pa.array(texts, pa.binary()))
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     arrow_rows(docs.sparkSession)

@@ -257,9 +257,9 @@ def test_backoff_takes_the_longest_known_grams():
     from arcmesh.llm.langid import Model
 
     m = Model(["a", "b"], [(0, "a", "known", 5), (3, "b", "xyz", 4), (1, "a", "x", 9)])
-    assert m.word("known")[0] > m.word("known")[1]
-    assert m.word("xyz")[1] > m.word("xyz")[0]  # 3-grams, not the letter
-    assert m.word("x")[0] > m.word("x")[1] and isinstance(m.word("q"), float)
+    known, grams, letter, unseen = m.vectors(["known", "xyz", "x", "q"])
+    assert known[0] > known[1] and grams[1] > grams[0]  # 3-grams, not the letter
+    assert letter[0] > letter[1] and not unseen.any()
 
 
 def test_quality(spark, docs, raw, none):
