@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from arcmesh.llm.store import arrow_rows, keyed, parts
 from arcmesh.llm.textblocks import buffers
-from arcmesh.llm.wordjoin import BLOCK, PAYLOAD, blocks, opened, payloads
+from arcmesh.llm.wordjoin import BLOCK, PAYLOAD, blocks, opened, payloads, planes, unplanes
 
 #: Words handled at a time when a block's ids are laid out.
-SPAN = 400_000
+SPAN = 200_000
+#: Answers that a task of the table gathers before it sends them to their blocks.
+ANSWERS = 400_000
 
 _AFTER = np.zeros(256, dtype=bool)  # bytes that may follow the space of a split: no white space starts with them
 _AFTER[0x21:0x7F] = True
@@ -59,11 +61,13 @@ def split(off: np.ndarray, raw: np.ndarray) -> tuple[pa.LargeBinaryArray, np.nda
 
 
 def _requests(size: int):
+    """word and place (block and index in one number) of a block's distinct words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, _, _, distinct in blocks(batches, size, split):
-            whole = pa.RecordBatch.from_arrays([distinct.cast(pa.binary()), pa.array(np.full(len(distinct), k)), pa.array(np.arange(len(distinct), dtype=np.int32))], ["word", "block", "at"])
             for i in range(0, len(distinct), 50_000):
-                yield whole.slice(i, 50_000)
+                own = distinct.slice(i, 50_000)
+                yield pa.RecordBatch.from_arrays([own.cast(pa.binary()), pa.array(np.arange(i, i + len(own)) + (k << 24))], ["word", "place"])
 
     return run
 
@@ -90,7 +94,19 @@ class Vocabulary:
 
 
 def _encode(text, kind: str):
-    """Sorted words: ids of each, every distinct word encoded once."""
+    """Sorted words to their ids, every distinct word encoded once. Answers to a block that a task has at
+    hand travel in one row: indices, numbers of ids, and ids, by byte plane."""
+
+    def answers(place: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+        order = np.argsort(place, kind="stable")
+        place, (off, raw) = place[order], buffers(ids.take(pa.array(order)))
+        cut = np.append(np.flatnonzero(np.diff(place >> 24, prepend=-1)), len(place))
+        flat, off = raw.view(kind), off // np.dtype(kind).itemsize
+        at = np.diff(place & 0xFFFFFF, prepend=0)
+        at[cut[:-1]] = (place & 0xFFFFFF)[cut[:-1]]
+        spans = list(zip(cut[:-1], cut[1:], strict=True))
+        pack = lambda x: pa.array([planes(y) for y in x], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(place[cut[:-1]] >> 24), pack(at[a:b] for a, b in spans), pack(np.diff(off)[a:b] for a, b in spans), pack(flat[off[a] : off[b]] for a, b in spans)], ["block", "at", "n", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,6 +114,8 @@ def _encode(text, kind: str):
 
         tok = Tokenizer.from_str(text.value)
         last: tuple[bytes, bytes] | None = None
+        places: list[np.ndarray] = []
+        found: list[pa.Array] = []
         for b in batches:
             coded = pa.array(b.column("word")).dictionary_encode()
             own = coded.dictionary.to_pylist()
@@ -106,17 +124,23 @@ def _encode(text, kind: str):
             known += [np.array(e.ids, kind).tobytes() for e in fresh]
             if own:
                 last = (own[-1], known[-1])
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("at"), pa.array(known, pa.binary()).take(coded.indices)], ["block", "at", "ids"])
+            places.append(b.column("place").to_numpy())
+            found.append(pa.array(known, pa.large_binary()).take(coded.indices))
+            if sum(map(len, places)) >= ANSWERS:
+                yield answers(np.concatenate(places), pa.concat_arrays(found))
+                places, found = [], []
+        if places:
+            yield answers(np.concatenate(places), pa.concat_arrays(found))
 
     return run
 
 
-def _laid(kind: str, left: pa.Table, right: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def _laid(left: pa.Table, right: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """For spans of a block's documents: rows (rk, doc_id), the offsets of each in the ids, the ids."""
-    rows, index, place = opened(left, right)
-    off, raw = buffers(right.column("ids"))
-    flat, off = raw.view(kind), off // np.dtype(kind).itemsize
-    first, size = off[:-1][place], np.diff(off)[place]
+    whole = lambda c, f=unplanes: np.concatenate([f(x) for x in right.column(c).to_pylist()] or [np.zeros(0, np.uint32)])
+    rows, index, place = opened(left, whole("at", lambda x: np.cumsum(unplanes(x), dtype=np.int64)))
+    flat, sizes = whole("ids"), whole("n").astype(np.int64)
+    first, size = (np.cumsum(sizes) - sizes)[place], sizes[place]
     per = rows.column("words").to_numpy()
     ends = np.cumsum(per)
     a = 0
@@ -138,7 +162,7 @@ def _joined(docs: DataFrame, vocabulary: Vocabulary, block: int):
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
     text = docs.sparkSession.sparkContext.broadcast(vocabulary.text)  # the vocabulary's own size
     n = parts(docs)
-    table = rows.mapInArrow(_requests(block), "word binary, block long, at int").repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode(text, vocabulary.kind), "block long, at int, ids binary")
+    table = rows.mapInArrow(_requests(block), "word binary, place long").repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode(text, vocabulary.kind), "block long, at binary, n binary, ids binary")
     payload = rows.mapInArrow(payloads(block, split), PAYLOAD)
     return payload.groupBy("block").cogroup(table.groupBy("block"))
 
@@ -146,11 +170,10 @@ def _joined(docs: DataFrame, vocabulary: Vocabulary, block: int):
 def encode(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
     """rk, doc_id, ids (array<int>) for each row of docs."""
     vocabulary = Vocabulary(path)
-    kind = vocabulary.kind
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for rows, off, ids in _laid(kind, left, right):
+        for rows, off, ids in _laid(left, right):
             out.append(pa.RecordBatch.from_arrays([rows.column("rk").combine_chunks(), rows.column("doc_id").combine_chunks(), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))], ["rk", "doc_id", "ids"]))
         return pa.Table.from_batches(out)
 
@@ -163,78 +186,61 @@ def pieces(spark, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order, a header row before each document's pieces: the header and the pieces together."""
+    """Pieces in order, a head with each document's first: the head and the pieces together."""
     head: bytes | None = None
     held: list[bytes] = []
 
-    def done() -> None:
-        heads.append(head)
-        texts.append(b"".join(held).decode("utf-8", "replace").encode())
+    def whole() -> bytes:
+        return b"".join(held).decode("utf-8", "replace").encode()
 
     for b in batches:
         heads: list[bytes] = []
         texts: list[bytes] = []
         column = pa.array(b.column("head"))
-        at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
         off, raw = buffers(b.column("piece"))
-        edges = [0, *at.tolist(), b.num_rows]
-        for j in range(len(edges) - 1):
-            if j:
-                if head is not None:
-                    done()
-                head, held = column[edges[j]].as_py(), []
-            held.append(raw[off[edges[j]] : off[edges[j + 1]]].tobytes())
+        edges = [*np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)).tolist(), b.num_rows]
+        held.append(raw[: off[edges[0]]].tobytes())
+        for a, to in zip(edges, edges[1:], strict=False):
+            if head is not None:
+                heads.append(head)
+                texts.append(whole())
+            head, held = column[a].as_py(), [raw[off[a] : off[to]].tobytes()]
         if heads:
             yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), pa.array(texts, pa.binary())], ["head", "text"])
     if head is not None:
-        heads, texts = [], []
-        done()
-        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), pa.array(texts, pa.binary())], ["head", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array([head], pa.binary()), pa.array([whole()], pa.binary())], ["head", "text"])
 
 
-def decode_rows(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """tokens: head, id in order, a row with a head (and no id) before each document's ids. Gives head,
-    text (UTF-8). The join keeps the order of its streamed side: the pieces are its built side."""
-    table = F.broadcast(pieces(tokens.sparkSession, vocabulary))  # a row per id of the vocabulary
-    return tokens.join(table, "id", "left").select("head", "piece").mapInArrow(_texts, "head binary, text binary")
+def decode_rows(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """head (binary), text (UTF-8) from head, ids. Ids are exploded in place, joined to their pieces and
+    put together as they come: the join keeps the order of its streamed side, and a document's ids stay
+    in its partition. Only a document's first row carries its head."""
+    table = F.broadcast(pieces(encoded.sparkSession, vocabulary))  # a row per id of the vocabulary
+    rows = encoded.select("head", F.posexplode_outer("ids").alias("pos", "id")).select(F.expr("if(coalesce(pos, 0) = 0, head, null)").alias("head"), "id")
+    return rows.join(table, "id", "left").select("head", "piece").mapInArrow(_texts, "head binary, text binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """rk, doc_id, text from rk, doc_id, ids."""
-    arrow_rows(encoded.sparkSession, 20_000)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for rk, doc_id, ids in zip(b.column("rk").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([json.dumps([rk, doc_id]).encode(), *[None] * len(ids or [])], pa.binary()), pa.array([None, *(ids or [])], pa.int32())], ["head", "id"])
-
+    packed = encoded.select(F.to_json(F.array("rk", "doc_id"), {"ignoreNullFields": "false"}).cast("binary").alias("head"), "ids")
     head = F.from_json(F.col("head").cast("string"), "array<long>")
-    return decode_rows(encoded.select("rk", "doc_id", "ids").mapInArrow(rows, "head binary, id int"), Vocabulary(path)).select(head[0].alias("rk"), head[1].alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return decode_rows(packed, Vocabulary(path)).select(head[0].alias("rk"), head[1].alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def round_trip(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs: encoded, then decoded again."""
     vocabulary = Vocabulary(path)
-    kind = vocabulary.kind
 
     def tokens(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The header of a document is its digest columns; its ids follow."""
+        """The head of a document holds its digest columns."""
         out = []
-        for rows, off, ids in _laid(kind, left, right):
+        for rows, off, ids in _laid(left, right):
             wide = ids.astype("<u4")
             heads = [json.dumps([d, int(off[i + 1] - off[i]), hashlib.sha256(wide[off[i] : off[i + 1]]).hexdigest()]).encode() for i, d in enumerate(rows.column("doc_id").to_pylist())]
-            lines = off[:-1] + np.arange(len(heads))
-            total = len(ids) + len(heads)
-            is_head = np.zeros(total, bool)
-            is_head[lines] = True
-            value = np.zeros(total, np.int32)
-            value[~is_head] = ids
-            pick = np.full(total, -1)
-            pick[lines] = np.arange(len(heads))
-            out.append(pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()).take(pa.array(pick, mask=~is_head)), pa.array(value, mask=is_head)], ["head", "id"]))
+            out.append(pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(wide.view(np.int32)))], ["head", "ids"]))
         return pa.Table.from_batches(out)
 
-    rows = _joined(docs, vocabulary, block).applyInArrow(tokens, "head binary, id int")
+    rows = _joined(docs, vocabulary, block).applyInArrow(tokens, "head binary, ids array<int>")
     digest = F.from_json(F.col("head").cast("string"), "array<string>")
     out = decode_rows(rows, vocabulary).select(digest.alias("h"), F.sha2("text", 256).alias("decoded_sha256"))
     return out.select(F.col("h")[0].cast("long").alias("doc_id"), F.col("h")[1].cast("long").alias("n_tokens"), F.col("h")[2].alias("ids_sha256"), "decoded_sha256")

@@ -144,7 +144,7 @@ def score_documents(docs: DataFrame, every: int = EVERY, rounds: int = ROUNDS, b
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         params, n_of, v_of, n_all, v_all = held.value
-        rows, index, place = opened(left, right)
+        rows, index, place = opened(left, right.column("at").to_numpy())
         total, code = right.column("total").to_numpy()[place], right.column("code").to_numpy()[place]
         # log10 of a word's smoothed share: of all tokens, and of its group's
         base = np.log10(total + 0.1)

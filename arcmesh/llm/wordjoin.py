@@ -12,14 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from arcmesh.llm.textblocks import buffers, chunks
 
-BLOCK = 24 << 20
+BLOCK = 12 << 20
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int, split: Callable) -> Iterator[tuple[int, pa.Table, np.ndarray, pa.Array]]:
-    """Block number, rows (the other columns, and words), index of each word into the block's distinct words, those."""
+    """Block number, rows (the other columns, and words), index of each word into the block's distinct words, those in order."""
     from pyspark import TaskContext
 
     k, held = TaskContext.get().partitionId() << 24, 0
@@ -28,7 +29,10 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int, split: Callable) -> Ite
 
     def out() -> tuple[int, pa.Table, np.ndarray, pa.Array]:
         coded = pa.concat_arrays(found).dictionary_encode()
-        return k, pa.Table.from_batches(rows), coded.indices.to_numpy(), coded.dictionary
+        order = pc.sort_indices(coded.dictionary)  # neighbours that begin alike pack better in a shuffle
+        rank = np.empty(len(order), np.int32)
+        rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        return k, pa.Table.from_batches(rows), rank[coded.indices.to_numpy()], coded.dictionary.take(order)
 
     for batch in batches:
         names = [c for c in batch.schema.names if c != "text"]
@@ -83,9 +87,8 @@ def payloads(size: int, split: Callable):
 PAYLOAD = "block long, distinct int, rows binary, index binary"
 
 
-def opened(left: pa.Table, right: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """A block's rows, its index, and the place of each distinct word's answer in right (column at)."""
-    at = right.column("at").to_numpy()
+def opened(left: pa.Table, at: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A block's rows, its index, and the place of each distinct word's answer; at: the answers' indices."""
     if left.num_rows != 1 or len(at) != left.column("distinct")[0].as_py() or len(at) and at.max() != len(at) - 1:
         raise ValueError("a block's words came back in other numbers: the input isn't replayable")
     place = np.empty(len(at), np.int64)
