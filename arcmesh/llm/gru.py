@@ -40,14 +40,14 @@ def unflat(v: np.ndarray, like: Params) -> Params:
 
 
 def lanes(lengths: np.ndarray, width: int) -> list[list[int]]:
-    """Documents dealt to lanes of about equal length."""
+    """Documents dealt to lanes of about equal length, longest first."""
     heap = [(0, i) for i in range(min(width, max(1, len(lengths))))]
     out: list[list[int]] = [[] for _ in heap]
     for d in np.argsort(-lengths, kind="stable").tolist():
         n, i = heap[0]
         out[i].append(d)
         heapq.heapreplace(heap, (n + int(lengths[d]), i))
-    return out
+    return sorted(out, key=lambda own: -int(lengths[own].sum()))
 
 
 def grid(tokens: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,11 +90,45 @@ def _run(p: Params, given: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tupl
     return states, h, kept
 
 
+def _states(p: Params, given: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _run without what backward needs; p["xb"] has the bias added."""
+    n = p["u"].shape[0]
+    half, one = np.float32(0.5), np.float32(1)
+    x = p["xb"].take(given.reshape(-1), axis=0).reshape(*given.shape, 3 * n)
+    states = np.empty((*given.shape, n), np.float32)
+    any_reset = reset.any(axis=1)
+    gates, new = np.empty((given.shape[1], 2 * n), np.float32), np.empty((given.shape[1], n), np.float32)
+    for t in range(len(given)):
+        if any_reset[t]:
+            h = h * ~reset[t][:, None]
+        np.matmul(h, p["ug"], out=gates)
+        gates += x[t, :, : 2 * n]
+        gates *= half
+        np.tanh(gates, out=gates)
+        gates += one
+        gates *= half
+        np.matmul(gates[:, n:] * h, p["un"], out=new)
+        new += x[t, :, 2 * n :]
+        np.tanh(new, out=new)
+        new -= h
+        new *= gates[:, :n]
+        h = np.add(h, new, out=states[t])
+    return states, h
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=1, keepdims=True)
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _own_log(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax of one column of each row."""
+    own = x[np.arange(len(x)), at]
+    if x.size and float(x.max()) > 60:  # else no sum overflows
+        return own - x.max(axis=1) - np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1))
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+
 def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """Order of the tokens by class, the class of each in it, and (class, from, to)."""
     order = np.argsort(y // WIDTH, kind="stable")
@@ -107,32 +141,36 @@ def log_probs(p: Params, states: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of y after each of states (n, hidden)."""
     order, c, groups = _by_class(y)
     s, w = states[order], y[order] % WIDTH
-    own = _log_softmax(s @ p["wc"] + p["bc"])[np.arange(len(c)), c]
+    own = _own_log(s @ p["wc"] + p["bc"], c)
     for k, a, b in groups:
         at = slice(k * WIDTH, (k + 1) * WIDTH)
-        own[a:b] += _log_softmax(s[a:b] @ p["ww"][at].T + p["bw"][at])[np.arange(b - a), w[a:b]]
+        own[a:b] += _own_log(s[a:b] @ p["ww"][at].T + p["bw"][at], w[a:b])
     out = np.empty(len(y))
     out[order] = own
     return out
 
 
 def windows(tok: np.ndarray, doc: np.ndarray, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """given (the token before; 0 starts a document), wanted, reset and document, by window."""
+    """given (the token before; 0 starts a document), wanted, reset and document, by window; only of the
+    lanes that have not ended."""
     prev_tok = np.vstack([np.zeros((1, tok.shape[1]), tok.dtype), tok[:-1]])
     prev_doc = np.vstack([np.full((1, tok.shape[1]), -2, doc.dtype), doc[:-1]])
     for t in range(0, len(tok), steps):
-        reset = doc[t : t + steps] != prev_doc[t : t + steps]
-        yield np.where(reset, 0, prev_tok[t : t + steps]), tok[t : t + steps], reset, doc[t : t + steps]
+        at = np.s_[t : t + steps, : int((doc[t] >= 0).sum())]
+        reset = doc[at] != prev_doc[at]
+        yield np.where(reset, 0, prev_tok[at]), tok[at], reset, doc[at]
 
 
-def score(p: Params, tokens: np.ndarray, off: np.ndarray, width: int = 256, steps: int = 32) -> np.ndarray:
+def score(p: Params, tokens: np.ndarray, off: np.ndarray, width: int = 256, steps: int = 64) -> np.ndarray:
     """Natural log-likelihood of each document tokens[off[i] : off[i + 1]]."""
     out = np.zeros(len(off) - 1)
     if len(out) and off[-1]:
         tok, doc = grid(tokens, off, width)
-        h = np.zeros((tok.shape[1], p["u"].shape[0]), np.float32)
+        n = p["u"].shape[0]
+        p = p | {"xb": p["x"] + p["b"], "ug": np.ascontiguousarray(p["u"][:, : 2 * n]), "un": np.ascontiguousarray(p["u"][:, 2 * n :])}
+        h = np.zeros((tok.shape[1], n), np.float32)
         for given, wanted, reset, own in windows(tok, doc, steps):
-            states, h, _ = _run(p, given, reset, h)
+            states, h = _states(p, given, reset, h[: given.shape[1]])
             real = own >= 0
             out += np.bincount(own[real], log_probs(p, states[real], wanted[real]), len(out))
     return out
@@ -195,7 +233,7 @@ def train(p: Params, tokens: np.ndarray, off: np.ndarray, width: int = 128, step
     tok, doc = grid(tokens, off, width)
     h = np.zeros((tok.shape[1], p["u"].shape[0]), np.float32)
     for i, (given, wanted, reset, own) in enumerate(windows(tok, doc, steps), 1):
-        g, h, _ = gradients(p, given, wanted, reset, own >= 0, h)
+        g, h, _ = gradients(p, given, wanted, reset, own >= 0, h[: given.shape[1]])
         step = rate * np.sqrt(1 - 0.999**i) / (1 - 0.9**i)
         for k in p:
             m[k] *= 0.9

@@ -153,9 +153,9 @@ def score_documents(docs: DataFrame, every: int = EVERY, rounds: int = ROUNDS, b
         ends = np.cumsum(per)
         sums = [np.zeros(len(per)) for _ in range(4)]
         a = 0
-        while a < len(per):  # documents of about half a million words at a time
+        while a < len(per):  # documents of about two million words at a time, so that long ones have company
             at = ends[a] - per[a]
-            b = max(a + 1, int(np.searchsorted(ends, at + 500_000, "right")))
+            b = max(a + 1, int(np.searchsorted(ends, at + 2_000_000, "right")))
             own = index[at : ends[b - 1]]
             doc = np.repeat(np.arange(b - a), per[a:b])
             for out, x in zip(sums, (base, inner, total > 0), strict=False):
