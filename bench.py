@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -28,6 +29,7 @@ def main() -> None:
         began = time.time()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        print(name, took[name], file=sys.stderr)
         spark.catalog.clearCache()
     found = re.search(r"sf([\d.]+)", sf)
     print(json.dumps({"metric": "topology_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": float(found[1]) if found else None}))
