@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arcmesh.llm.store import arrow_rows, keyed
 from arcmesh.llm.textblocks import WORD_CHAR, buffers, chunks, words
@@ -126,8 +127,10 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     whole = items.groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
     kept = []
     for kind in range(LONGEST + 1):
-        kept += whole.filter(F.col("kind") == kind).orderBy(F.desc("n"), "item").limit(WORDS if kind == 0 else GRAMS).collect()
-    return Model(sorted(sizes), [(r.kind, lang, r["item"], n) for r in kept for lang, n in r.by.items()])
+        top = whole.filter(F.col("kind") == kind).orderBy(F.desc("n"), "item").limit(WORDS if kind == 0 else GRAMS)
+        own = top.select("item", F.explode("by").alias("lang", "n")).toArrow()
+        kept += [(kind, lang, item, n) for item, lang, n in zip(*(own.column(c).to_pylist() for c in ("item", "lang", "n")), strict=True)]
+    return Model(sorted(sizes), kept)
 
 
 def predictor(model: Model):
@@ -182,16 +185,15 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 def with_language(docs: DataFrame, model: Model, name: str) -> DataFrame:
     """docs with its columns and the predicted language as a struct<lang_pred, score> column."""
-    from pyspark.sql.functions import pandas_udf
-
     held = docs.sparkSession.sparkContext.broadcast(model)
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    @pandas_udf("struct<lang_pred:string,score:double>")
-    def lang(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        langs, scores = predictor(held.value)(pa.array(texts, pa.binary()))
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = predictor(held.value)
+        for b in batches:
+            langs, scores = f(b.column("text"))
+            own = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, name])
 
     arrow_rows(docs.sparkSession)
-    return docs.withColumn(name, lang(F.col("text").cast("binary")))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
