@@ -3,12 +3,12 @@
 Documents are aggregated by membership pattern (the set of sources that a document belongs to). Token
 capacity flows from patterns to source quotas; the first copy of a pattern costs nothing, each further
 copy costs more (convex), so nothing is repeated while fresh tokens are left. Then documents of each
-pattern are selected in the order of a seeded hash until the pattern's flow is met; the rest that no
-further document in that order fits is filled with the best-fitting ones.
+pattern are selected in the order of a seeded hash: each that fits what is still open of the pattern's
+flow is taken, through all of the pattern, so in the end none that is left fits.
 
 The driver holds one row per pattern (checked against MAX_PATTERNS); everything per document stays in
 Spark. Selection needs no global sort: bucket sums of the hash find the bucket where a pattern's share
-ends and only that bucket is ordered.
+ends and only that bucket is ordered; this is repeated behind it with what fits the rest.
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered last; a null doc_id is
 hashed as such. Ties of the hash go by row key. Empty tables give empty results; other columns are not
@@ -31,8 +31,10 @@ from arcmesh.llm.textblocks import word_counts
 MAX_PATTERNS = 200_000
 #: Hash buckets of a pattern; only the one where its share ends is ordered.
 BUCKETS = 4096
-#: Best-fitting documents added to a pattern after the ordered ones.
-FILLS = 4
+#: Comes behind every hash and row key of a bucket.
+LAST = 2**63 - 1
+CUTS = "pat int, gap double, b int, h long, rk long"
+EDGES = pa.schema([("pat", pa.int32()), ("gap", pa.float64()), ("b", pa.int32()), ("h", pa.int64()), ("rk", pa.int64()), ("after", pa.float64())])
 COPIES = 2
 
 
@@ -113,6 +115,45 @@ def flow(patterns: dict[tuple, int], quota: dict[str | None, float], copies: int
     return taken
 
 
+def _edges(t: pa.Table) -> pa.Table:
+    """Cuts of the bucket where a pattern's share ends: before each document that is too large for what
+    is open then but not for what was open at the cut before, and behind the bucket (`after`: what is open there)."""
+    t = t.sort_by([("h", "ascending"), ("rk", "ascending")])
+    pat, gap, bucket = (t.column(c)[0].as_py() for c in ("pat", "gap", "b"))
+    out, left = [], t.column("open")[0].as_py()
+    for h, rk, size in zip(*(t.column(c).to_pylist() for c in ("h", "rk", "size")), strict=True):
+        if left < size <= gap:
+            out.append((pat, gap, bucket, h, rk, left))
+            gap = left
+        elif size <= gap:
+            left -= size
+    out.append((pat, gap, bucket, LAST, LAST, left))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), EDGES, strict=True)], schema=EDGES)
+
+
+def _cuts(docs: DataFrame, gaps: dict[int, float]) -> list[tuple]:
+    """Rows of CUTS: a document of docs (pat, b, h, rk, size) is taken if it lies before a cut of its pattern and is
+    at most that cut's gap. That takes, in the order of b, h and rk, each document that fits what is still open of gaps."""
+    spark = docs.sparkSession
+    cuts: list[tuple] = []
+    behind = dict.fromkeys(gaps, -1)
+    while gaps := {k: g for k, g in gaps.items() if g >= 1}:
+        now = F.broadcast(spark.createDataFrame([(k, g, behind[k]) for k, g in gaps.items()], "pat int, gap double, behind int"))
+        left = docs.select("pat", "b", "h", "rk", "size").join(now, "pat").filter("b > behind and size <= gap")
+        sums = left.groupBy("pat", "b", "gap").agg(F.sum("size").alias("n"))
+        upto = sums.withColumn("before", F.sum("n").over(Window.partitionBy("pat").orderBy("b")) - F.col("n"))
+        edge = [(r.pat, r.b, r.gap - r.before) for r in upto.filter("before <= gap and before + n > gap").collect()]
+        cuts += [(k, g, BUCKETS, 0, 0) for k, g in gaps.items() if k not in {e[0] for e in edge}]  # all of it fits
+        if not edge:
+            break
+        at = F.broadcast(spark.createDataFrame(edge, "pat int, b int, open double"))
+        found = left.join(at, ["pat", "b"]).groupBy("pat").applyInArrow(_edges, CUTS + ", after double").collect()
+        cuts += [tuple(r)[:5] for r in found]
+        gaps = {r.pat: r.after for r in found if r.h == r.rk == LAST}
+        behind = {k: b for k, b, _ in edge}
+    return cuts
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, seed: int = 7, sources: str | None = None) -> DataFrame:
     """rk, doc_id, sources, size, source_size, target, taken: the words the mix takes of each document,
     a whole multiple of its size up to 2. source_size and target are those of its first source."""
@@ -138,38 +179,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     text = F.to_json(F.struct(F.col("sources")))
     plan = F.broadcast(plan.withColumn("p", text).drop("sources"))  # at most MAX_PATTERNS rows
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    all_rows = base.withColumn("p", text).join(plan, "p").drop("p").withColumn("h", h).withColumn("b", F.shiftrightunsigned("h", 52).cast("int"))
-    sums = all_rows.filter("rest > 0").groupBy("pat", "b", "rest").agg(F.sum("size").alias("n"))
-    upto = sums.withColumn("before", F.sum("n").over(Window.partitionBy("pat").orderBy("b")) - F.col("n"))
-    edge = upto.filter("before <= rest and before + n > rest").select("pat", F.col("b").alias("edge"), "before")
-    edges = F.broadcast(spark.createDataFrame(edge.collect(), "pat int, edge int, before long"))  # a row per pattern at most
-    placed = all_rows.join(edges, "pat", "left")
-    inside = placed.filter("b = edge").withColumn("cum", F.col("before") + F.sum("size").over(Window.partitionBy("pat").orderBy("h", "rk").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = inside.filter("cum <= rest").groupBy("pat").agg(F.max(F.struct("h", "rk")).alias("last"), F.max("cum").alias("cum")).collect()
-    last = {r.pat: (r.last.h, r.last.rk) for r in cut}
-    at_edge = {r.pat: int(r.before) for r in edge.collect()}
-    got = {r.pat: int(r["cum"]) for r in cut}
-    stop = F.broadcast(spark.createDataFrame([(k, *last.get(k, (None, None))) for k in at_edge], "pat int, last_h long, last_rk long"))
-    picked = placed.join(stop, "pat", "left").withColumn(
-        "in",
-        F.expr("rest > 0 and (edge is null or b < edge or (b = edge and last_h is not null and (h < last_h or (h = last_h and rk <= last_rk))))"),
-    )
-    gap = {k: rows[k][5] - got.get(k, at_edge[k]) for k in at_edge}
-    chosen: list[tuple[int]] = []
-    others = picked.filter(F.expr("not in and rest > 0 and size > 0")).select("pat", "rk", "size", "h")
-    for _ in range(FILLS):
-        open_gaps = [(k, g) for k, g in gap.items() if g >= 1]
-        if not open_gaps:
-            break
-        near = others.join(F.broadcast(spark.createDataFrame(open_gaps, "pat int, gap double")), "pat").filter("size <= gap")
-        if chosen:
-            near = near.join(F.broadcast(spark.createDataFrame(chosen, "rk long")), "rk", "left_anti")
-        fits = near.groupBy("pat").agg(F.max(F.struct("size", "h", "rk")).alias("x")).collect()
-        if not fits:
-            break
-        for r in fits:
-            chosen.append((r.x.rk,))
-            gap[r.pat] -= r.x.size
-    fill = F.broadcast(spark.createDataFrame(chosen, "rk long").withColumn("fill", F.lit(True)))  # FILLS rows per pattern at most
-    done = picked.join(fill, "rk", "left")
-    return done.select("rk", "doc_id", "sources", "size", "source_size", "target", F.expr("size * (full + if(in or coalesce(fill, false), 1, 0))").cast("long").alias("taken"))
+    placed = base.withColumn("p", text).join(plan, "p").drop("p").withColumn("h", h).withColumn("b", F.shiftrightunsigned("h", 52).cast("int"))
+    cuts = F.broadcast(spark.createDataFrame(_cuts(placed.filter("rest > 0 and size > 0"), {k: r[5] for k, r in enumerate(rows) if r[5] > 0}), CUTS))  # a few rows per pattern
+    done = placed.join(cuts.groupBy("pat").agg(F.collect_list(F.struct("gap", "b", "h", "rk")).alias("cuts")), "pat", "left")
+    fits = "exists(cuts, c -> size <= c.gap and (b < c.b or (b = c.b and (h < c.h or (h = c.h and rk < c.rk)))))"
+    return done.select("rk", "doc_id", "sources", "size", "source_size", "target", F.expr(f"size * (full + if(rest > 0 and coalesce({fits}, false), 1, 0))").cast("long").alias("taken"))

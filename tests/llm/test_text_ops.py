@@ -226,6 +226,18 @@ def test_source_mix(docs, raw, none):
     assert mix(none).count() == 0
 
 
+def test_source_mix_leaves_no_document_that_fits(spark):
+    from arcmesh.llm.mixing import mix
+
+    # documents of a third of the words stop the hash order early; hundreds of short ones close the gap
+    docs = [(i, "w " * 20, "a") for i in range(900)] + [(900, "w " * 5000, "a"), (901, "w " * 4000, "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(2)
+    for seed in range(6):
+        rows = mix(df, (1,), 0.3, seed).collect()
+        gap = rows[0].target - sum(r.taken for r in rows)
+        assert 0 <= gap < min((r["size"] for r in rows if not r.taken), default=1e9)
+
+
 def test_flow_routes_overlapping_sources(spark):
     from arcmesh.llm.mixing import flow, mix, targets
 
