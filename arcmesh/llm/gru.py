@@ -223,17 +223,22 @@ def gradients(p: Params, given: np.ndarray, wanted: np.ndarray, reset: np.ndarra
     return g, last, float(loss) / count
 
 
-def train(p: Params, tokens: np.ndarray, off: np.ndarray, width: int = 128, steps: int = 16, rate: float = 0.01) -> Params:
-    """One pass of Adam over the documents, a step for each window."""
+def train(p: Params, tokens: np.ndarray, off: np.ndarray, width: int = 128, steps: int = 16, rate: float = 0.01, past: dict | None = None) -> Params:
+    """One pass of Adam over the documents, a step for each window. past: the moments and the number of
+    steps, to go on from with more documents; empty at first."""
     p = {k: v.copy() for k, v in p.items()}
     if len(off) < 2 or not off[-1]:
         return p
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    v = {k: np.zeros_like(x) for k, x in p.items()}
+    past = {} if past is None else past
+    if not past:
+        past |= {"m": {k: np.zeros_like(v) for k, v in p.items()}, "v": {k: np.zeros_like(x) for k, x in p.items()}, "i": 0}
+    m, v = past["m"], past["v"]
     tok, doc = grid(tokens, off, width)
     h = np.zeros((tok.shape[1], p["u"].shape[0]), np.float32)
-    for i, (given, wanted, reset, own) in enumerate(windows(tok, doc, steps), 1):
+    for given, wanted, reset, own in windows(tok, doc, steps):
         g, h, _ = gradients(p, given, wanted, reset, own >= 0, h[: given.shape[1]])
+        past["i"] += 1
+        i = past["i"]
         step = rate * np.sqrt(1 - 0.999**i) / (1 - 0.9**i)
         for k in p:
             m[k] *= 0.9

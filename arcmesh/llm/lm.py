@@ -7,7 +7,8 @@ its own smoothed share of the group's counts, where one share is left for unseen
 
 Training is data-parallel: every partition trains a copy on its part of the sequences by truncated
 backpropagation, copies are averaged by tokens in a tree of groups, and the next round starts from the
-average. Sequences are 1 in EVERY of the training documents, by a hash, so they grow with the corpus.
+average. Every training document is a sequence of one round; a partition reads its part in pieces of
+about PASS tokens, so memory does not grow with it.
 
 Counts reach each block of documents through a join by distinct word, so nothing of the vocabulary is
 broadcast but the model's OUTPUTS words.
@@ -36,7 +37,9 @@ from arcmesh.llm.textblocks import buffers, chunks, words
 from arcmesh.llm.wordjoin import BLOCK, PAYLOAD, blocks, opened, payloads
 
 OUTPUTS, SPELLINGS, HIDDEN = 2048, 95, 16
-EVERY, ROUNDS = 8, 2
+EVERY, ROUNDS = 1, 2
+#: Tokens of the sequences that a copy holds at once.
+PASS = 1_000_000
 #: Bytes of the words that may be outputs, which bounds the model's size.
 LONGEST = 48
 #: Weights in a row, and copies averaged in a group, of the averaging tree.
@@ -77,18 +80,34 @@ def _sequences(held):
     return run
 
 
+def _passes(sequences: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """The sequences, some at a time: as many as reach PASS tokens."""
+    parts, n = [], 0
+    for x in sequences:
+        parts.append(x)
+        n += len(x) // 2
+        if n >= PASS:
+            yield parts
+            parts, n = [], 0
+    if parts:
+        yield parts
+
+
 def _trained(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        parts = [x for b in batches for x in b.column("ids").to_pylist()]
-        if not parts:
+        p, past, seen = held.value, {}, 0
+        for parts in _passes(x for b in batches for x in b.column("ids").to_pylist()):
+            off = np.cumsum([0, *(len(x) // 2 for x in parts)])
+            p = gru.train(p, np.frombuffer(b"".join(parts), "<u2").astype(np.int32), off, past=past)
+            seen += int(off[-1])
+        if not seen:
             return
-        off = np.cumsum([0, *(len(x) // 2 for x in parts)])
-        v = gru.flat(gru.train(held.value, np.frombuffer(b"".join(parts), "<u2").astype(np.int32), off))
+        v = gru.flat(p)
         at = range(0, len(v), PIECE)
         k = len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, TaskContext.get().partitionId(), np.int64)), pa.array(np.full(k, float(off[-1]))), pa.array([v[i : i + PIECE].astype("<f4").tobytes() for i in at], pa.binary())], ["piece", "copy", "tokens", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, TaskContext.get().partitionId(), np.int64)), pa.array(np.full(k, float(seen))), pa.array([v[i : i + PIECE].astype("<f4").tobytes() for i in at], pa.binary())], ["piece", "copy", "tokens", "v"])
 
     return run
 

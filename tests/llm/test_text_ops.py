@@ -151,6 +151,24 @@ def test_lm_score(docs, raw, none):
     assert score_documents(none).count() == 0
 
 
+def test_lm_learns_from_every_training_document(docs, raw, monkeypatch):
+    from arcmesh.llm import gru, lm
+
+    given = []
+    monkeypatch.setattr(lm, "learned", lambda start, sequences, rounds: given.extend(sequences.collect()) or start)
+    lm.score_documents(docs)
+    want = [len(SPACE.findall(lower(t))) + 1 for d, t, _, _ in raw if crc(d, 10)]
+    assert sorted(len(r.ids) // 2 for r in given) == sorted(want)
+    # a partition's part goes by in pieces, each sequence once, and the optimizer goes on between them
+    monkeypatch.setattr(lm, "PASS", 500)
+    pieces = list(lm._passes(r.ids for r in given))
+    assert len(pieces) > 2 and [x for part in pieces for x in part] == [r.ids for r in given]
+    past, p = {}, gru.new(np.ones(64), 4)
+    for tokens in (np.arange(40), np.arange(20)):
+        p = gru.train(p, tokens.astype(np.int32), np.array([0, len(tokens)]), 1, 10, past=past)
+    assert past["i"] == 6
+
+
 def test_recurrent_model():
     from arcmesh.llm import gru
 
