@@ -15,10 +15,13 @@ from arcmesh.llm.store import fresh, keyed, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, which have no language, go."""
+    """Documents without a letter, which have no language and score 0, go; all others stay, also where no
+    row teaches a language."""
     model = langid.learn(docs.filter(langid.fold("doc_id", 4) != 2))
+    if not model.langs:
+        model = langid.Model(["any"], [])
     name = fresh(docs, "found")
-    return langid.with_language(docs, model, name).filter(F.col(f"{name}.lang_pred") != "und").drop(name)
+    return langid.with_language(docs, model, name).filter(F.col(f"{name}.score") > 0).drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

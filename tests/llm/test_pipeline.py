@@ -25,6 +25,16 @@ def test_stages(spark, docs, raw, tmp_path, tokenizer):
     assert Counter(map(tuple, corpus_pipeline.run(spark, sf).collect())) == Counter(map(tuple, last))
 
 
+def test_the_language_stage_keeps_lettered_texts_without_labels(spark, docs, raw):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    letters = Counter((d, t) for d, t, _, _ in raw if t and any(c.isalpha() for c in t))
+    for lang in (None, "und"):
+        out = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(lang).cast("string")), "")
+        assert Counter((r.doc_id, r.text) for r in out.select("doc_id", "text").collect()) == letters
+
+
 def test_the_operators_are_registered():
     import __spark_entry__ as entry
 
