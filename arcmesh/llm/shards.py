@@ -126,7 +126,8 @@ def build(docs: DataFrame, key: int = 20240607, length: int = LENGTH, per_shard:
     held = spark.sparkContext.broadcast((offsets, total, key))
     sequences = rows.select("doc_id", "text").mapInArrow(_sequences(held, length), "slot long, doc_id long, part int, n int, body binary")
     n = max(1, min(parts(docs), -(-total // per_shard)))
-    ranges = sequences.withColumn("shard", F.expr(f"slot div {per_shard}")).repartition(n, "shard").sortWithinPartitions("slot")
+    each = max(1, -(-total // (per_shard * n)))  # shards of a partition, which are neighbours
+    ranges = sequences.withColumn("shard", F.expr(f"slot div {per_shard}")).repartitionById(n, F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("slot")
     return ranges.mapInArrow(_packed(length, per_shard), "shard long, first_slot long, records int, data binary")
 
 

@@ -331,6 +331,16 @@ def test_training_order(spark, docs, raw, none, tmp_path):
     assert sorted(r.slot for r in rows) == list(range(len(rows))) and training_order(none).count() == 0
 
 
+def test_shard_files_follow_the_slots(spark, docs, tmp_path):
+    from arcmesh.llm.shards import build, save
+
+    save(build(docs, length=64, per_shard=16), str(tmp_path / "shards"))
+    files = sorted((tmp_path / "shards").glob("part-*.parquet"))
+    own = [[r.first_slot for r in spark.read.parquet(str(f)).collect()] for f in files]
+    slots = [x for f in own for x in f]
+    assert sum(map(bool, own)) > 1 and slots == [16 * i for i in range(len(slots))]
+
+
 def _cut(ids):
     out, now = [], []
     for v in ids:
