@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; one of our own only where it is unset (tests, local mode)."""
+    """The session's spark.checkpoint.dir; one of our own only where it is unset in a local session."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="arcmesh-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -54,10 +56,16 @@ def keyed(df: DataFrame, key: str = "rk") -> DataFrame:
     return df.withColumn(key, F.monotonically_increasing_id())
 
 
-def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
-    """Rows in a batch handed to Python: texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_batches(spark: SparkSession) -> None:
+    """Bounds of the batches handed to Python, in rows and in bytes, since texts can be long. Always the
+    same ones: plans are lazy, and the session has one setting for all of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
+    arrow_batches(spark)
