@@ -4,13 +4,14 @@ A known word scores each language by its log frequency there; an unseen word bac
 n-grams, longest first: 4, then 3, 2 and 1 characters, until some n-gram of that length is known. The
 text's language is the best sum over all its words; the score is its posterior.
 
-Learning takes a bounded sample of labelled rows (PER_LANG documents of each language, chosen by a hash
-of the text) and keeps the most frequent WORDS words and GRAMS n-grams of each length, so the model that
-is broadcast has a fixed size. Prediction reads every row and whole texts.
+Learning takes a bounded sample of labelled rows: about SAMPLE bytes of text of each language, whole rows,
+chosen by a hash of the row's number. Every word and n-gram of the sample is in the model, so what is
+broadcast is bounded by the sample and not by the corpus. Prediction reads every row and whole texts.
 
 Nulls: a null text, an empty one or one without a letter is `und` with score 0; a null lang teaches
 nothing; a null doc_id counts as the empty id. Ties go to the language first by code point. Without any
-labelled row every text is `und`. Other columns are not read.
+labelled row every text is `und`. Repeated rows are predicted each. An empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcmesh.llm.store import arrow_rows, keyed
+from arcmesh.llm.store import arrow_batches, keyed
 from arcmesh.llm.textblocks import WORD_CHAR, buffers, chunks, words
 
-PER_LANG = 6000
-WORDS = 60_000
-GRAMS = 20_000
+#: Bytes of text of each language that teach the model.
+SAMPLE = 8 << 20
 LONGEST = 4
-LETTER = re.compile(r"[^\W\d_]")
+#: Rows that a task hands on at a time.
+FLUSH = 50_000
+_LETTERLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of text is a letter; fractions and other numerals are none."""
+    return any(m[0].isalpha() for m in _LETTERLIKE.finditer(text))
 
 
 def fold(doc_id: str, n: int) -> Column:
@@ -50,42 +57,47 @@ def _grams(word: str) -> Iterator[tuple[int, str]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind (0: word, n: n-gram), lang, item, count, summed over each batch."""
+    """kind (0: word, n: n-gram), lang, item, n: counts, handed on after each chunk of text."""
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         off, raw = buffers(batch.column("text"))
-        total: dict[tuple[int, str, str], int] = defaultdict(int)
         for a, b in chunks(off):
+            total: dict[tuple[int, str, str], int] = defaultdict(int)
             found, per = words(off[a : b + 1] - off[a], raw[off[a] : off[b]], WORD_CHAR)
             of = np.repeat(langs[a:b], per)
             for lang in sorted(set(langs[a:b])):
                 counts = found.filter(pa.array(of == lang)).value_counts()
-                for w, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
-                    total[0, lang, w.decode("utf-8", "replace")] += n
-        for (_, lang, w), n in list(total.items()):
-            if len(w) <= 40:
-                for k, g in _grams(w):
-                    total[k, lang, g] += n
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(total.values()), pa.int64())], ["kind", "lang", "item", "n"])
+                for word, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
+                    w = word.decode("utf-8", "replace")
+                    total[0, lang, w] += n
+                    for k, g in _grams(w):
+                        total[k, lang, g] += n
+            keys = list(total)
+            counted = pa.array(list(total.values()), pa.int64())
+            for i in range(0, len(keys), FLUSH):
+                own = keys[i : i + FLUSH]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.int32()), pa.array([k[1] for k in own], pa.string()), pa.array([k[2] for k in own], pa.string()), counted.slice(i, FLUSH)], ["kind", "lang", "item", "n"])
 
 
 class Model:
     """Log frequencies: rows of one matrix over langs; tables[0] has the rows of words, tables[n] of n-grams."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[int, str, str, int]]):
-        self.langs = langs
-        at = {x: i for i, x in enumerate(langs)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for kind, lang, item, n in rows:
-            counts[kind].setdefault(item, np.zeros(len(langs)))[at[lang]] += n
-        self.tables: list[dict[str, int]] = []
-        logs: list[np.ndarray] = []
-        for table in counts:
-            total = sum(table.values()) if table else np.zeros(len(langs))
-            self.tables.append({k: len(logs) + i for i, k in enumerate(table)})
-            logs += [np.log((v + 0.1) / (total + 0.1 * (len(table) + 1))) for v in table.values()]
-        self.logs = np.array(logs, np.float32).reshape(len(logs), len(langs))
+    def __init__(self, langs: list[str], kind: Sequence[int], lang: Sequence[str], item: Sequence[str], n: Sequence[int]):
+        """Counts of items, one entry for each kind, lang and item."""
+        self.langs, self.tables = langs, []
+        kinds, counts = np.asarray(kind, np.int64), np.asarray(n, np.float64)
+        column = pa.array(lang, pa.string()).dictionary_encode()
+        at = np.array([langs.index(x) for x in column.dictionary.to_pylist()], np.int64)[column.indices.to_numpy()] if len(kinds) else np.zeros(0, np.int64)
+        items, logs = pa.array(item, pa.string()), []
+        for k in range(LONGEST + 1):
+            own = np.flatnonzero(kinds == k)
+            coded = items.take(pa.array(own)).dictionary_encode()
+            first = sum(map(len, self.tables))
+            self.tables.append({x: first + i for i, x in enumerate(coded.dictionary.to_pylist())})
+            table = np.zeros((len(coded.dictionary), len(langs)))
+            np.add.at(table, (coded.indices.to_numpy(), at[own]), counts[own])
+            logs.append(np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * (len(table) + 1))))
+        self.logs = np.concatenate(logs).astype(np.float32)
 
     def vectors(self, words_: list[str]) -> np.ndarray:
         """Each word's log frequencies; of an unseen word the mean over its longest known n-grams."""
@@ -113,24 +125,18 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """From the rows of docs (text, lang) with a lang; docs holds training rows only."""
-    arrow_rows(docs.sparkSession)
-    rows = docs.select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    sizes = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """From the rows of docs (text, lang) with a lang; docs holds training rows only. The driver holds a
+    row per language and the counts of the sample."""
+    arrow_batches(docs.sparkSession)
+    rows = keyed(docs.select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"))).filter("lang is not null and text is not null")
+    sizes = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     if not sizes:
-        return Model([], [])
-    # the share of each language that PER_LANG rows make, as a threshold on a hash of the text
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])[F.col("lang")]
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
-    items = sample.mapInArrow(_count, "kind int, lang string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-    whole = items.groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    kept = []
-    for kind in range(LONGEST + 1):
-        top = whole.filter(F.col("kind") == kind).orderBy(F.desc("n"), "item").limit(WORDS if kind == 0 else GRAMS)
-        own = top.select("item", F.explode("by").alias("lang", "n")).toArrow()
-        kept += [(kind, lang, item, n) for item, lang, n in zip(*(own.column(c).to_pylist() for c in ("item", "lang", "n")), strict=True)]
-    return Model(sorted(sizes), kept)
+        return Model([], [], [], [], [])
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / max(n, 1))))])[F.col("lang")]
+    own = rows.filter(F.pmod(F.xxhash64("rk"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang")
+    items = own.mapInArrow(_count, "kind int, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")).toArrow()
+    return Model(sorted(sizes), *(items.column(c).combine_chunks() for c in ("kind", "lang", "item", "n")))
 
 
 def predictor(model: Model):
@@ -152,8 +158,7 @@ def predictor(model: Model):
         langs, scores = [], np.zeros(n)
         best = sums.argmax(axis=1) if size else np.zeros(n, int)
         for i in range(n):
-            text = bytes(raw[off[i] : off[i + 1]]).decode("utf-8", "replace")
-            if size and LETTER.search(text):
+            if size and has_letter(raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")):
                 langs.append(model.langs[best[i]])
                 scores[i] = 1 / math.fsum(math.exp(max(-700.0, x - sums[i, best[i]])) for x in sums[i])
             else:
@@ -165,8 +170,8 @@ def predictor(model: Model):
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """rk, doc_id, lang_pred, score for each row of docs."""
-    arrow_rows(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # WORDS + LONGEST * GRAMS rows at most
+    arrow_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # what SAMPLE bytes a language hold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = predictor(held.value)
@@ -195,5 +200,5 @@ def with_language(docs: DataFrame, model: Model, name: str) -> DataFrame:
             own = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang_pred", "score"])
             yield pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, name])
 
-    arrow_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))

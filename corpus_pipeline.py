@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row teaches a language."""
     model = langid.learn(docs.filter(langid.fold("doc_id", 4) != 2))
     if not model.langs:
-        model = langid.Model(["any"], [])
+        model = langid.Model(["any"], [], [], [], [])
     name = fresh(docs, "found")
     return langid.with_language(docs, model, name).filter(F.col(f"{name}.score") > 0).drop(name)
 
