@@ -2,8 +2,8 @@
 
 Encoding splits the texts into words, sends each word once per block of documents to the distinct-word
 table, encodes each distinct word there once, and joins the ids back by the word's position in its
-block. A word reaches the table at most once per block, so a word that every text holds is no hot key,
-and a block is a bounded number of text bytes. Decoding joins ids to the table of pieces, whose size is
+block. A word reaches the table at most once per block, a bounded number of text bytes, and a word that
+every block holds is dealt to SALTS tasks of the table, each of which encodes it once. Decoding joins ids to the table of pieces, whose size is
 the vocabulary's.
 
 A split is made only where the tokenizer's own pattern has a piece boundary whatever stands around it:
@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcmesh.llm.store import arrow_rows, keyed, parts
+from arcmesh.llm.store import arrow_batches, keyed, parts
 from arcmesh.llm.textblocks import buffers
 from arcmesh.llm.wordjoin import BLOCK, PAYLOAD, blocks, opened, payloads, planes, unplanes
 
 #: Words handled at a time when a block's ids are laid out.
 SPAN = 200_000
+#: Tasks that the blocks of one word are dealt to; each encodes the word once.
+SALTS = 8
 #: Answers that a task of the table gathers before it sends them to their blocks.
 ANSWERS = 400_000
 
@@ -61,13 +63,13 @@ def split(off: np.ndarray, raw: np.ndarray) -> tuple[pa.LargeBinaryArray, np.nda
 
 
 def _requests(size: int):
-    """word and place (block and index in one number) of a block's distinct words."""
+    """word, block and at (its index there) of a block's distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, _, _, distinct in blocks(batches, size, split):
             for i in range(0, len(distinct), 50_000):
                 own = distinct.slice(i, 50_000)
-                yield pa.RecordBatch.from_arrays([own.cast(pa.binary()), pa.array(np.arange(i, i + len(own)) + (k << 24))], ["word", "place"])
+                yield pa.RecordBatch.from_arrays([own.cast(pa.binary()), pa.array(np.full(len(own), k)), pa.array(np.arange(i, i + len(own), dtype=np.int32))], ["word", "block", "at"])
 
     return run
 
@@ -97,16 +99,17 @@ def _encode(text, kind: str):
     """Sorted words to their ids, every distinct word encoded once. Answers to a block that a task has at
     hand travel in one row: indices, numbers of ids, and ids, by byte plane."""
 
-    def answers(place: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-        order = np.argsort(place, kind="stable")
-        place, (off, raw) = place[order], buffers(ids.take(pa.array(order)))
-        cut = np.append(np.flatnonzero(np.diff(place >> 24, prepend=-1)), len(place))
+    def answers(block: np.ndarray, at: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+        order = np.lexsort((at, block))
+        block, at, (off, raw) = block[order], at[order], buffers(ids.take(pa.array(order)))
+        cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
         flat, off = raw.view(kind), off // np.dtype(kind).itemsize
-        at = np.diff(place & 0xFFFFFF, prepend=0)
-        at[cut[:-1]] = (place & 0xFFFFFF)[cut[:-1]]
+        firsts = at[cut[:-1]]
+        at = np.diff(at, prepend=0)
+        at[cut[:-1]] = firsts
         spans = list(zip(cut[:-1], cut[1:], strict=True))
         pack = lambda x: pa.array([planes(y) for y in x], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(place[cut[:-1]] >> 24), pack(at[a:b] for a, b in spans), pack(np.diff(off)[a:b] for a, b in spans), pack(flat[off[a] : off[b]] for a, b in spans)], ["block", "at", "n", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), pack(at[a:b] for a, b in spans), pack(np.diff(off)[a:b] for a, b in spans), pack(flat[off[a] : off[b]] for a, b in spans)], ["block", "at", "n", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -114,8 +117,9 @@ def _encode(text, kind: str):
 
         tok = Tokenizer.from_str(text.value)
         last: tuple[bytes, bytes] | None = None
-        places: list[np.ndarray] = []
+        places: list[tuple[np.ndarray, np.ndarray]] = []
         found: list[pa.Array] = []
+        held = 0
         for b in batches:
             coded = pa.array(b.column("word")).dictionary_encode()
             own = coded.dictionary.to_pylist()
@@ -124,13 +128,14 @@ def _encode(text, kind: str):
             known += [np.array(e.ids, kind).tobytes() for e in fresh]
             if own:
                 last = (own[-1], known[-1])
-            places.append(b.column("place").to_numpy())
+            places.append((b.column("block").to_numpy(), b.column("at").to_numpy()))
             found.append(pa.array(known, pa.large_binary()).take(coded.indices))
-            if sum(map(len, places)) >= ANSWERS:
-                yield answers(np.concatenate(places), pa.concat_arrays(found))
-                places, found = [], []
+            held += b.num_rows
+            if held >= ANSWERS:
+                yield answers(*map(np.concatenate, zip(*places, strict=True)), pa.concat_arrays(found))
+                places, found, held = [], [], 0
         if places:
-            yield answers(np.concatenate(places), pa.concat_arrays(found))
+            yield answers(*map(np.concatenate, zip(*places, strict=True)), pa.concat_arrays(found))
 
     return run
 
@@ -158,11 +163,12 @@ def _laid(left: pa.Table, right: pa.Table) -> Iterator[tuple[pa.Table, np.ndarra
 
 def _joined(docs: DataFrame, vocabulary: Vocabulary, block: int):
     """The two sides of the join by block and position."""
-    arrow_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
     text = docs.sparkSession.sparkContext.broadcast(vocabulary.text)  # the vocabulary's own size
     n = parts(docs)
-    table = rows.mapInArrow(_requests(block), "word binary, place long").repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode(text, vocabulary.kind), "block long, at binary, n binary, ids binary")
+    salt = F.pmod("block", F.lit(SALTS))
+    table = rows.mapInArrow(_requests(block), "word binary, block long, at int").repartition(n, "word", salt).sortWithinPartitions("word").mapInArrow(_encode(text, vocabulary.kind), "block long, at binary, n binary, ids binary")
     payload = rows.mapInArrow(payloads(block, split), PAYLOAD)
     return payload.groupBy("block").cogroup(table.groupBy("block"))
 

@@ -19,11 +19,16 @@ from arcmesh.llm.textblocks import buffers, chunks
 BLOCK = 12 << 20
 
 
+def block_number(partition: int) -> int:
+    """The first block of a partition; there is room for 16 million of each."""
+    return partition << 24
+
+
 def blocks(batches: Iterator[pa.RecordBatch], size: int, split: Callable) -> Iterator[tuple[int, pa.Table, np.ndarray, pa.Array]]:
     """Block number, rows (the other columns, and words), index of each word into the block's distinct words, those in order."""
     from pyspark import TaskContext
 
-    k, held = TaskContext.get().partitionId() << 24, 0
+    k, held = block_number(TaskContext.get().partitionId()), 0
     rows: list[pa.RecordBatch] = []
     found: list[pa.Array] = []
 
