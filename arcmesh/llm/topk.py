@@ -1,15 +1,19 @@
 """Exact top-k inner-product search by pivot-table elimination.
 
-Every vector's distances to PIVOTS pivots are computed once. For a query q and a candidate x the largest
-|d(q, p) - d(x, p)| over the pivots bounds d(q, x) from below, and q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2
-turns that into an upper bound of the score. Candidates of a block are evaluated in the order of that
-bound, a slice at a time, until the bound falls below the k-th best score: what is left cannot enter,
-and the result is exact for any pivots.
+The table of pivots is made once: every vector is written with its distances to PIVOTS pivots. For a query
+q and a candidate x the largest |d(q, p) - d(x, p)| over the pivots bounds d(q, x) from below, and
+q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2 turns that into an upper bound of the score. A task holds each query's
+k best so far; candidates whose bound is under the k-th are eliminated, the others are evaluated in the
+order of their bound, a slice at a time, until the bound falls below the k-th best score: what is left
+cannot enter, and the result is exact for any pivots.
 
-Queries are packed into blocks of QUERY_BLOCK, which are what is broadcast, one at a time; each scan of
-the vectors returns k rows per query and partition, and a window keeps the k best. Vectors become
-floor(1024 * x) in 64-bit integers; scores are summed as doubles where they stay under 2^53, else as
-Python integers.
+Queries are packed into blocks of about QUERY_BYTES of vectors, which are what is broadcast, SCANS of them
+at a time; a scan of the vectors returns k rows per query and partition, and a window keeps the k best.
+
+Vectors become floor(1024 * x). Scores are summed as doubles where no sum can reach 2^53, else as Python
+integers, so finite components of any size take part: rows that hold one of WIDE or more after scaling have
+no bounds and are always evaluated. The order is that of the exact integers; a score beyond 64 bits is
+returned as the nearest 64-bit integer.
 
 Nulls: vectors that are null or hold null or non-finite components take no part, nor do rows without
 vec_id; neither do candidates of another length than the query. Ties go to the smaller vec_id; rows with
@@ -27,22 +31,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arcmesh.llm.store import written
+from arcmesh.llm.store import arrow_batches, written
 
 PIVOTS = 16
-QUERY_BLOCK = 512
+#: Bytes of the vectors of a block of queries, and blocks searched in one job.
+QUERY_BYTES, SCANS = 4 << 20, 8
 #: Rows that pivots are picked from; the result does not depend on them.
 PIVOT_POOL = 256
-#: Candidates of one length held in a block, and those evaluated between two looks at the bound.
-BLOCK, SLICE = 4096, 256
+#: Candidates evaluated between two looks at the bound.
+SLICE = 256
 SCALE = 1024
+WIDE = 2.0**40
+FOUND = "query_id long, vec_id long, score long, exact binary"
 
 
 def whole_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, v (array<long>) of the vectors that take part."""
+    """vec_id, v (array<double>) of the vectors that take part."""
     x = F.col(embedding).cast("array<double>")
-    usable = x.isNotNull() & F.col(vec_id).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(9.0e15)))
-    return vectors.filter(F.coalesce(usable, F.lit(False))).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * SCALE)).cast("array<long>").alias("v"))
+    usable = x.isNotNull() & F.col(vec_id).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != F.lit(float("inf"))))
+    return vectors.filter(F.coalesce(usable, F.lit(False))).select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("v"))
 
 
 def pick_pivots(pool: np.ndarray, n: int) -> np.ndarray:
@@ -57,95 +64,154 @@ def pick_pivots(pool: np.ndarray, n: int) -> np.ndarray:
     return pool[at]
 
 
-def _dots(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """floor(1024 * x) as doubles, without overflow: where that would leave the doubles, x itself is far
+    beyond WIDE, and integers() gives its exact value."""
+    with np.errstate(over="ignore"):
+        return np.floor(x * SCALE)
+
+
+def integers(x: np.ndarray) -> list[int]:
+    """floor(1024 * x) of one vector, exactly."""
+    return [int(np.floor(v * SCALE)) if abs(v) < 2.0**52 else int(v) * SCALE for v in x.tolist()]
+
+
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of scaled vectors to the pivots; of wide ones none (NaN)."""
+    out = np.full((len(x), len(pivots)), np.nan)
+    own = np.flatnonzero((np.abs(x) < WIDE).all(axis=1))
+    for i, p in enumerate(pivots):
+        out[own, i] = np.linalg.norm(x[own] - p, axis=1)
+    return out
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, rows and matrix of the vectors of each length."""
+    off, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    lengths = np.diff(off)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield int(n), at, flat[off[at][:, None] + np.arange(n)[None]]
+
+
+def _tabled(held):
+    """vec_id, v and d: the distances to the pivots of the vector's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d: list = [[]] * batch.num_rows
+            for n, at, x in by_length(pa.array(batch.column("v"))):
+                for i, row in zip(at.tolist(), distances(scaled(x), held.value.get(n, np.zeros((0, n)))), strict=True):
+                    d[i] = row
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(d, pa.list_(pa.float64()))], ["vec_id", "v", "d"])
+
+    return run
+
+
+def scores(raw: np.ndarray, rows: np.ndarray, q_raw: np.ndarray, q: np.ndarray) -> list[int]:
+    """Exact inner products of candidates and a query, each as given and scaled."""
     if not len(rows):
-        return np.zeros(0, np.int64)
-    if float(np.abs(rows).max()) * float(np.abs(q).sum()) < 2**53:
-        return (rows.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    exact = [sum(int(a) * int(b) for a, b in zip(r, q, strict=True)) for r in rows]
-    return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in exact], np.int64)
+        return []
+    if float(np.abs(rows).max(initial=0)) * float(np.abs(q).sum()) < 2**53:
+        return (rows @ q).astype(np.int64).tolist()
+    own = integers(q_raw)
+    return [sum(a * b for a, b in zip(integers(r), own, strict=True)) for r in raw]
 
 
-def best_of_block(q_id: int, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, lower: np.ndarray, norms: np.ndarray) -> list[tuple[int, int]]:
-    """(score, vec_id) of the k best candidates. lower: lower bounds of the distances to q."""
-    qq = float((q.astype(np.float64) ** 2).sum())
+def improved(best: list[tuple[int, int]], q_id: int, q_raw: np.ndarray, q: np.ndarray, ids: np.ndarray, raw: np.ndarray, rows: np.ndarray, k: int, lower: np.ndarray, norms: np.ndarray) -> list[tuple[int, int]]:
+    """The k best of (score, vec_id): those so far and the candidates. lower: lower bounds of the distances
+    to q, NaN where there is none; norms: the candidates' squared lengths."""
+    qq = float(q @ q)
     upper = (qq + norms - lower * lower) / 2
     upper = upper + 1e-9 * (qq + norms) + 1e-6  # the bounds are floating point
-    order = np.lexsort((ids, -upper))
-    best: list[tuple[int, int]] = []
+    upper = np.where(np.isnan(upper), np.inf, upper)
+    alive = np.flatnonzero((ids != q_id) & (upper >= best[-1][0])) if len(best) == k else np.flatnonzero(ids != q_id)
+    order = alive[np.argsort(-upper[alive], kind="stable")]
     for a in range(0, len(order), SLICE):
         at = order[a : a + SLICE]
         if len(best) == k and upper[at[0]] < best[-1][0]:
             break
-        at = at[ids[at] != q_id]
-        best += zip(_dots(rows[at], q).tolist(), ids[at].tolist(), strict=True)
+        best = best + list(zip(scores(raw[at], rows[at], q_raw, q), ids[at].tolist(), strict=True))
         best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
     return best
 
 
+def sortable(n: int) -> bytes:
+    """Bytes that are ordered as the integers are."""
+    body = abs(n).to_bytes((abs(n).bit_length() + 7) // 8, "big")
+    head = len(body).to_bytes(2, "big")
+    return b"\x01" + head + body if n >= 0 else b"\x00" + bytes(255 - x for x in head + body)
+
+
 def _search(held, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, pivots = held.value  # length -> (ids, vectors), length -> pivots
+        ready = {n: (ids, raw, scaled(raw), distances(scaled(raw), pivots.get(n, np.zeros((0, n))))) for n, (ids, raw) in queries.items()}
         best: dict[int, list[tuple[int, int]]] = {}
         for batch in batches:
-            column, ids = pa.array(batch.column("v")), batch.column("vec_id").to_numpy()
-            off = column.offsets.to_numpy()
-            flat = column.values.to_numpy()
-            lengths = np.diff(off)
-            for n in np.unique(lengths):
-                if int(n) not in queries:
+            ids, d = batch.column("vec_id").to_numpy(), pa.array(batch.column("d"))
+            d_off, d_flat = d.offsets.to_numpy(), d.values.to_numpy(zero_copy_only=False)
+            for n, at, raw in by_length(pa.array(batch.column("v"))):
+                if n not in ready:
                     continue
-                q_ids, qs = queries[int(n)]
-                table = pivots.get(int(n), np.zeros((0, int(n))))
-                to_q = np.linalg.norm(qs[:, None, :].astype(np.float64) - table[None], axis=2)
-                own = np.flatnonzero(lengths == n)
-                for a in range(0, len(own), BLOCK):
-                    at = own[a : a + BLOCK]
-                    rows = flat[off[at][:, None] + np.arange(n)[None]]
-                    real = rows.astype(np.float64)
-                    norms = (real**2).sum(axis=1)
-                    to_x = np.stack([np.linalg.norm(real - p, axis=1) for p in table], axis=1) if len(table) else np.zeros((len(at), 0))
+                q_ids, q_raw, qs, to_q = ready[n]
+                rows, to_x = scaled(raw), d_flat[d_off[at][:, None] + np.arange(to_q.shape[1])[None]]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    norms = np.where((np.abs(rows) < WIDE).all(axis=1), (rows**2).sum(axis=1), np.nan)
                     for i, q_id in enumerate(q_ids.tolist()):
-                        lower = np.abs(to_x - to_q[i]).max(axis=1) if len(table) else np.zeros(len(at))
-                        found = best.get(q_id, []) + best_of_block(q_id, qs[i], ids[at], rows, k, lower, norms)
-                        best[q_id] = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-        out = [(q, x, s) for q, found in best.items() for s, x in found]
-        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+                        lower = np.abs(to_x - to_q[i]).max(axis=1) if to_q.shape[1] else np.zeros(len(at))
+                        best[q_id] = improved(best.get(q_id, []), q_id, q_raw[i], qs[i], ids[at], raw, rows, k, lower, norms)
+        out = [(q, x, min(max(s, -(2**63)), 2**63 - 1), sortable(s)) for q, found in best.items() for s, x in found]
+        for a in range(0, max(1, len(out)), 50_000):
+            cols = list(zip(*out[a : a + 50_000], strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["query_id", "vec_id", "score", "exact"])
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id divides by `every`, the k highest scores."""
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS, query_block: int | None = None, scans: int = SCANS) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose id divides by `every`, the k highest scores.
+    query_block: queries in a block, else as many as QUERY_BYTES hold."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK))
-    rows = written(whole_vectors(vectors), "vectors")
-    numbered = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = numbered.select("vec_id", "v")
+    arrow_batches(spark)
+    plain = whole_vectors(vectors)
     pool: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_POOL).collect():
+    for r in plain.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_POOL).collect():
         pool.setdefault(len(r.v), []).append(r.v)
-    tables = {n: pick_pivots(np.array(v, np.float64), pivots) for n, v in pool.items() if n}
-    out, last = None, None
-    while True:  # blocks of queries in id order, each of a bounded size
-        block = (asked if last is None else asked.filter(F.col("vec_id") > last)).orderBy("vec_id").limit(query_block).collect()
-        if not block:
-            break
-        last = block[-1].vec_id
-        by: dict[int, tuple[list, list]] = {}
-        for r in block:
-            own = by.setdefault(len(r.v), ([], []))
-            own[0].append(r.vec_id)
-            own[1].append(r.v)
-        held = spark.sparkContext.broadcast(({n: (np.array(i, np.int64), np.array(v, np.int64).reshape(len(i), n)) for n, (i, v) in by.items()}, tables))
-        found = rows.mapInArrow(_search(held, k), "query_id long, vec_id long, score long")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        ranked = ranked if len(block) < query_block and out is None else written(ranked, "found")
-        out = ranked if out is None else out.union(ranked)
-        if len(block) < query_block:
-            break
-    if out is None:
+    tables = {}
+    for n, v in pool.items():
+        x = scaled(np.array(v, np.float64).reshape(len(v), n))
+        tables[n] = pick_pivots(x[(np.abs(x) < WIDE).all(axis=1)], pivots) if n else np.zeros((0, 0))
+    rows = written(plain.mapInArrow(_tabled(spark.sparkContext.broadcast(tables)), "vec_id long, v array<double>, d array<double>"), "vectors")
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    longest = asked.agg(F.max(F.size("v"))).first()[0] or 1
+    size = query_block or max(1, QUERY_BYTES // (8 * longest))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id"))
+    out, last, more = [], None, True
+    while more:  # blocks of queries in id order, each of a bounded size; some are searched in one job
+        found = []
+        while more and len(found) < scans:
+            block = (asked if last is None else asked.filter(F.col("vec_id") > last)).orderBy("vec_id").limit(size).collect()
+            more = len(block) == size
+            if not block:
+                break
+            last = block[-1].vec_id
+            by: dict[int, tuple[list, list]] = {}
+            for r in block:
+                own = by.setdefault(len(r.v), ([], []))
+                own[0].append(r.vec_id)
+                own[1].append(r.v)
+            held = spark.sparkContext.broadcast(({n: (np.array(i, np.int64), np.array(v, np.float64).reshape(len(i), n)) for n, (i, v) in by.items()}, tables))
+            found.append(rows.mapInArrow(_search(held, k), FOUND))
+        if found:
+            whole = found[0]
+            for f in found[1:]:
+                whole = whole.union(f)
+            ranked = whole.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            out.append(written(ranked, "found") if more else ranked)
+    if not out:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out
+    whole = out[0]
+    for f in out[1:]:
+        whole = whole.union(f)
+    return whole
