@@ -2,8 +2,10 @@
 
 Copies are first dropped inside each partition, the remaining ones meet in salted digest groups, and
 the winners of the salts meet in one group per digest. The whole (compressed) content is a grouping
-key at every stage, so two texts of one digest never merge. A group of copies sends one row per
-partition into the shuffle, whatever its size.
+key at every stage, so two texts of one digest never merge; two contents that share both digests raise.
+So digests stand for contents where the winners go back to the members. A group of copies sends one row
+per partition into the shuffle, whatever its size, and its winner goes back to each of the salts that its
+members are dealt to.
 
 Nulls: a null text is an empty one; a null doc_id loses ties and is kept as null. Empty texts form one
 group. Repeated rows count as members of their group. An empty table gives an empty result. Columns
@@ -20,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcmesh.llm.store import arrow_rows, keyed
+from arcmesh.llm.store import arrow_batches, keyed
 from arcmesh.llm.textblocks import NOT_SPACE, buffers, chunks
 
 #: Content bytes that a task holds before it hands its local winners on.
 HELD = 48 << 20
-#: Salts of the middle stage.
-SALTS = 8
+#: Salts of the middle stage and of the join back; a row's salt follows from its partition.
+SALTS = 256
 
 
 def _normal(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, bytes, bytes, int]]:
@@ -90,23 +92,27 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def winners(docs: DataFrame) -> DataFrame:
-    """digest, second, keep_id, keep_rk, group_size: a row for each distinct normalised text."""
-    arrow_rows(docs.sparkSession)
+    """digest, second, keep_id, keep_rk, group_size, salts: a row for each distinct normalised text."""
+    arrow_batches(docs.sparkSession)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
     local = rows.mapInArrow(_local, "digest binary, second binary, salt int, content binary, neg long, no_id boolean, doc_id long, rk long, n long")
     best = F.min(F.struct("neg", "no_id", "doc_id", "rk")).alias("best")
-    salted = local.groupBy("digest", "second", "salt", "content").agg(best, F.sum("n").alias("n")).select("digest", "second", "content", "best.*", "n")
-    whole = salted.groupBy("digest", "second", "content").agg(best, F.sum("n").alias("group_size"))
-    return whole.select("digest", "second", F.expr("if(best.no_id, null, best.doc_id)").alias("keep_id"), F.col("best.rk").alias("keep_rk"), "group_size")
+    salted = local.groupBy("digest", "second", "salt", "content").agg(best, F.sum("n").alias("n")).select("digest", "second", "salt", "content", "best.*", "n")
+    whole = salted.repartition("digest", "second").groupBy("digest", "second", "content").agg(best, F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
+    one = whole.groupBy("digest", "second").agg(F.count("*").alias("texts"), F.first("best").alias("best"), F.first("n").alias("group_size"), F.first("salts").alias("salts"))
+    sure = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share SHA-256 and BLAKE2 digests"))).otherwise(F.col("best.rk"))
+    return one.select("digest", "second", F.expr("if(best.no_id, null, best.doc_id)").alias("keep_id"), sure.cast("long").alias("keep_rk"), "group_size", "salts")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """rk, doc_id, keep_id, keep_rk, group_size, kept, text_sha256 for each row of docs. Texts are equal
     without `[\\x20\\x09-\\x0D]`; the row with the most code points, then the smallest doc_id, stays."""
-    arrow_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
     members = rows.mapInArrow(_members, "rk long, doc_id long, digest binary, second binary")
-    return members.join(winners(docs), ["digest", "second"]).select("rk", "doc_id", "keep_id", "keep_rk", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    members = members.withColumn("salt", F.pmod(F.shiftright("rk", 33), F.lit(SALTS)).cast("int"))
+    back = winners(docs).withColumn("salt", F.explode("salts")).drop("salts")
+    return members.join(back, ["digest", "second", "salt"]).select("rk", "doc_id", "keep_id", "keep_rk", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
