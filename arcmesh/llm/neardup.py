@@ -27,15 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from arcmesh.llm.graph import components
-from arcmesh.llm.store import arrow_rows, forget, fresh, keyed, written
+from arcmesh.llm.store import arrow_batches, forget, fresh, keyed, written
 from arcmesh.llm.textblocks import buffers, chunks, hash_words, mix64, rolling, words
 
 #: Band hashes in each of the two collections, and minhashes in a band hash.
 BANDS, ROWS = 10, 2
 PERCENT = 80
+#: Salts that the classes of a bucket are dealt to.
+SALTS = 32
 #: Sketch bits / 64, and the bits that must agree.
 LONGS = 16
 AGREE = int(64 * LONGS * (0.9 - 4.5 * (0.09 / (64 * LONGS)) ** 0.5))
@@ -132,10 +133,16 @@ def table_key(i, x, j, y):
     return F.xxhash64(i.cast("int"), x, j.cast("int"), y)
 
 
+def _salted(keys: DataFrame) -> DataFrame:
+    """A row for each salt of the mask."""
+    there = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    return keys.withColumn("salt", F.explode(there)).drop("mask")
+
+
 def near_dedup(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """rk, doc_id, n_shingles, component_id, keep_rk, kept for each row of docs: the components of links
     of similarity 0.8 or more between the sets of width-word shingles."""
-    arrow_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
     signed = written(texts.mapInArrow(_signatures(width, bands, rows), "rk long, doc_id long, n long, digest binary, sig array<int>"), "signatures")
     some = signed.filter("n > 0")
@@ -145,8 +152,10 @@ def near_dedup(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int =
     # the hashes of both collections are computed once per class, then paired
     halves = classes.select("cid", *[F.array(*[F.xxhash64(F.slice("sig", F.lit(j * rows + base + 1), rows)) for j in range(bands)]).alias(name) for name, base in (("p", 0), ("q", half))])
     keys = halves.select("cid", F.posexplode("p").alias("i", "x"), "q").select("cid", "i", "x", F.posexplode("q").alias("j", "y")).select("cid", table_key(F.col("i"), F.col("x"), F.col("j"), F.col("y")).alias("key"))
-    per_key = Window.partitionBy("key")
-    buckets = written(keys.withColumn("hub", F.min("cid").over(per_key)).withColumn("last", F.max("cid").over(per_key)).filter("hub <> last").select("key", "cid", "hub"), "buckets")
+    # what a bucket has in common is aggregated, partly before the shuffle, and goes back to each of its salts
+    salt = F.pmod("cid", F.lit(SALTS)).cast("int")
+    ends = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("mask"))
+    buckets = written(keys.withColumn("salt", salt).join(_salted(ends.filter("hub <> last").drop("last")), ["key", "salt"]).drop("salt"), "buckets")
     wanted = buckets.select(F.col("cid").alias("rk")).distinct()
     sets = written(texts.join(wanted, "rk", "left_semi").select("rk", "text").mapInArrow(_sets(width), "cid long, n long, bits array<long>, shingles array<long>"), "sets")
     brief = sets.select("cid", F.struct("n", "bits").alias("s"))
@@ -156,7 +165,8 @@ def near_dedup(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int =
     found = components(links)
     # classes of a bucket that the hubs have not brought together; a pair comes from its first common table
     placed = buckets.join(found.withColumnRenamed("v", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
-    split = placed.withColumn("lo", F.min("comp").over(per_key)).withColumn("hi", F.max("comp").over(per_key)).filter("lo <> hi").select("key", "cid", "comp")
+    apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("mask")).filter("lo <> hi").select("key", "mask")
+    split = placed.withColumn("salt", salt).join(_salted(apart), ["key", "salt"]).select("key", "cid", "comp")
     split = split.join(brief, "cid").join(halves, "cid").select("key", "cid", "comp", "s", "p", "q")
     x, y = split.toDF("key", "a", "ca", "x", "xp", "xq"), split.toDF("key", "b", "cb", "y", "yp", "yq")
     same = lambda u, v: F.array_position(F.zip_with(u, v, lambda e, f: e == f), True)
