@@ -2,8 +2,8 @@
 
 A document's own evidence is the log odds of a small classifier on its bytes and words. Hosts and paths
 have labelled documents of their own: the host's rate of good ones is shrunk toward the global rate, the
-path's toward its host's, with a strength estimated from the spread between hosts, so a sparse site says
-little and a rich one much. The score puts the document's evidence on the path's posterior odds. Host and
+path's toward its host's, each level with a strength of its own: the one estimated from the spread between
+hosts, the other from that between the paths of a host. So a sparse site says little and a rich one much. The score puts the document's evidence on the path's posterior odds. Host and
 path rates are grouped aggregates that stay in Spark and are joined back by key.
 
 The classifier is fitted on at most LABELLED labelled rows, chosen by a hash: word log odds on one half
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcmesh.llm.langid import fold
-from arcmesh.llm.store import arrow_rows, keyed
+from arcmesh.llm.store import arrow_batches, keyed
 from arcmesh.llm.textblocks import buffers, chunks, hash_words, words
 
 LABELLED = 20_000
@@ -83,10 +83,17 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.3, dec
     return w, mid, np.append(wide, b)
 
 
+def strength(squares: float, freedom: int, size: float, inside: float) -> float:
+    """Strength of the beta prior of sites from the spread between them, by moments: squares is the sum of
+    squared deviations of their rates by size, of which `freedom` times `inside` is chance."""
+    spread = (squares - freedom * inside) / max(size, 1e-9)
+    return float(min(max(inside / max(spread, 1e-6) - 1, 2.0), 1000.0))
+
+
 def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: Sequence[str] = ("source", "lang"), label: str = "quality", labelled: int = LABELLED) -> DataFrame:
     """rk, doc_id, held_out, doc_evidence, host_rate, path_rate, score, kept for each row of docs."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     site = lambda cols: F.to_json(F.array(*[F.col(c).cast("string") for c in cols]))
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), site([host]).alias("host"), site(path).alias("path"), (fold("doc_id", 5) == 0).alias("held_out")))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("good")).dropna().groupBy("doc_id").agg(F.avg("good").alias("good")).filter(fold("doc_id", 5) != 0)
@@ -124,18 +131,17 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: Sequ
     # grouped aggregation, paths first; a hot host is pre-aggregated by the partial aggregates
     labelled_rows = rows.select("doc_id", "host", "path").join(known, "doc_id")
     paths = labelled_rows.groupBy("host", "path").agg(F.sum("good").alias("pg"), F.count("*").alias("pn"))
-    hosts = paths.groupBy("host").agg(F.sum("pg").alias("hg"), F.sum("pn").alias("hn"))
-    total = hosts.agg(F.sum("hg").alias("g"), F.sum("hn").alias("n"), F.count("*").alias("k"), F.sum(F.expr("hg * hg / hn")).alias("sq"), F.sum(F.expr("hn * hn")).alias("nn")).first()
+    hosts = paths.groupBy("host").agg(F.sum("pg").alias("hg"), F.sum("pn").alias("hn"), F.count("*").alias("k"), F.sum(F.expr("pg * pg / pn")).alias("psq"), F.sum(F.expr("pn * pn")).alias("pnn"))
+    total = hosts.agg(F.sum("hg").alias("g"), F.sum("hn").alias("n"), F.count("*").alias("k"), F.sum("k").alias("pk"), F.sum(F.expr("hg * hg / hn")).alias("sq"), F.sum(F.expr("hn * hn")).alias("nn"), F.sum("psq").alias("psq"), F.sum(F.expr("pnn / hn")).alias("pnn")).first()
     if total.n:
         rate = min(max((total.g + 0.5) / (total.n + 1), 1e-3), 1 - 1e-3)
-        # the variance between hosts by moments, and the strength of a beta prior that has it
         inside = rate * (1 - rate)
-        spread = (total.sq - total.n * rate * rate - (total.k - 1) * inside) / max(total.n - total.nn / total.n, 1e-9)
-        strength = float(min(max(inside / max(spread, 1e-6) - 1, 2.0), 1000.0))
+        by_host = strength(total.sq - total.n * rate * rate, total.k - 1, total.n - total.nn / total.n, inside)
+        by_path = strength(total.psq - total.sq, total.pk - total.k, total.n - total.pnn, inside)
     else:
-        rate, strength = 0.5, 2.0
-    hosts = hosts.select("host", F.expr(f"(hg + {strength!r} * {rate!r}) / (hn + {strength!r})").alias("host_rate"))
-    paths = paths.join(hosts, "host").select("path", F.expr(f"(pg + {strength!r} * host_rate) / (pn + {strength!r})").alias("path_rate"))
+        rate, by_host, by_path = 0.5, 2.0, 2.0
+    hosts = hosts.select("host", F.expr(f"(hg + {by_host!r} * {rate!r}) / (hn + {by_host!r})").alias("host_rate"))
+    paths = paths.join(hosts, "host").select("path", F.expr(f"(pg + {by_path!r} * host_rate) / (pn + {by_path!r})").alias("path_rate"))
     out = evidence.join(hosts, "host", "left").join(paths, "path", "left").withColumn("host_rate", F.coalesce("host_rate", F.lit(rate))).withColumn("path_rate", F.coalesce("path_rate", "host_rate"))
     score = F.expr("1 / (1 + exp(-(doc_evidence + ln(path_rate / (1 - path_rate)))))")
     return out.withColumn("score", score).select("rk", "doc_id", "held_out", "doc_evidence", "host_rate", "path_rate", "score", (F.col("score") >= 0.5).alias("kept"))
