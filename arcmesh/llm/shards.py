@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcmesh.llm.store import arrow_rows, keyed, parts, written
+from arcmesh.llm.store import arrow_batches, keyed, parts, written
 from arcmesh.llm.textblocks import mix64
 
 LENGTH = 2048
 PER_SHARD = 2048
+#: Shards that a task writes at most, one after another; a range of slots.
+RANGE = 32
 PAD, END, SHIFT = 0, 1, 3
 NO_ID = -(1 << 63)
 HEAD = np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4")])
@@ -115,7 +117,7 @@ def _packed(length: int, per_shard: int):
 def build(docs: DataFrame, key: int = 20240607, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """shard, first_slot, records, data: the shards of docs, one row each."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
     count = F.expr(f"(coalesce(octet_length(text), 0) div {length}) + 1")
     by_part = rows.select(F.shiftright("rk", 33).alias("p"), count.alias("n")).groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect()  # a row per partition
@@ -125,8 +127,9 @@ def build(docs: DataFrame, key: int = 20240607, length: int = LENGTH, per_shard:
         total += r.n
     held = spark.sparkContext.broadcast((offsets, total, key))
     sequences = rows.select("doc_id", "text").mapInArrow(_sequences(held, length), "slot long, doc_id long, part int, n int, body binary")
-    n = max(1, min(parts(docs), -(-total // per_shard)))
-    each = max(1, -(-total // (per_shard * n)))  # shards of a partition, which are neighbours
+    shards = max(1, -(-total // per_shard))
+    each = min(RANGE, -(-shards // parts(docs)))  # shards of a partition, which are neighbours
+    n = -(-shards // each)
     ranges = sequences.withColumn("shard", F.expr(f"slot div {per_shard}")).repartitionById(n, F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("slot")
     return ranges.mapInArrow(_packed(length, per_shard), "shard long, first_slot long, records int, data binary")
 
@@ -160,7 +163,7 @@ def digests(shards: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD)
                     ["slot", "shard", "doc_id", "part", "n_tokens", "ids_sha256"],
                 )
 
-    arrow_rows(shards.sparkSession, 2)
+    arrow_batches(shards.sparkSession)
     return shards.select("shard", "first_slot", "data").mapInArrow(run, "slot long, shard long, doc_id long, part int, n_tokens long, ids_sha256 string")
 
 
