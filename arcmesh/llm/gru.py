@@ -66,59 +66,64 @@ def grid(tokens: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, n
     return tok, doc
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
-
-
-def _run(p: Params, given: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-    """States after each step of a window (steps, lanes, hidden), the last one, and what backward needs."""
-    n = p["u"].shape[0]
-    u_gates, u_new = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :])
-    x = p["x"][given] + p["b"]
-    states, kept = np.empty((*given.shape, n), np.float32), []
-    any_reset = reset.any(axis=1)
-    for t in range(len(given)):
-        if any_reset[t]:
-            h = np.where(reset[t][:, None], np.float32(0), h)
-        gates = _sigmoid(x[t, :, : 2 * n] + h @ u_gates)
-        z, r = gates[:, :n], gates[:, n:]
-        rh = r * h
-        cand = np.tanh(x[t, :, 2 * n :] + rh @ u_new)
-        kept.append((h, z, r, rh, cand))
-        h = h + z * (cand - h)
-        states[t] = h
-    return states, h, kept
-
-
-def _states(p: Params, given: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As _run without what backward needs; p["xb"] has the bias added."""
+def _room(space: dict, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+    """An array kept in space for the next window: new pages cost more than what is computed in them."""
+    size = int(np.prod(shape))
+    if name not in space or len(space[name]) < size:
+        space[name] = np.empty(size, kind)
+    return space[name][:size].reshape(shape)
+
+
+def _run(p: Params, given: np.ndarray, reset: np.ndarray, h: np.ndarray, space: dict, keep: bool = True) -> tuple[np.ndarray, ...]:
+    """Of each step of a window (steps, lanes): the state before (0 where a document starts), gates,
+    candidates and the state after, as (features, steps, lanes), so that every operation runs along lanes.
+    h: the state to start from (features, lanes). Without keep only the states after are filled."""
     n = p["u"].shape[0]
-    half, one = np.float32(0.5), np.float32(1)
-    x = p["xb"].take(given.reshape(-1), axis=0).reshape(*given.shape, 3 * n)
-    states = np.empty((*given.shape, n), np.float32)
+    half = p["u"].dtype.type(0.5)
+    u_gates, u_new = np.ascontiguousarray(p["u"][:, : 2 * n].T) * half, np.ascontiguousarray(p["u"][:, 2 * n :].T)
+    table = np.ascontiguousarray((p["x"] + p["b"]).T)
+    table[: 2 * n] *= half  # a sigmoid is half a tanh of the half, and a half
+    kind = table.dtype
+    x = np.take(table, given.reshape(-1), axis=1, out=_room(space, "x", 3 * n, given.size, kind=kind), mode="clip").reshape(3 * n, *given.shape)
+    before, gates, cand, after = (_room(space, name, k * (keep or name == "after"), *given.shape, kind=kind) for name, k in (("before", n), ("gates", 2 * n), ("cand", n), ("after", n)))
     any_reset = reset.any(axis=1)
-    gates, new = np.empty((given.shape[1], 2 * n), np.float32), np.empty((given.shape[1], n), np.float32)
     for t in range(len(given)):
         if any_reset[t]:
-            h = h * ~reset[t][:, None]
-        np.matmul(h, p["ug"], out=gates)
-        gates += x[t, :, : 2 * n]
-        gates *= half
-        np.tanh(gates, out=gates)
-        gates += one
-        gates *= half
-        np.matmul(gates[:, n:] * h, p["un"], out=new)
-        new += x[t, :, 2 * n :]
-        np.tanh(new, out=new)
-        new -= h
-        new *= gates[:, :n]
-        h = np.add(h, new, out=states[t])
-    return states, h
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+            h = h * ~reset[t]
+        if keep:
+            before[:, t] = h
+        g = u_gates @ h
+        g += x[: 2 * n, t]
+        np.tanh(g, out=g)
+        g *= half
+        g += half
+        c = u_new @ (g[n:] * h)
+        c += x[2 * n :, t]
+        np.tanh(c, out=c)
+        if keep:
+            gates[:, t], cand[:, t] = g, c
+        c -= h
+        c *= g[:n]
+        h = h + c
+        after[:, t] = h
+    return before, gates, cand, after
+
+
+#: Rows of a softmax handled at a time, so that they stay in the processor's cache.
+ROWS = 1024
+
+
+def _less_one(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
+    """In x's place its softmax less 1 in one column of each row, the gradient of the loss; and the loss."""
+    among = np.arange(len(x))
+    if x.size and float(x.max()) > 60:  # else no sum overflows
+        x -= x.max(axis=1, keepdims=True)
+    own = float(x[among, at].sum())
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x /= total[:, None]
+    x[among, at] -= 1
+    return x, float(np.log(total).sum()) - own
 
 
 def _own_log(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -137,14 +142,22 @@ def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, in
     return order, c, [(int(c[a]), int(a), int(b)) for a, b in zip([0, *cut], [*cut, len(c)], strict=True)] if len(c) else []
 
 
-def log_probs(p: Params, states: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log probability of y after each of states (n, hidden)."""
+def log_probs(p: Params, states: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Natural log probability of y after each of the columns `real` of states (features, all)."""
     order, c, groups = _by_class(y)
-    s, w = states[order], y[order] % WIDTH
-    own = _own_log(s @ p["wc"] + p["bc"], c)
-    for k, a, b in groups:
+    s, w = states.take(real[order], axis=1).T, y[order] % WIDTH
+    own = np.empty(len(y))
+    for a in range(0, len(y), ROWS):
+        x = s[a : a + ROWS] @ p["wc"]
+        x += p["bc"]
+        own[a : a + ROWS] = _own_log(x, c[a : a + ROWS])
+    for k, first, end in groups:
         at = slice(k * WIDTH, (k + 1) * WIDTH)
-        own[a:b] += _own_log(s[a:b] @ p["ww"][at].T + p["bw"][at], w[a:b])
+        for a in range(first, end, ROWS):
+            b = min(end, a + ROWS)
+            x = s[a:b] @ p["ww"][at].T
+            x += p["bw"][at]
+            own[a:b] += _own_log(x, w[a:b])
     out = np.empty(len(y))
     out[order] = own
     return out
@@ -166,66 +179,97 @@ def score(p: Params, tokens: np.ndarray, off: np.ndarray, width: int = 256, step
     out = np.zeros(len(off) - 1)
     if len(out) and off[-1]:
         tok, doc = grid(tokens, off, width)
-        n = p["u"].shape[0]
-        p = p | {"xb": p["x"] + p["b"], "ug": np.ascontiguousarray(p["u"][:, : 2 * n]), "un": np.ascontiguousarray(p["u"][:, 2 * n :])}
-        h = np.zeros((tok.shape[1], n), np.float32)
+        h, space = np.zeros((p["u"].shape[0], tok.shape[1]), np.float32), {}
         for given, wanted, reset, own in windows(tok, doc, steps):
-            states, h = _states(p, given, reset, h[: given.shape[1]])
-            real = own >= 0
-            out += np.bincount(own[real], log_probs(p, states[real], wanted[real]), len(out))
+            states = _run(p, given, reset, h[:, : given.shape[1]], space, keep=False)[-1]
+            h, own = states[:, -1].copy(), own.reshape(-1)
+            real = np.flatnonzero(own >= 0)
+            out += np.bincount(own[real], log_probs(p, states.reshape(len(h), -1), wanted.reshape(-1)[real], real), len(out))
     return out
 
 
-def gradients(p: Params, given: np.ndarray, wanted: np.ndarray, reset: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray, float]:
-    """Gradients of the mean loss of a window, the state it ends in, and the loss."""
-    n = p["u"].shape[0]
-    states, last, kept = _run(p, given, reset, h)
-    y = wanted[real]
+def gradients(p: Params, given: np.ndarray, wanted: np.ndarray, reset: np.ndarray, real: np.ndarray, h: np.ndarray, space: dict | None = None) -> tuple[Params, np.ndarray, float]:
+    """Gradients of the mean loss of a window, the state it ends in, and the loss. space: see _room."""
+    n, kind = p["u"].shape[0], p["u"].dtype
+    space = {} if space is None else space
+    room = lambda name, k: _room(space, name, k, *given.shape, kind=kind)
+    before, gates, cand, states = _run(p, given, reset, h, space)
+    at = np.flatnonzero(real)
+    y = wanted.reshape(-1)[at]
     order, c, groups = _by_class(y)
-    s, w, count = states[real][order], y[order] % WIDTH, max(1, len(y))
+    at = at[order]
+    s, w, count = states.reshape(n, -1).take(at, axis=1).T, y[order] % WIDTH, max(1, len(y))
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    lc = _log_softmax(s @ p["wc"] + p["bc"])
-    loss = -lc[np.arange(len(c)), c].sum()
-    d = np.exp(lc)
-    d[np.arange(len(c)), c] -= 1
-    d /= count
-    g["wc"], g["bc"] = s.T @ d, d.sum(axis=0)
-    ds = d @ p["wc"].T
-    for k, a, b in groups:
-        at = slice(k * WIDTH, (k + 1) * WIDTH)
-        lw = _log_softmax(s[a:b] @ p["ww"][at].T + p["bw"][at])
-        loss -= lw[np.arange(b - a), w[a:b]].sum()
-        d = np.exp(lw)
-        d[np.arange(b - a), w[a:b]] -= 1
-        d /= count
-        g["ww"][at], g["bw"][at] = d.T @ s[a:b], d.sum(axis=0)
-        ds[a:b] += d @ p["ww"][at]
-    back = np.empty_like(ds)
-    back[order] = ds
-    dstates = np.zeros_like(states)
-    dstates[real] = back
-    u_gates, u_new = p["u"][:, : 2 * n], p["u"][:, 2 * n :]
-    dh, dx = np.zeros_like(h), np.empty((*given.shape, 3 * n), np.float32)
+    ds, loss = np.empty((len(s), n), kind), 0.0
+    for a in range(0, len(s), ROWS):
+        own = s[a : a + ROWS]
+        d = own @ p["wc"]
+        d += p["bc"]
+        d, more = _less_one(d, c[a : a + ROWS])
+        loss += more
+        g["wc"] += own.T @ d
+        g["bc"] += d.sum(axis=0)
+        np.matmul(d, p["wc"].T, out=ds[a : a + ROWS])
+    for k, first, end in groups:
+        of = slice(k * WIDTH, (k + 1) * WIDTH)
+        for a in range(first, end, ROWS):
+            b = min(end, a + ROWS)
+            own = s[a:b]
+            d = own @ p["ww"][of].T
+            d += p["bw"][of]
+            d, more = _less_one(d, w[a:b])
+            loss += more
+            g["ww"][of] += d.T @ own
+            g["bw"][of] += d.sum(axis=0)
+            ds[a:b] += d @ p["ww"][of]
+    for k in ("wc", "bc", "ww", "bw"):
+        g[k] /= count
+    ds /= count
+    dstates = room("dstates", n)
+    dstates[:] = 0
+    dstates.reshape(n, -1)[:, at] = ds.T
+    # what a step's gradients are multiplied by, for all steps at once; the loop is what depends on the step after
+    z, r = gates[:n], gates[n:]
+    keep, by_new, by_z, by_r, rh = np.subtract(1, z, out=room("keep", n)), np.multiply(cand, cand, out=room("by_new", n)), np.subtract(cand, before, out=room("by_z", n)), np.subtract(1, r, out=room("by_r", n)), np.multiply(r, before, out=room("rh", n))
+    np.subtract(1, by_new, out=by_new)
+    by_new *= z
+    by_z *= z
+    by_z *= keep
+    by_r *= rh
+    u_gates, u_new = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :])
+    any_reset = reset.any(axis=1)
+    dh, dx = np.zeros((n, given.shape[1]), kind), room("dx", 3 * n)
     for t in range(len(given) - 1, -1, -1):
-        prev, z, r, rh, cand = kept[t]
-        dh = dh + dstates[t]
-        da = dh * z * (1 - cand * cand)
-        drh = da @ u_new.T
-        dgates = np.concatenate([dh * (cand - prev) * z * (1 - z), drh * prev * r * (1 - r)], axis=1)
-        g["u"][:, : 2 * n] += prev.T @ dgates
-        g["u"][:, 2 * n :] += rh.T @ da
-        dx[t, :, : 2 * n], dx[t, :, 2 * n :] = dgates, da
-        dh = dh * (1 - z) + drh * r + dgates @ u_gates.T
-        if reset[t].any():
-            dh = np.where(reset[t][:, None], np.float32(0), dh)
-    g["b"] = dx.sum(axis=(0, 1))
-    np.add.at(g["x"], given.reshape(-1), dx.reshape(-1, 3 * n))
-    return g, last, float(loss) / count
-
-
-def train(p: Params, tokens: np.ndarray, off: np.ndarray, width: int = 128, steps: int = 16, rate: float = 0.01, past: dict | None = None) -> Params:
-    """One pass of Adam over the documents, a step for each window. past: the moments and the number of
-    steps, to go on from with more documents; empty at first."""
+        dh += dstates[:, t]
+        da = dh * by_new[:, t]
+        drh = u_new @ da
+        dgates = np.concatenate([dh * by_z[:, t], drh * by_r[:, t]])
+        dx[: 2 * n, t], dx[2 * n :, t] = dgates, da
+        dh *= keep[:, t]
+        drh *= r[:, t]
+        dh += drh
+        dh += u_gates @ dgates
+        if any_reset[t]:
+            dh *= ~reset[t]
+    flat = dx.reshape(3 * n, -1)
+    g["u"][:, : 2 * n] = before.reshape(n, -1) @ flat[: 2 * n].T
+    g["u"][:, 2 * n :] = rh.reshape(n, -1) @ flat[2 * n :].T
+    g["b"] = flat.sum(axis=1)
+    to = given.reshape(-1).astype(np.intp)
+    for i, row in enumerate(flat):
+        g["x"][:, i] = np.bincount(to, row, len(p["x"]))
+    return g, states[:, -1].copy(), loss / count
+
+
+def segments(off: np.ndarray, most: int) -> np.ndarray:
+    """Offsets with the documents longer than `most` cut into sequences of that length."""
+    return np.unique(np.concatenate([off, *(np.arange(a, b, most) for a, b in zip(off, off[1:], strict=False) if b - a > most)]))
+
+
+def train(p: Params, tokens: np.ndarray, off: np.ndarray, width: int = 512, steps: int = 32, rate: float = 0.03, past: dict | None = None, longest: int = 1024) -> Params:
+    """One pass of Adam over the documents, a step for each window. Documents longer than `longest` tokens
+    are trained on as several, so that the lanes end together. past: the moments and the number of steps,
+    to go on from with more documents; empty at first."""
     p = {k: v.copy() for k, v in p.items()}
     if len(off) < 2 or not off[-1]:
         return p
@@ -233,17 +277,23 @@ def train(p: Params, tokens: np.ndarray, off: np.ndarray, width: int = 128, step
     if not past:
         past |= {"m": {k: np.zeros_like(v) for k, v in p.items()}, "v": {k: np.zeros_like(x) for k, x in p.items()}, "i": 0}
     m, v = past["m"], past["v"]
-    tok, doc = grid(tokens, off, width)
-    h = np.zeros((tok.shape[1], p["u"].shape[0]), np.float32)
+    tok, doc = grid(tokens, segments(off, longest), width)
+    h, space = np.zeros((p["u"].shape[0], tok.shape[1]), np.float32), {}
     for given, wanted, reset, own in windows(tok, doc, steps):
-        g, h, _ = gradients(p, given, wanted, reset, own >= 0, h[: given.shape[1]])
+        g, h, _ = gradients(p, given, wanted, reset, own >= 0, h[:, : given.shape[1]], space)
         past["i"] += 1
         i = past["i"]
         step = rate * np.sqrt(1 - 0.999**i) / (1 - 0.9**i)
         for k in p:
-            m[k] *= 0.9
-            m[k] += 0.1 * g[k]
-            v[k] *= 0.999
-            v[k] += 0.001 * g[k] * g[k]
-            p[k] -= np.float32(step) * m[k] / (np.sqrt(v[k]) + 1e-8)
+            m[k] *= np.float32(0.9)
+            m[k] += np.float32(0.1) * g[k]
+            v[k] *= np.float32(0.999)
+            g[k] *= g[k]
+            g[k] *= np.float32(0.001)
+            v[k] += g[k]
+            d = np.sqrt(v[k], out=g[k])
+            d += np.float32(1e-8)
+            np.divide(m[k], d, out=d)
+            d *= np.float32(step)
+            p[k] -= d
     return p

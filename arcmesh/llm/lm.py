@@ -20,6 +20,7 @@ Nulls: a null text is empty and is scored as its end token alone; a null doc_id
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -28,32 +29,54 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from arcmesh.llm import gru
 from arcmesh.llm.langid import fold
-from arcmesh.llm.store import arrow_rows, forget, keyed, written
+from arcmesh.llm.store import arrow_batches, forget, keyed, written
 from arcmesh.llm.textblocks import buffers, chunks, words
 from arcmesh.llm.wordjoin import BLOCK, PAYLOAD, blocks, opened, payloads
 
 OUTPUTS, SPELLINGS, HIDDEN = 2048, 95, 16
-EVERY, ROUNDS = 1, 2
+ROUNDS = 2
 #: Tokens of the sequences that a copy holds at once.
 PASS = 1_000_000
-#: Bytes of the words that may be outputs, which bounds the model's size.
+#: Bytes of the words that stand for themselves; longer ones are known by a digest, which bounds every key.
 LONGEST = 48
 #: Weights in a row, and copies averaged in a group, of the averaging tree.
 PIECE, FANOUT = 8192, 64
 
 
+def word_keys(distinct: pa.Array) -> pa.Array:
+    """The words, those over LONGEST bytes as a byte that begins no word and their SHA-256."""
+    long = pc.greater(pc.binary_length(distinct), LONGEST)
+    if pc.any(long).as_py():
+        digests = pa.array([b"\xff" + hashlib.sha256(w).digest() for w in distinct.filter(long).to_pylist()], distinct.type)
+        distinct = pc.replace_with_mask(distinct, long, digests)
+    return distinct.cast(pa.binary())
+
+
+#: Group of a word by its last two bytes (of a word of one byte, by that).
+_TWO = np.array([1 + zlib.crc32(bytes(divmod(x, 256))) % SPELLINGS for x in range(1 << 16)])
+_ONE = np.array([1 + zlib.crc32(bytes([x])) % SPELLINGS for x in range(256)])
+
+
+def spelling_groups(keys: pa.Array) -> np.ndarray:
+    """The output that stands for each word that has none of its own."""
+    off, raw = buffers(keys)
+    if not len(raw):
+        return np.ones(len(keys), np.int64)
+    last = raw[off[1:] - 1].astype(np.int64)
+    return np.where(np.diff(off) > 1, _TWO[raw[np.maximum(off[1:] - 2, 0)].astype(np.int64) * 256 + last], _ONE[last])
+
+
 def _requests(size: int):
-    """word, block, at, n: a block's distinct words and their counts in its training documents."""
+    """word (its key), block, at, n: a block's distinct words and their counts in its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, rows, index, distinct in blocks(batches, size, words):
             learn = np.repeat(~rows.column("held_out").to_numpy(), rows.column("words").to_numpy())
             n = np.bincount(index[learn], minlength=len(distinct))
-            whole = pa.RecordBatch.from_arrays([distinct.cast(pa.binary()), pa.array(np.full(len(distinct), k)), pa.array(np.arange(len(distinct), dtype=np.int32)), pa.array(n.astype(np.int64))], ["word", "block", "at", "n"])
+            whole = pa.RecordBatch.from_arrays([word_keys(distinct), pa.array(np.full(len(distinct), k)), pa.array(np.arange(len(distinct), dtype=np.int32)), pa.array(n.astype(np.int64))], ["word", "block", "at", "n"])
             for i in range(0, len(distinct), 50_000):
                 yield whole.slice(i, 50_000)
 
@@ -64,15 +87,15 @@ def _sequences(held):
     """ids (16-bit) of the training sequences: words, then the end (0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = pa.array(held.value, pa.large_binary())
+        top = pa.array(held.value, pa.binary())
         for batch in batches:
             off, raw = buffers(batch.column("text"))
             for a, b in chunks(off):
                 found, per = words(off[a : b + 1] - off[a], raw[off[a] : off[b]])
                 coded = found.dictionary_encode()
-                at = pc.index_in(coded.dictionary, value_set=top).fill_null(-1).to_numpy()
-                group = np.fromiter((1 + zlib.crc32(w[-2:]) % SPELLINGS for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-                ids = np.where(at >= 0, at + 1 + SPELLINGS, group).astype("<u2")[coded.indices.to_numpy()]
+                own = word_keys(coded.dictionary)
+                at = pc.index_in(own, value_set=top).fill_null(-1).to_numpy()
+                ids = np.where(at >= 0, at + 1 + SPELLINGS, spelling_groups(own)).astype("<u2")[coded.indices.to_numpy()]
                 ids = np.insert(ids, np.cumsum(per), 0)
                 ends = np.cumsum(per + 1)
                 yield pa.RecordBatch.from_arrays([batch.column("rk").slice(a, b - a), pa.array([ids[e - n - 1 : e].tobytes() for e, n in zip(ends, per, strict=True)], pa.binary())], ["rk", "ids"])
@@ -136,29 +159,28 @@ def learned(start: gru.Params, sequences: DataFrame, rounds: int = ROUNDS) -> gr
     return p
 
 
-def score_documents(docs: DataFrame, every: int = EVERY, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """rk, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), (fold("doc_id", 10) == 0).alias("held_out")))
-    asked = rows.mapInArrow(_requests(block), "word binary, block long, at int, n long")
-    same = Window.partitionBy("word")
-    counted = written(asked.withColumn("total", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("block")) == 1).drop("n"), "counts")
-    seen = counted.filter("first and total > 0")
+    asked = written(rows.mapInArrow(_requests(block), "word binary, block long, at int, n long"), "requests")
+    # totals combine before their shuffle; their join back to the blocks is one that Spark splits where a
+    # word that every block holds makes a partition large
+    counted = written(asked.filter("n > 0").groupBy("word").agg(F.sum("n").alias("total")), "counts")
     ends = rows.filter(~F.col("held_out")).count()
-    top = [r.word for r in seen.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("total"), "word").limit(OUTPUTS - 1 - SPELLINGS).select("word", "total").collect()]
-    top = [bytes(w) for w in top]
+    top = [bytes(r.word) for r in counted.orderBy(F.desc("total"), "word").limit(OUTPUTS - 1 - SPELLINGS).collect()]
     ranks = F.broadcast(spark.createDataFrame([(w, i + 1 + SPELLINGS) for i, w in enumerate(top)], "word binary, rank int"))  # OUTPUTS rows at most
-    coded = counted.join(ranks, "word", "left").withColumn("code", F.coalesce("rank", (1 + F.crc32(F.expr("substring(word, -2, 2)")) % SPELLINGS).cast("int")))
-    sums = coded.filter("first and total > 0").groupBy("code").agg(F.sum("total").alias("n"), F.count("*").alias("v")).collect()
+    group = (1 + F.crc32(F.expr("substring(word, -2, 2)")) % SPELLINGS).cast("int")
+    coded = counted.join(ranks, "word", "left").select("word", "total", F.coalesce("rank", group).alias("code"))
+    sums = coded.groupBy("code").agg(F.sum("total").alias("n"), F.count("*").alias("v")).collect()
     n_of, v_of = np.zeros(OUTPUTS), np.zeros(OUTPUTS)
     for r in sums:
         n_of[r.code], v_of[r.code] = r.n, r.v
     n_of[0], v_of[0] = ends, ends > 0
     n_all, v_all = float(n_of.sum()), float(v_of.sum())
     start = gru.new(n_of, HIDDEN)
-    learners = rows.filter(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "rk"), F.lit(every)) == 0))
-    sequences = written(learners.mapInArrow(_sequences(spark.sparkContext.broadcast(top)), "rk long, ids binary"), "sequences")
+    sequences = written(rows.filter(~F.col("held_out")).mapInArrow(_sequences(spark.sparkContext.broadcast(top)), "rk long, ids binary"), "sequences")
     held = spark.sparkContext.broadcast((learned(start, sequences, rounds), n_of, v_of, n_all, v_all))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -186,6 +208,6 @@ def score_documents(docs: DataFrame, every: int = EVERY, rounds: int = ROUNDS, b
         columns = [rows.column("rk"), rows.column("doc_id"), rows.column("held_out"), pa.array(n), pa.array(sums[2].astype(np.int64) + (n_of[0] > 0)), pa.array(np.full(len(n), int(n_all))), pa.array(sums[0] + np.log10(n_of[0] + 0.1) - n * np.log10(n_all + 0.1 * (v_all + 1))), pa.array(sums[1] + sums[3])]
         return pa.table(columns, ["rk", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answers = coded.select("block", "at", "total", "code")
+    answers = asked.select("word", "block", "at").join(coded, "word", "left").select("block", "at", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("code", group).alias("code"))
     payload = rows.mapInArrow(payloads(block, words), PAYLOAD)
     return payload.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "rk long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -65,7 +65,3 @@ def arrow_batches(spark: SparkSession) -> None:
 
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
-    arrow_batches(spark)
