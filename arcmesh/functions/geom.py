@@ -1,7 +1,14 @@
-"""Column functions over points arrays (array<struct<x,y>>); all stay in the JVM."""
+"""Column functions over points arrays (array<struct<x,y>>); all stay in the JVM.
+
+A lambda that looks at its array's other elements would compute the array again for each of them, as the
+optimizer puts a column's expression wherever the column is named. `let` binds the array to a variable, so
+that every function here costs one evaluation of its input and a pass over it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,18 +17,26 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column | str, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once."""
+    return F.get(F.transform(F.array(_c(x)), f), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
 def signed_area(pts: Column | str) -> Column:
     """Shoelace area; counter-clockwise is positive. An open ring is closed by its first point."""
-    p = _c(pts)
-    n = F.size(p)
-    steps = F.sequence(F.lit(0), n - 1)
-    at = lambda i: F.get(p, i)
-    term = lambda i: at(i)["x"] * at((i + 1) % n)["y"] - at((i + 1) % n)["x"] * at(i)["y"]
-    return F.when(n > 0, F.aggregate(steps, F.lit(0.0), lambda s, i: s + term(i)) / 2).otherwise(F.lit(0.0))
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def whole(p: Column) -> Column:
+        last = F.get(p, F.size(p) - 1)
+        start = zero.withField("x", last["x"]).withField("y", last["y"])
+        step = lambda s, v: F.struct((s["sum"] + (s["x"] * v["y"] - v["x"] * s["y"])).alias("sum"), v["x"].alias("x"), v["y"].alias("y"))
+        return F.when(F.size(p) > 0, F.aggregate(p, start, step)["sum"] / 2).otherwise(F.lit(0.0))
+
+    return let(pts, whole)
 
 
 def is_ccw(pts: Column | str) -> Column:
@@ -30,9 +45,8 @@ def is_ccw(pts: Column | str) -> Column:
 
 
 def force_winding(pts: Column | str, ccw: Column | bool) -> Column:
-    p = _c(pts)
     want = F.lit(ccw) if isinstance(ccw, bool) else ccw
-    return F.when(is_ccw(p) == want, p).otherwise(F.reverse(p))
+    return let(pts, lambda p: F.when(is_ccw(p) == want, p).otherwise(F.reverse(p)))
 
 
 def ring_winding(pts: Column | str, exterior: Column, order: str) -> Column:
@@ -43,16 +57,15 @@ def ring_winding(pts: Column | str, exterior: Column, order: str) -> Column:
 
 
 def line_length(pts: Column | str) -> Column:
-    p = _c(pts)
-    d = lambda i: F.sqrt(F.pow(F.get(p, i + 1)["x"] - F.get(p, i)["x"], 2) + F.pow(F.get(p, i + 1)["y"] - F.get(p, i)["y"], 2))
-    return F.when(F.size(p) > 1, F.aggregate(F.sequence(F.lit(0), F.size(p) - 2), F.lit(0.0), lambda s, i: s + d(i))).otherwise(F.lit(0.0))
+    far = lambda a, b: F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2))
+    steps = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), far)
+    return let(pts, lambda p: F.when(F.size(p) > 1, F.aggregate(steps(p), F.lit(0.0), lambda s, d: s + d)).otherwise(F.lit(0.0)))
 
 
 def drop_repeats(pts: Column | str) -> Column:
     """Without consecutive repeats; where that leaves a single point, all points stay."""
-    p = _c(pts)
-    kept = F.filter(p, lambda v, i: (i == 0) | (v != F.get(p, i - 1)))
-    return F.when(F.size(kept) > 1, kept).otherwise(p)
+    kept = lambda p: F.filter(p, lambda v, i: (i == 0) | (v != F.get(p, i - 1)))
+    return let(pts, lambda p: let(kept(p), lambda k: F.when(F.size(k) > 1, k).otherwise(p)))
 
 
 def quantize_points(pts: Column | str, x0: Column, y0: Column, kx: Column, ky: Column) -> Column:
@@ -70,19 +83,8 @@ def round_points(pts: Column | str, decimals: int) -> Column:
 
 def delta_encode(pts: Column | str) -> Column:
     """The first point, then differences."""
-    p = _c(pts)
-    return F.transform(p, lambda v, i: F.when(i == 0, v).otherwise(point(v["x"] - F.get(p, i - 1)["x"], v["y"] - F.get(p, i - 1)["y"])))
-
-
-def delta_decode(pts: Column | str) -> Column:
-    p = _c(pts)
-    zero = F.array().cast("array<struct<x:double,y:double>>")
-
-    def add(done: Column, v: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        return F.concat(done, F.array(F.when(F.size(done) == 0, v).otherwise(point(v["x"] + last["x"], v["y"] + last["y"]))))
-
-    return F.aggregate(p, zero, add)
+    step = lambda p: lambda v, i: F.when(i == 0, v).otherwise(let(F.get(p, i - 1), lambda u: point(v["x"] - u["x"], v["y"] - u["y"])))
+    return let(pts, lambda p: F.transform(p, step(p)))
 
 
 def cross(a: Column, b: Column, c: Column) -> Column:
@@ -92,34 +94,30 @@ def cross(a: Column, b: Column, c: Column) -> Column:
 
 def drop_collinear(pts: Column | str) -> Column:
     """One pass: inner points on the line of their original neighbours go, spikes and repeats too."""
-    p = _c(pts)
-    return F.filter(p, lambda v, i: (i == 0) | (i == F.size(p) - 1) | (cross(F.get(p, i - 1), v, F.get(p, i + 1)) != 0))
+    return let(pts, lambda p: F.filter(p, lambda v, i: (i == 0) | (i == F.size(p) - 1) | (cross(F.get(p, i - 1), v, F.get(p, i + 1)) != 0)))
 
 
 def is_closed(pts: Column | str) -> Column:
-    p = _c(pts)
-    return (F.size(p) > 2) & (F.get(p, F.lit(0)) == F.get(p, F.size(p) - 1))
+    return let(pts, lambda p: (F.size(p) > 2) & (F.get(p, F.lit(0)) == F.get(p, F.size(p) - 1)))
 
 
 def reverse_if(pts: Column | str, cond: Column) -> Column:
-    return F.when(cond, F.reverse(_c(pts))).otherwise(_c(pts))
+    return let(pts, lambda p: F.when(cond, F.reverse(p)).otherwise(p))
 
 
 def _least_rotation(open_ring: Column) -> Column:
     """Of the rotations that start at the smallest point (usually one), the smallest."""
-    n = F.size(open_ring)
-    low = F.array_min(open_ring)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(open_ring, i) == low)
-    return F.array_min(F.transform(starts, lambda i: F.concat(F.slice(open_ring, i + 1, n - i), F.slice(open_ring, F.lit(1), i))))
 
+    def whole(p: Column) -> Column:
+        n = F.size(p)
+        starts = let(F.array_min(p), lambda low: F.filter(F.transform(p, lambda v, i: F.when(v == low, i)), lambda i: i.isNotNull()))
+        return F.array_min(F.transform(starts, lambda i: F.concat(F.slice(p, i + 1, n - i), F.slice(p, F.lit(1), i))))
 
-def canonical(pts: Column | str) -> Column:
-    """Equal for the same path in either direction and, if closed, from any start."""
-    p = _c(pts)
-    opened = F.slice(p, F.lit(1), F.size(p) - 1)
-    return F.when(is_closed(p), F.least(_least_rotation(opened), _least_rotation(F.reverse(opened)))).otherwise(F.least(p, F.reverse(p)))
+    return let(open_ring, whole)
 
 
-def tolerance_key(v: Column) -> Column:
-    """Coordinates to 1e-8 as integers."""
-    return F.rint(v * 1e8).cast("long")
+def canonical(pts: Column | str) -> Column:
+    """Equal for the same path in either direction and, if closed, from any start."""
+    opened = lambda p: F.slice(p, F.lit(1), F.size(p) - 1)
+    ring = lambda p: let(opened(p), lambda o: F.least(_least_rotation(o), _least_rotation(F.reverse(o))))
+    return let(pts, lambda p: F.when(is_closed(p), ring(p)).otherwise(F.least(p, F.reverse(p))))

@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arcmesh.functions import geom
-from arcmesh.operators.junctions import segments
+from arcmesh.operators.junctions import segments, with_cells
 from arcmesh.operators.lines import collected
 
 
 def on_segments(verts: DataFrame, junctions: DataFrame, cell: float, eps: float = 1e-8) -> DataFrame:
     """ring_id, fpos, x, y: junctions strictly inside a segment, with their fractional place. Segments
-    meet the junctions of the grid cells that their envelopes cover."""
-    segs = segments(verts)
-    pad = max(eps, cell * 1e-9)
-    span = lambda a, b: F.explode(F.expr(f"sequence(floor((least({a}, {b}) - {pad}) / {cell}), floor((greatest({a}, {b}) + {pad}) / {cell}))"))
-    cells = segs.withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))
+    meet the junctions of the grid cells that they pass."""
+    cells = with_cells(segments(verts), cell, max(eps, cell * 1e-9))
     at = junctions.select("x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     hit = cells.join(at, ["cx", "cy"]).withColumn("dx", F.expr("x2 - x1")).withColumn("dy", F.expr("y2 - y1")).withColumn("dd", F.expr("dx * dx + dy * dy")).withColumn("t", F.expr("(x - x1) * dx + (y - y1) * dy"))
     ends = F.expr(f"greatest(abs(x - x1), abs(y - y1)) > {eps} and greatest(abs(x - x2), abs(y - y2)) > {eps}")

@@ -18,9 +18,11 @@ def matched(slots: DataFrame) -> DataFrame:
     keyed = slots.withColumn("closed", geom.is_closed("pts")).withColumn("canon", geom.canonical("pts"))
     # an open path runs forward if it is its own canonical form; a closed one by the sign of its area
     keyed = keyed.withColumn("ahead", F.when(F.col("closed"), geom.signed_area("pts") >= 0).otherwise(F.col("pts") == F.col("canon")))
-    same = Window.partitionBy("closed", "canon")
+    # rows are shuffled and sorted by a hash of the path; the paths themselves are only compared where it is equal
+    keyed = keyed.withColumn("h", F.xxhash64("canon")).repartition("h")
+    same = Window.partitionBy("h", "closed", "canon")
     at = F.struct("ring_id", "seq")
-    return keyed.withColumn("keep", F.max(at).over(same)).withColumn("copies", F.count("*").over(same)).withColumn("same", F.col("ahead") == F.max_by("ahead", at).over(same)).drop("canon", "ahead")
+    return keyed.withColumn("keep", F.max(at).over(same)).withColumn("copies", F.count("*").over(same)).withColumn("same", F.col("ahead") == F.max_by("ahead", at).over(same)).drop("canon", "ahead", "h")
 
 
 def arcs_and_refs(slots: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -33,8 +35,8 @@ def arcs_and_refs(slots: DataFrame, parity: bool = False) -> tuple[DataFrame, Da
     refs = found.select("ring_id", "seq", "keep", "same").join(ids, "keep")
     if parity:
         refs = refs.withColumn("same", F.col("same") | (F.count("*").over(Window.partitionBy("ring_id")) == 1))
-    refs = refs.select("ring_id", "seq", F.col("arc_id").cast("int").alias("arc_id"), F.expr("cast(if(same, arc_id, -arc_id - 1) as int)").alias("signed_ref"))
-    return arcs.select(F.col("arc_id").cast("int").alias("arc_id"), "pts", "is_shared"), refs
+    refs = refs.select("ring_id", "seq", "arc_id", F.expr("if(same, arc_id, -arc_id - 1)").alias("signed_ref"))
+    return arcs.select("arc_id", "pts", "is_shared"), refs
 
 
 def merge_contiguous(slots: DataFrame) -> DataFrame:

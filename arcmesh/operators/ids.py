@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +11,11 @@ from pyspark.sql import functions as F
 def dense_ids(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """df with 0..n-1 in the given order: range partitions, their sizes, then places within them. Only
     the sizes, a row per partition, come to the driver."""
+    from arcmesh.operators.tables import settled
     from arcmesh.sources.features import local
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = settled(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", 33)
     sizes = placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
     starts, total = [], 0

@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from arcmesh.functions import geom
+from arcmesh.operators.lines import collected
+
 
 def coords_connected(verts: DataFrame) -> DataFrame:
     """x, y where a vertex has different pairs of neighbours. Neighbours wrap around the line's ends."""
@@ -32,20 +35,44 @@ def segments(verts: DataFrame) -> DataFrame:
     return verts.select("ring_id", "pos", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).filter("x2 is not null and (x1 <> x2 or y1 <> y2)")
 
 
-def _line_keys(exact: bool) -> tuple[Column, Column]:
-    """Slope and offset of a segment's line. With integers below 2^26 both are single divisions of exact
-    numbers, so equal lines have equal keys."""
+def with_cells(segs: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
+    """segs with the grid cells (cx, cy) that each segment passes, give or take pad: for every column of
+    cells along its longer axis those between its two places there, so a segment costs as many rows as it
+    is long in cells, not as many as its envelope holds."""
+    steep = F.expr("abs(y2 - y1) > abs(x2 - x1)")
+    pick = lambda a, b: F.when(steep, F.col(b)).otherwise(F.col(a))
+    own = segs.withColumn("_s", steep).withColumn("_a1", pick("x1", "y1")).withColumn("_b1", pick("y1", "x1")).withColumn("_a2", pick("x2", "y2")).withColumn("_b2", pick("y2", "x2"))
+    own = own.withColumn("_ca", F.explode(F.expr(f"sequence(floor((least(_a1, _a2) - {pad}) / {cell}), floor((greatest(_a1, _a2) + {pad}) / {cell}))")))
+    inside = lambda v: f"greatest(least(_a1, _a2), least(greatest(_a1, _a2), {v}))"
+    other = lambda v: f"_b1 + if(_a1 = _a2, 0D, ({inside(v)} - _a1) * ((_b2 - _b1) / (_a2 - _a1)))"
+    slack = max(pad, cell * 1e-9)  # places are computed; a wider reach only costs a row
+    own = own.withColumn("_u", F.expr(other(f"_ca * {cell} - {slack}"))).withColumn("_v", F.expr(other(f"(_ca + 1) * {cell} + {slack}")))
+    own = own.withColumn("_cb", F.explode(F.expr(f"sequence(floor((least(_u, _v) - {slack}) / {cell}), floor((greatest(_u, _v) + {slack}) / {cell}))")))
+    return own.withColumn("cx", F.expr("if(_s, _cb, _ca)")).withColumn("cy", F.expr("if(_s, _ca, _cb)")).drop("_s", "_a1", "_a2", "_b1", "_b2", "_ca", "_cb", "_u", "_v")
+
+
+#: Integers up to here have products, and sums of two of them, that doubles hold exactly.
+EXACT = 2.0**25
+
+
+def _line_keys(exact: bool, wide: bool) -> tuple[Column, Column]:
+    """Slope and offset of a segment's line. Integers: both are single divisions of exact numbers, so equal
+    lines have equal keys; wide: the products go beyond doubles and are taken as decimals."""
+    whole = (lambda c: c.cast("decimal(19,0)")) if wide else (lambda c: c)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     flat = F.abs(dy) <= F.abs(dx)
     run, rise = F.when(flat, dx).otherwise(dy), F.when(flat, dy).otherwise(dx)
     slope = rise / run + F.when(flat, 0.0).otherwise(10.0)  # steep lines have slopes of 9 to 11
-    c = F.when(flat, (dx * F.col("y1") - dy * F.col("x1")) / dx).otherwise((dy * F.col("x1") - dx * F.col("y1")) / dy)
+    u, v, x, y = (whole(c) for c in (dx, dy, F.col("x1"), F.col("y1")))
+    c = F.when(flat, (u * y - v * x) / u).otherwise((v * x - u * y) / v)
+    if wide:
+        return slope + 0.0, c
     return (slope + 0.0, c + 0.0) if exact else (F.round(slope, 7), F.round(c, 6))
 
 
-def overlaps(segs: DataFrame, cell: float, exact: bool = True) -> DataFrame:
+def overlaps(segs: DataFrame, cell: float, exact: bool = True, wide: bool = False) -> DataFrame:
     """la < lb and the ends (px, py), (qx, qy) of every piece that segments of two lines share."""
-    slope, offset = _line_keys(exact)
+    slope, offset = _line_keys(exact, wide)
     keyed = segs.withColumn("k1", slope).withColumn("k2", offset).withColumn("flat", F.expr("abs(y2 - y1) <= abs(x2 - x1)"))
     lo, hi = F.expr("if(flat, least(x1, x2), least(y1, y2))"), F.expr("if(flat, greatest(x1, x2), greatest(y1, y2))")
     # rounded keys: a line near the edge of a rounding step is found in the next one too
@@ -60,7 +87,8 @@ def overlaps(segs: DataFrame, cell: float, exact: bool = True) -> DataFrame:
     eps = 0.0 if exact else 1e-8
     both = a.join(b, ["k1", "k2", "cell"]).filter("la < lb")
     both = both.withColumn("dx", F.expr("ax2 - ax1")).withColumn("dy", F.expr("ay2 - ay1")).withColumn("dd", F.expr("dx * dx + dy * dy"))
-    off = lambda p: F.abs(F.expr(f"dx * (by{p} - ay1) - dy * (bx{p} - ax1)")) <= eps * F.sqrt("dd")
+    d = (lambda e: f"cast({e} as decimal(19,0))") if wide else (lambda e: f"({e})")
+    off = lambda p: F.abs(F.expr(f"{d('dx')} * {d(f'by{p} - ay1')} - {d('dy')} * {d(f'bx{p} - ax1')}")) <= (F.lit(0) if wide else eps * F.sqrt("dd"))
     both = both.filter(off(1) & off(2))
     both = both.withColumn("t1", F.expr("((bx1 - ax1) * dx + (by1 - ay1) * dy) / dd")).withColumn("t2", F.expr("((bx2 - ax1) * dx + (by2 - ay1) * dy) / dd"))
     both = both.withColumn("lo", F.least("t1", "t2")).withColumn("hi", F.greatest("t1", "t2"))
@@ -78,10 +106,10 @@ def overlaps(segs: DataFrame, cell: float, exact: bool = True) -> DataFrame:
     )
 
 
-def shared_pieces(verts: DataFrame, cell: float, exact: bool = True) -> DataFrame:
+def shared_pieces(verts: DataFrame, cell: float, exact: bool = True, wide: bool = False) -> DataFrame:
     """la, lb, p, q: the distinct undirected pieces that two lines share, of lines that aren't equal."""
     segs = segments(verts)
-    pieces = overlaps(segs, cell, exact).select("la", "lb", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    pieces = overlaps(segs, cell, exact, wide).select("la", "lb", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
     size = F.sqrt(F.pow(F.col("p.x") - F.col("q.x"), 2) + F.pow(F.col("p.y") - F.col("q.y"), 2))
     shared = pieces.groupBy("la", "lb").agg(F.sum(size).alias("shared"))
     length = segs.groupBy("ring_id").agg(F.sum(F.expr("sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))")).alias("len"))
@@ -90,10 +118,20 @@ def shared_pieces(verts: DataFrame, cell: float, exact: bool = True) -> DataFram
     return pieces.join(equal.select("la", "lb"), ["la", "lb"], "left_anti")
 
 
-def path_connected(verts: DataFrame, cell: float, exact: bool = True) -> DataFrame:
-    """x, y: the ends of the paths that two lines share. A merged path ends where other than two of the
+def distinct_lines(verts: DataFrame) -> DataFrame:
+    """verts of one line of each path (in either direction, closed ones from any start). Equal lines have
+    no junctions with each other and the same ones with all others, so however many copies of a line there
+    are, one stands for them; copies combine before the shuffle."""
+    own = collected(verts, ["ring_id"]).select("ring_id", geom.canonical("pts").alias("path"))
+    one = own.groupBy(F.xxhash64("path").alias("h"), "path").agg(F.min("ring_id").alias("ring_id"))
+    return verts.join(one.select("ring_id"), "ring_id", "left_semi")
+
+
+def path_connected(verts: DataFrame, cell: float, exact: bool = True, wide: bool = False) -> DataFrame:
+    """x, y: the ends of the paths that two lines share. exact: all coordinates are integers; wide: some
+    are beyond EXACT. A merged path ends where other than two of the
     pair's pieces meet; a shared loop without such an end gives its smallest point."""
-    pieces = shared_pieces(verts, cell, exact)
+    pieces = shared_pieces(distinct_lines(verts), cell, exact, wide)
     ends = pieces.select("la", "lb", F.explode(F.array("p", "q")).alias("n")).groupBy("la", "lb", "n").agg(F.count("*").alias("degree"))
     loops = ends.groupBy("la", "lb").agg(F.min("degree").alias("lo"), F.max("degree").alias("hi"), F.min("n").alias("n")).filter("lo = 2 and hi = 2").select("n")
     return ends.filter("degree <> 2").select("n").union(loops).select("n.x", "n.y").distinct()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +41,26 @@ def quantize_xy(points: DataFrame, t: tuple[float, float, float, float]) -> Data
 def dequantize(lines: DataFrame, t: tuple[float, float, float, float], pts: str = "pts") -> DataFrame:
     x0, y0, kx, ky = (F.lit(float(v)) for v in t)
     return lines.withColumn(pts, geom.dequantize_points(pts, x0, y0, kx, ky))
+
+
+def _running(pts: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = pa.array(b.column(pts))
+            off, body = column.offsets.to_numpy(), column.values
+            own, sums = body.slice(off[0], off[-1] - off[0]), []
+            starts = (off[:-1] - off[0])[np.diff(off) > 0]
+            for name in ("x", "y"):
+                v = own.field(name).to_numpy(zero_copy_only=False)
+                # each line alone: sums that run over the lines before would leave rounding in floating-point input
+                sums.append(np.concatenate([np.cumsum(x) for x in np.split(v, starts[1:])]) if len(starts) else v)
+            new = pa.ListArray.from_arrays(pa.array(off - off[0], pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in sums], ["x", "y"]), mask=column.is_null() if column.null_count else None)
+            yield pa.RecordBatch.from_arrays([new if c == pts else b.column(c) for c in b.schema.names], b.schema.names)
+
+    return run
+
+
+def delta_decode(lines: DataFrame, pts: str = "pts") -> DataFrame:
+    """lines with absolute points from delta-encoded ones: running sums, over Arrow batches, as no column
+    function sums an array in one pass."""
+    return lines.mapInArrow(_running(pts), lines.schema)

@@ -4,6 +4,7 @@ Each line is simplified alone, so this is a map without a shuffle. End points st
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,9 +36,23 @@ def douglas_peucker(p: np.ndarray, eps: float) -> np.ndarray:
     return keep
 
 
-def visvalingam(p: np.ndarray, eps: float) -> np.ndarray:
+def _empty(p: np.ndarray, keep: np.ndarray, i: int, a: int, b: int) -> bool:
+    """Whether no other point that stays lies in the triangle of i and its neighbours a and b: then the
+    line a to b crosses nothing that i's two sides did not."""
+    corners = p[[a, i, b]]
+    near = keep & ((p >= corners.min(axis=0)) & (p <= corners.max(axis=0))).all(axis=1)
+    q = p[near & ~(p[:, None] == corners[None]).all(axis=2).any(axis=1)]
+    if not len(q):
+        return True
+    side = lambda u, v: (v[0] - u[0]) * (q[:, 1] - u[1]) - (v[1] - u[1]) * (q[:, 0] - u[0])
+    s = np.stack([side(corners[0], corners[1]), side(corners[1], corners[2]), side(corners[2], corners[0])])
+    return not ((s >= 0).all(axis=0) | (s <= 0).all(axis=0)).any()
+
+
+def visvalingam(p: np.ndarray, eps: float, careful: bool = False) -> np.ndarray:
     """Rows of p that stay: the point of the smallest triangle with its neighbours goes while its area is
-    under eps; areas never fall below that of the last one gone."""
+    under eps; areas never fall below that of the last one gone. careful: a point stays while another one
+    lies in its triangle, so no crossing comes about."""
     n = len(p)
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     area = lambda i: abs((p[i][0] - p[left[i]][0]) * (p[right[i]][1] - p[left[i]][1]) - (p[right[i]][0] - p[left[i]][0]) * (p[i][1] - p[left[i]][1])) / 2
@@ -53,6 +68,8 @@ def visvalingam(p: np.ndarray, eps: float) -> np.ndarray:
             continue
         if a >= eps:
             break
+        if careful and not _empty(p, keep, i, left[i], right[i]):
+            continue
         keep[i] = False
         left[right[i]], right[left[i]] = left[i], right[i]
         for j in (left[i], right[i]):
@@ -63,10 +80,11 @@ def visvalingam(p: np.ndarray, eps: float) -> np.ndarray:
 
 
 def simplified(p: np.ndarray, eps: float, algorithm: str, careful: bool) -> np.ndarray:
-    """The points of p that stay. careful: closed lines keep four points, so no ring collapses."""
+    """The points of p that stay. careful: closed lines keep four points, so
+    no ring collapses, and with vw nothing comes to cross itself."""
     if len(p) < 3 or eps <= 0:
         return p
-    rule = douglas_peucker if algorithm == "dp" else visvalingam
+    rule = douglas_peucker if algorithm == "dp" else lambda p, eps: visvalingam(p, eps, careful)
     closed = len(p) > 3 and bool((p[0] == p[-1]).all())
     keep = rule(p, eps)
     while careful and closed and keep.sum() < 4 and eps > 1e-300:
@@ -75,6 +93,18 @@ def simplified(p: np.ndarray, eps: float, algorithm: str, careful: bool) -> np.n
     return p[keep]
 
 
+def chosen(package: str, algorithm: str, careful: bool) -> tuple[str, bool]:
+    """The algorithm and carefulness that an option `simplify_with` stands for: with `shapely` there is dp
+    alone; with `simplification` dp has no way to prevent oversimplification."""
+    if package == "shapely" and algorithm == "vw":
+        logging.warning("vw needs simplify_with='simplification'; lines are simplified by dp")
+        return "dp", careful
+    if package == "simplification" and algorithm == "dp" and careful:
+        logging.warning("dp with simplify_with='simplification' does not prevent oversimplification")
+        return "dp", False
+    return algorithm, careful
+
+
 def _batches(eps: float, algorithm: str, careful: bool, pts: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,6 +18,8 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:  # local sessions and tests
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="arcmesh-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)

@@ -38,14 +38,17 @@ def _steps(box: tuple[float, float, float, float], q: float) -> Transform:
 
 
 class Topology:
-    def __init__(self, data: Any = None, spark: SparkSession | None = None, options: TopologyOptions | None = None, **own):
+    def __init__(self, data: Any = None, spark: SparkSession | None = None, options: TopologyOptions | None = None, crs: str | None = None, **own):
         """data: anything sources.normalise() takes, a list of such layers if object_name is a list, a
-        Spark table of features (see sources.from_table and read_geojson), or encoded topology JSON."""
+        Spark table of features (see sources.from_table and read_geojson), or encoded topology JSON.
+        crs is carried to to_dataframe(); a table of features brings its own."""
         self.options = options or TopologyOptions(**own)
         self.spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         self.invalid = 0
         self._depth = 2  # levels of collections that a table may hold
         self._encoded: dict | None = None
+        tables = [x for x in (data if isinstance(data, list) else [data]) if isinstance(x, DataFrame)]
+        self.crs = crs or next((c for x in tables if (c := sources.crs_of(x))), None)
         if isinstance(data, str):
             data = json.loads(data)
         if isinstance(data, dict) and data.get("type") == "Topology":
@@ -127,9 +130,9 @@ class Topology:
         self._depth = sources.depth_of([[{"geometry": r[6], "type": r[4]} for r in rows]])
         self.features = make(rows, sources.COLUMNS)
         self.__dict__["rings"] = make(rings, "ring_id long, layer int, fid long, geom_path array<int>, part_idx int, ring_idx int, geom_type string").withColumn("is_ring", F.col("geom_type").isin("Polygon", "MultiPolygon"))
-        self.__dict__["refs"] = make(refs, "ring_id long, seq int, arc_id int, signed_ref int")
+        self.__dict__["refs"] = make(refs, "ring_id long, seq int, arc_id long, signed_ref long")
         self.__dict__["points"] = make(points, "layer int, fid long, geom_path array<int>, geom_type string, part_idx int, x double, y double")
-        plain_arcs = make([(k, [{"x": x, "y": y} for x, y in pts]) for k, pts in arcs], "arc_id int, pts array<struct<x:double,y:double>>")
+        plain_arcs = make([(k, [{"x": x, "y": y} for x, y in pts]) for k, pts in arcs], "arc_id long, pts array<struct<x:double,y:double>>")
         self._encoded = {"arcs": plain_arcs, "bbox": tuple(doc["bbox"]) if doc.get("bbox") else _box(plain_arcs, self.points)}
 
     # ---- stages
@@ -141,7 +144,9 @@ class Topology:
         if self.options.winding_order:
             own = own.withColumn("pts", F.when(F.col("is_ring"), geom.ring_winding("pts", F.col("ring_idx") == 0, self.options.winding_order)).otherwise(F.col("pts")))
         own = dense_ids(own, ["layer", "fid", "geom_path", "part_idx", "ring_idx"], "ring_id")
-        return settled(simplify.simplify(own, epsilon(self.options.presimplify, 1.0), self.options.simplify_algorithm, self.options.prevent_oversimplify))
+        if e := epsilon(self.options.presimplify, 1.0):
+            own = simplify.simplify(own, e, *simplify.chosen(self.options.simplify_with, self.options.simplify_algorithm, self.options.prevent_oversimplify))
+        return settled(own)
 
     @cached_property
     def rings(self) -> DataFrame:
@@ -186,8 +191,9 @@ class Topology:
             return v.select("x", "y").limit(0)
         if self.options.shared_coords:
             return settled(junctions.coords_connected(v))
-        whole = self.grid is not None or v.filter("x <> rint(x) or y <> rint(y) or abs(x) > 33554432 or abs(y) > 33554432").limit(1).count() == 0
-        return settled(junctions.path_connected(v, self._cell, whole))
+        got = v.agg(F.max(F.expr("greatest(abs(x), abs(y))")).alias("far"), F.coalesce(F.bool_and(F.expr("x = rint(x) and y = rint(y)")), F.lit(True)).alias("whole")).first()
+        whole = self.grid is not None or (got.whole and (got.far or 0) < 2**53)
+        return settled(junctions.path_connected(v, self._cell, whole, whole and (got.far or 0) > junctions.EXACT))
 
     @cached_property
     def slots(self) -> DataFrame:
@@ -231,7 +237,7 @@ class Topology:
     def _final(self) -> tuple:
         now = (self._encoded["arcs"] if self._encoded is not None else self._coded[0].select("arc_id", "pts"), self.grid, self.bbox, self.points)
         if e := epsilon(self.options.toposimplify, 1e-4):
-            now = self._simplified(now, e, self.options.simplify_algorithm, self.options.prevent_oversimplify, quantum(self.options.topoquantize) or quantum(self.options.prequantize))
+            now = self._simplified(now, e, *simplify.chosen(self.options.simplify_with, self.options.simplify_algorithm, self.options.prevent_oversimplify), quantum(self.options.topoquantize) or quantum(self.options.prequantize))
         if q := quantum(self.options.topoquantize):
             now = self._quantized(now, q)
         return now
@@ -261,7 +267,7 @@ class Topology:
         return settled(quantize.quantize(arcs, t)), t, box, quantize.quantize_xy(points, t)
 
     def _after(self, final: tuple, options: TopologyOptions) -> Topology:
-        out = Topology(spark=self.spark, options=options)
+        out = Topology(spark=self.spark, options=options, crs=self.crs)
         for name in ("features", "rings", "refs", "_depth"):
             out.__dict__[name] = getattr(self, name)
         out.__dict__["_final"] = final
@@ -270,9 +276,9 @@ class Topology:
     def topoquantize(self, quant_factor: float) -> Topology:
         return self._after(self._quantized(self._final, quantum(quant_factor)), self.options.changed(topoquantize=quant_factor))
 
-    def toposimplify(self, epsilon_: float, simplify_algorithm: str | None = None, prevent_oversimplify: bool | None = None) -> Topology:
-        algorithm = simplify_algorithm or self.options.simplify_algorithm
+    def toposimplify(self, epsilon_: float, simplify_algorithm: str | None = None, prevent_oversimplify: bool | None = None, simplify_with: str | None = None) -> Topology:
         careful = self.options.prevent_oversimplify if prevent_oversimplify is None else prevent_oversimplify
+        algorithm, careful = simplify.chosen(simplify_with or self.options.simplify_with, simplify_algorithm or self.options.simplify_algorithm, careful)
         q = quantum(self.options.topoquantize) or quantum(self.options.prequantize)
         if not q and self.transform:
             q = 10.0 ** len(str(int((self.final_bbox[2] - self.final_bbox[0]) / self.transform[2])))
@@ -309,9 +315,10 @@ class Topology:
         arcs, _ = self._plain(self._final)
         return decode.padded(self.rings.join(decode.stitched(self.refs, arcs), "ring_id"))
 
-    def to_dataframe(self, object_name: str | int = 0, winding_order: str | None = "CCW_CW", decimals: int | None = None, validate: bool = False, geometry: str = "geojson") -> DataFrame:
+    def to_dataframe(self, object_name: str | int = 0, winding_order: str | None = "CCW_CW", decimals: int | None = None, validate: bool = False, geometry: str = "geojson", crs: str | None = None) -> DataFrame:
         """id, properties, type and geometry (GeoJSON text, or WKB of geometry="wkb") of every feature of a
-        layer; stays in Spark. validate leaves out features with an invalid ring."""
+        layer; stays in Spark. validate leaves out features with an invalid ring. The crs, if there is one, is in
+        the metadata of the geometry column."""
         layer = self._layer_number(object_name)
         own = self.lines().filter(F.col("layer") == layer)
         if decimals is not None:
@@ -343,6 +350,8 @@ class Topology:
             from arcmesh.sources.wkb import to_wkb
 
             out = to_wkb(out)
+        if crs := crs or self.crs:
+            out = out.withMetadata("geometry", {"crs": crs})
         return out
 
     def geojson_rows(self, **how) -> DataFrame:
@@ -371,7 +380,9 @@ class Topology:
     def __geo_interface__(self) -> dict:
         return json.loads(self.to_geojson())
 
-    def to_dict(self, options: bool = False) -> dict:
+    def to_dict(self, options: bool = False, foreign: bool = False) -> dict:
+        """The encoded document. foreign: properties become members of their objects, see
+        sources.properties_foreign."""
         names, t = self.options.names, self.transform
         arcs = self.arcs.withColumn("pts", geom.delta_encode("pts")) if t else self.arcs
         number = (lambda v: int(v)) if t else (lambda v: v)
@@ -409,6 +420,9 @@ class Topology:
             if f.properties is not None:
                 g["properties"] = json.loads(f.properties)
             out["objects"][names[f.layer]]["geometries"].append(g)
+        if foreign:
+            for o in out["objects"].values():
+                sources.properties_foreign(o["geometries"])
         if options:
             out["options"] = self.options.to_dict()
         return out

@@ -96,7 +96,7 @@ def delta_encode(spark, sf):
 
 
 def delta_roundtrip(spark, sf):
-    out = quantize.quantize(trajectory_lines(spark, sf), _grid(spark, sf, 300)).withColumn("pts", geom.delta_decode(geom.delta_encode("pts")))
+    out = quantize.delta_decode(quantize.quantize(trajectory_lines(spark, sf), _grid(spark, sf, 300)).withColumn("pts", geom.delta_encode("pts")))
     return _ints(lines.vertices(out), "x", "y").withColumn("pos", F.col("pos").cast("long"))
 
 

@@ -8,9 +8,10 @@ never leave Spark.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def plain(x: Any) -> Any:
     """Tuples, arrays and objects with a __geo_interface__ as JSON values."""
     if hasattr(x, "__geo_interface__"):
         x = x.__geo_interface__
-    if isinstance(x, dict):
+    if isinstance(x, Mapping):
         return {str(k): plain(v) for k, v in x.items()}
     if isinstance(x, (list, tuple)):
         return [plain(v) for v in x]
@@ -31,9 +32,24 @@ def plain(x: Any) -> Any:
     return x
 
 
+def crosses_itself(ring: list) -> bool:
+    """Whether two segments of a ring properly cross."""
+    p = np.array([v[:2] for v in ring], float)
+    a, b = p[:-1], p[1:]
+    side = lambda o, q, v: np.sign((q[:, 0] - o[:, 0]) * (v[1] - o[:, 1]) - (q[:, 1] - o[:, 1]) * (v[0] - o[:, 0]))
+    for u, v in zip(a, b, strict=True):
+        apart = np.flatnonzero(side(a, b, u) * side(a, b, v) < 0)
+        if len(apart):
+            w = v - u
+            cut = lambda q: np.sign(w[0] * (q[:, 1] - u[1]) - w[1] * (q[:, 0] - u[0]))
+            if (cut(a[apart]) * cut(b[apart]) < 0).any():
+                return True
+    return False
+
+
 def valid(geometry: dict | None) -> bool:
     """Whether a geometry given as a dict can take part: known type, and rings that are closed, have four
-    points and an area."""
+    points and an area and don't cross themselves."""
     if not isinstance(geometry, dict) or geometry.get("type") not in GEOMETRIES:
         return False
     if geometry["type"] == "GeometryCollection":
@@ -44,7 +60,7 @@ def valid(geometry: dict | None) -> bool:
     for ring in (r for polygon in rings for r in polygon):
         if len(ring) < 4 or list(ring[0]) != list(ring[-1]):
             return False
-        if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) == 0:
+        if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) == 0 or crosses_itself(ring):
             return False
     return True
 
@@ -96,6 +112,8 @@ def normalise(data: Any, ignore_index: bool = False) -> tuple[list[dict], int]:
     data = plain(data)
     if isinstance(data, list):
         return from_items(enumerate(data))
+    if isinstance(data, Iterable) and not isinstance(data, dict):  # an open collection of features, or any other source of them
+        data = {"type": "FeatureCollection", "features": [plain(f) for f in data]}
     if not isinstance(data, dict):
         raise TypeError(f"no geometry can be read from {type(data).__name__}")
     kind = str(data.get("type", "")).lower()
@@ -129,35 +147,81 @@ def depth_of(layers: list[list[dict]]) -> int:
     return max((level(json.loads(f["geometry"])) for own in layers for f in own if f["type"] == "GeometryCollection" and f["geometry"]), default=0)
 
 
-def from_table(df: DataFrame, geometry: str = "geometry", id_col: str | None = None, layer: int = 0) -> DataFrame:
-    """Features of a table with a GeoJSON text (or geometry struct) column; the other columns become
-    properties. Numbers follow id_col, else the rows' order."""
+#: Members that a geometry object has itself (fixed values).
+RESERVED = ("type", "bbox", "coordinates", "geometries", "geometry", "properties", "features", "arcs")
+
+
+def properties_foreign(objects: list[dict]) -> list[dict]:
+    """objects with their properties as members of their own, in place; if any property has the name of a
+    reserved member, all stay where they are."""
+    if not any(k in RESERVED for o in objects for k in o.get("properties") or {}):
+        for o in objects:
+            o.update(o.pop("properties", None) or {})
+    return objects
+
+
+def crs_of(df: DataFrame, geometry: str = "geometry") -> str | None:
+    """The coordinate reference system in the metadata of a table's geometry column."""
+    return df.schema[geometry].metadata.get("crs") if geometry in df.columns else None
+
+
+def from_table(df: DataFrame, geometry: str = "geometry", id_col: str | None = None, layer: int = 0, crs: str | None = None) -> DataFrame:
+    """Features of a table with a column of GeoJSON text, geometry structs or WKB; the other columns become
+    properties. Numbers follow id_col, else the rows' order. crs: as given or as in the column's metadata."""
     from arcmesh.operators.ids import dense_ids
+    from arcmesh.sources.wkb import from_wkb
 
+    crs = crs or crs_of(df, geometry)
+    if dict(df.dtypes)[geometry] == "binary":
+        df = from_wkb(df, geometry)
     kind = dict(df.dtypes)[geometry]
     text = F.col(geometry) if kind == "string" else F.to_json(F.col(geometry))
     others = [c for c in df.columns if c not in (geometry, id_col)]
     own = df.select(F.col(id_col).cast("string").alias("id") if id_col else F.lit(None).cast("string").alias("id"), F.to_json(F.struct(*others), {"ignoreNullFields": "false"}).alias("properties") if others else F.lit(None).cast("string").alias("properties"), text.alias("geometry"), F.col(id_col).alias("_o") if id_col else F.monotonically_increasing_id().alias("_o"))
     placed = dense_ids(own, ["_o"], "fid")
     integers = id_col is None or dict(df.dtypes)[id_col] in ("int", "bigint", "smallint", "tinyint")
-    return placed.select(F.lit(layer).alias("layer"), "fid", F.coalesce("id", F.col("fid").cast("string")).alias("id"), F.lit(integers).alias("id_is_int"), F.get_json_object("geometry", "$.type").alias("type"), "properties", "geometry")
+    out = placed.select(F.lit(layer).alias("layer"), "fid", F.coalesce("id", F.col("fid").cast("string")).alias("id"), F.lit(integers).alias("id_is_int"), F.get_json_object("geometry", "$.type").alias("type"), "properties", "geometry")
+    return out.withMetadata("geometry", {"crs": crs}) if crs else out
+
+
+def drop_invalid(features: DataFrame) -> DataFrame:
+    """features without those whose geometry has an invalid line or ring (see validity.invalid_rings) or is
+    of no known type; what `valid` does to geometries that the driver holds."""
+    from arcmesh.operators.validity import invalid_rings
+
+    ids = F.concat_ws(":", "layer", "fid", F.concat_ws(".", "geom_path"), "part_idx", "ring_idx")
+    own = lines(leaves(features)).select("layer", "fid", ids.alias("ring_id"), "pts", F.col("geom_type").isin("Polygon", "MultiPolygon").alias("is_ring"))
+    bad = own.join(invalid_rings(own.select("ring_id", "pts", "is_ring")), "ring_id").select("layer", "fid").distinct()
+    return features.filter(F.col("type").isin(*GEOMETRIES)).join(bad, ["layer", "fid"], "left_anti")
+
+
+def repeated_ids(features: DataFrame) -> DataFrame:
+    """layer, id, n: ids that several features have, by a grouped count."""
+    return features.groupBy("layer", "id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+FEATURE = "struct<type:string,id:string,properties:string,geometry:string>"
 
 
-def read_geojson(spark: SparkSession, path: str, ignore_index: bool = False, layer: int = 0) -> DataFrame:
-    """Features of GeoJSON files: one feature per line, or one FeatureCollection per file. Ids as for a
-    collection; repeated ids are an error, found by a grouped count."""
+def read_geojson(spark: SparkSession, path: str, ignore_index: bool = False, layer: int = 0, by_line: bool | None = None) -> DataFrame:
+    """Features of GeoJSON files: one feature per line (by_line), which Spark splits however large a file
+    is, or one FeatureCollection per file, which is one value. None: as the first line of the first file
+    has it. Ids as for a collection; repeated ids are an error."""
     from arcmesh.operators.ids import dense_ids
 
-    feature = "struct<type:string,id:string,properties:string,geometry:string>"
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<type:string,features:array<{feature}>>").alias("c"), "value")
-    many = whole.filter(F.lower("c.type") == "featurecollection").select(F.posexplode("c.features").alias("n", "f"))
-    lines = whole.filter("c.type is null or lower(c.type) <> 'featurecollection'").select(F.posexplode(F.split("value", "\n")).alias("n", "v")).filter("trim(v) <> ''").select("n", F.from_json("v", feature).alias("f"))
-    rows = dense_ids(many.union(lines).withColumn("_o", F.monotonically_increasing_id()), ["_o"], "fid")
+    if by_line is None:
+        head = spark.read.text(path).filter("trim(value) <> ''").limit(1).select(F.get_json_object("value", "$.type").alias("t")).first()
+        by_line = head is not None and str(head.t).lower() == "feature"
+    if by_line:
+        own = spark.read.text(path).filter("trim(value) <> ''").select(F.from_json("value", FEATURE).alias("f"))
+    else:
+        own = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<type:string,features:array<{FEATURE}>>").alias("c")).select(F.explode("c.features").alias("f"))
+    rows = dense_ids(own.withColumn("_o", F.monotonically_increasing_id()), ["_o"], "fid")
     n = rows.count()
     made = F.concat(F.lit("feature_"), F.lpad(F.col("fid").cast("string"), len(str(n)), "0"))
-    own = F.when(F.col("f.id").isNotNull() & ~F.col("f.id").isin("", "0"), F.col("f.id"))
-    out = rows.select(F.lit(layer).alias("layer"), "fid", (made if ignore_index else F.coalesce(own, made)).alias("id"), F.lit(False).alias("id_is_int"), F.get_json_object("f.geometry", "$.type").alias("type"), F.col("f.properties").alias("properties"), F.col("f.geometry").alias("geometry"))
-    twice = out.groupBy("id").count().filter("count > 1").limit(1).collect()
+    given = F.when(F.col("f.id").isNotNull() & ~F.col("f.id").isin("", "0"), F.col("f.id"))
+    out = rows.select(F.lit(layer).alias("layer"), "fid", (made if ignore_index else F.coalesce(given, made)).alias("id"), F.lit(False).alias("id_is_int"), F.get_json_object("f.geometry", "$.type").alias("type"), F.col("f.properties").alias("properties"), F.col("f.geometry").alias("geometry"))
+    twice = repeated_ids(out).limit(1).collect()
     if twice:
         raise IndexError(f"feature id {twice[0].id!r} is there twice")
     return out

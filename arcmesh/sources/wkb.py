@@ -1,4 +1,4 @@
-"""GeoJSON text to well-known binary, in Arrow batches."""
+"""Between GeoJSON text and well-known binary, in Arrow batches."""
 
 from __future__ import annotations
 
@@ -39,3 +39,50 @@ def to_wkb(df: DataFrame, column: str = "geometry") -> DataFrame:
             yield pa.RecordBatch.from_arrays([made if c == column else b.column(c) for c in b.schema.names], b.schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def geojson(b: bytes) -> dict:
+    """The geometry of a WKB value: either byte order; further dimensions and reference systems are read over."""
+    names, at = {v: k for k, v in KINDS.items()}, 0
+
+    def take(form: str) -> tuple:
+        nonlocal at
+        out = struct.unpack_from(form, b, at)
+        at += struct.calcsize(form)
+        return out
+
+    def one() -> dict:
+        order = "<" if take("<B")[0] else ">"
+        (code,) = take(order + "I")
+        wide = 2 + bool(code & 0x80000000) + bool(code & 0x40000000)
+        if code & 0x20000000:
+            take(order + "I")
+        code &= 0x0FFFFFFF
+        wide += (0, 1, 1, 2)[code // 1000]
+        kind = names[code % 1000]
+        count = lambda: take(order + "I")[0]
+        dot = lambda: list(take(f"{order}{wide}d")[:2])
+        line = lambda: [dot() for _ in range(count())]
+        if kind == "Point":
+            own = dot()
+            return {"type": kind, "coordinates": [] if own[0] != own[0] else own}
+        if kind == "LineString":
+            return {"type": kind, "coordinates": line()}
+        if kind == "Polygon":
+            return {"type": kind, "coordinates": [line() for _ in range(count())]}
+        parts = [one() for _ in range(count())]
+        return {"type": kind, "geometries": parts} if kind == "GeometryCollection" else {"type": kind, "coordinates": [x["coordinates"] for x in parts]}
+
+    return one()
+
+
+def from_wkb(df: DataFrame, column: str = "geometry") -> DataFrame:
+    """df with a WKB column as GeoJSON text."""
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == column else f.dataType) for f in df.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([None if x is None else json.dumps(geojson(x)) for x in b.column(column).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([made if c == column else b.column(c) for c in b.schema.names], b.schema.names)
+
+    return df.mapInArrow(run, schema)
