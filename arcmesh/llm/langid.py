@@ -1,8 +1,8 @@
 """Language ID by word-first backoff.
 
 A known word scores each language by its log frequency there; an unseen word backs off to its character
-n-grams, longest first: 4, then 3, 2 and 1 characters, until some n-gram of that length is known. The
-text's language is the best sum over all its words; the score is its posterior.
+n-grams, longest first: 4, then 3, 2 and 1 characters, until some n-gram of that length is known. Words and
+n-grams are known by 64-bit hashes, so the model is a few sorted arrays. The text's language is the best sum over all its words; the score is its posterior.
 
 Learning takes a bounded sample of labelled rows: about SAMPLE bytes of text of each language, whole rows,
 chosen by a hash of the row's number. Every word and n-gram of the sample is in the model, so what is
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arcmesh.llm.store import arrow_batches, keyed
-from arcmesh.llm.textblocks import WORD_CHAR, buffers, chunks, words
+from arcmesh.llm.textblocks import WORD_CHAR, buffers, chunks, hash_words, rolling, words
 
 #: Bytes of text of each language that teach the model.
 SAMPLE = 8 << 20
@@ -48,80 +47,97 @@ def fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def _grams(word: str) -> Iterator[tuple[int, str]]:
-    marked = f"<{word}>"
-    for n in range(LONGEST, 0, -1):
-        source = marked if n > 1 else word
-        for i in range(max(0, len(source) - n + 1)):
-            yield n, source[i : i + n]
+def _points(words_: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all words, and each word's number of them."""
+    off, raw = buffers(words_)
+    lead = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
+    n = np.diff(lead[off])
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    if len(points) != n.sum():  # bytes that are no UTF-8: each word by itself
+        own = [w.decode("utf-8", "replace") for w in words_.to_pylist()]
+        points, n = np.frombuffer("".join(own).encode("utf-32-le"), "<u4"), np.array([len(w) for w in own], np.int64)
+    return points.astype(np.uint64), n
+
+
+def gram_keys(words_: pa.LargeBinaryArray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words' n-grams, with < and > around the word for n over 1, and the word of each."""
+    points, size = _points(words_)
+    if n > 1:
+        ends = np.cumsum(size + 2)
+        framed = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+        inner = np.ones(len(framed), bool)
+        inner[ends - 1] = inner[ends - size - 2] = False
+        framed[inner] = points
+        framed[ends - size - 2], framed[ends - 1] = ord("<"), ord(">")
+        points, size = framed, size + 2
+    word = np.repeat(np.arange(len(size)), size)
+    h = rolling(points, n)
+    inside = np.flatnonzero(word[: len(h)] == word[n - 1 :]) if len(h) else np.zeros(0, np.int64)
+    return h[inside], word[inside]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind (0: word, n: n-gram), lang, item, n: counts, handed on after each chunk of text."""
+    """kind (0: word, n: n-gram), lang, key (its hash), n: counts, handed on after each chunk of text."""
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         off, raw = buffers(batch.column("text"))
         for a, b in chunks(off):
-            total: dict[tuple[int, str, str], int] = defaultdict(int)
             found, per = words(off[a : b + 1] - off[a], raw[off[a] : off[b]], WORD_CHAR)
             of = np.repeat(langs[a:b], per)
             for lang in sorted(set(langs[a:b])):
                 counts = found.filter(pa.array(of == lang)).value_counts()
-                for word, n in zip(counts.field("values").to_pylist(), counts.field("counts").to_pylist(), strict=True):
-                    w = word.decode("utf-8", "replace")
-                    total[0, lang, w] += n
-                    for k, g in _grams(w):
-                        total[k, lang, g] += n
-            keys = list(total)
-            counted = pa.array(list(total.values()), pa.int64())
-            for i in range(0, len(keys), FLUSH):
-                own = keys[i : i + FLUSH]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.int32()), pa.array([k[1] for k in own], pa.string()), pa.array([k[2] for k in own], pa.string()), counted.slice(i, FLUSH)], ["kind", "lang", "item", "n"])
+                own, n = counts.field("values"), counts.field("counts").to_numpy()
+                for kind in range(LONGEST + 1):
+                    keys, word = gram_keys(own, kind) if kind else (hash_words(own), np.arange(len(own)))
+                    keys, at = np.unique(keys, return_inverse=True)
+                    sums = np.bincount(at, n[word], len(keys)).astype(np.int64)
+                    for i in range(0, len(keys), FLUSH):
+                        k = len(keys[i : i + FLUSH])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), pa.array([lang] * k, pa.string()), pa.array(keys[i : i + k].view(np.int64)), pa.array(sums[i : i + k])], ["kind", "lang", "key", "n"])
 
 
 class Model:
-    """Log frequencies: rows of one matrix over langs; tables[0] has the rows of words, tables[n] of n-grams."""
+    """Log frequencies by hash of the item: sorted keys, and a row over langs for each; tables[0] has the
+    words, tables[n] the n-grams."""
 
-    def __init__(self, langs: list[str], kind: Sequence[int], lang: Sequence[str], item: Sequence[str], n: Sequence[int]):
-        """Counts of items, one entry for each kind, lang and item."""
+    def __init__(self, langs: list[str], kind: Sequence[int], lang: Sequence[str], key: Sequence[int], n: Sequence[int]):
+        """Counts of items, one entry for each kind, lang and key."""
         self.langs, self.tables = langs, []
         kinds, counts = np.asarray(kind, np.int64), np.asarray(n, np.float64)
         column = pa.array(lang, pa.string()).dictionary_encode()
         at = np.array([langs.index(x) for x in column.dictionary.to_pylist()], np.int64)[column.indices.to_numpy()] if len(kinds) else np.zeros(0, np.int64)
-        items, logs = pa.array(item, pa.string()), []
+        all_keys = np.asarray(key, np.int64).view(np.uint64)
         for k in range(LONGEST + 1):
             own = np.flatnonzero(kinds == k)
-            coded = items.take(pa.array(own)).dictionary_encode()
-            first = sum(map(len, self.tables))
-            self.tables.append({x: first + i for i, x in enumerate(coded.dictionary.to_pylist())})
-            table = np.zeros((len(coded.dictionary), len(langs)))
-            np.add.at(table, (coded.indices.to_numpy(), at[own]), counts[own])
-            logs.append(np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * (len(table) + 1))))
-        self.logs = np.concatenate(logs).astype(np.float32)
-
-    def vectors(self, words_: list[str]) -> np.ndarray:
+            keys, row = np.unique(all_keys[own], return_inverse=True)
+            table = np.zeros((len(keys), len(langs)))
+            np.add.at(table, (row, at[own]), counts[own])
+            self.tables.append((keys, np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * (len(keys) + 1))).astype(np.float32)))
+
+    def _rows(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys the model has, and their rows."""
+        known = self.tables[kind][0]
+        at = np.searchsorted(known, keys)
+        have = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == keys) if len(known) else np.zeros(0, np.int64)
+        return have, at[have]
+
+    def vectors(self, words_: pa.LargeBinaryArray) -> np.ndarray:
         """Each word's log frequencies; of an unseen word the mean over its longest known n-grams."""
-        known, grams = self.tables[0], [(n, self.tables[n].get) for n in range(LONGEST, 0, -1)]
-        rows: list[int] = []
-        sizes = np.zeros(len(words_), np.int64)
-        for k, w in enumerate(words_):
-            if (own := known.get(w)) is not None:
-                rows.append(own)
-                sizes[k] = 1
-                continue
-            marked = f"<{w}>"
-            for n, get in grams:
-                source = marked if n > 1 else w
-                hits = [v for i in range(len(source) - n + 1) if (v := get(source[i : i + n])) is not None]
-                if hits:
-                    rows += hits
-                    sizes[k] = len(hits)
-                    break
         out = np.zeros((len(words_), len(self.langs)), np.float32)
-        have = np.flatnonzero(sizes)
-        if len(have):
-            n = sizes[have]
-            out[have] = np.add.reduceat(self.logs[rows], np.cumsum(n) - n, axis=0) / n[:, None]
+        have, rows = self._rows(0, hash_words(words_))
+        out[have] = self.tables[0][1][rows]
+        left = np.setdiff1d(np.arange(len(words_)), have)
+        for n in range(LONGEST, 0, -1):
+            if not len(left):
+                break
+            keys, word = gram_keys(words_.take(pa.array(left)), n)
+            have, rows = self._rows(n, keys)
+            hits = np.bincount(word[have], minlength=len(left))
+            logs, found = self.tables[n][1][rows], np.flatnonzero(hits)
+            for i in range(len(self.langs)):
+                out[left[found], i] = np.bincount(word[have], logs[:, i], len(left))[found] / hits[found]
+            left = left[hits == 0]
         return out
 
 
@@ -135,8 +151,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], [], [], [], [])
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / max(n, 1))))])[F.col("lang")]
     own = rows.filter(F.pmod(F.xxhash64("rk"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang")
-    items = own.mapInArrow(_count, "kind int, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")).toArrow()
-    return Model(sorted(sizes), *(items.column(c).combine_chunks() for c in ("kind", "lang", "item", "n")))
+    items = own.mapInArrow(_count, "kind int, lang string, key long, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    return Model(sorted(sizes), *(items.column(c).combine_chunks() for c in ("kind", "lang", "key", "n")))
 
 
 def predictor(model: Model):
@@ -151,7 +167,7 @@ def predictor(model: Model):
             if not len(found) or not size:
                 continue
             coded = found.dictionary_encode()
-            vectors = model.vectors([w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()])
+            vectors = model.vectors(coded.dictionary)
             have = np.flatnonzero(per)
             starts = (np.cumsum(per) - per)[have]
             sums[a + have] = np.add.reduceat(vectors[coded.indices.to_numpy()], starts, axis=0, dtype=np.float64)

@@ -361,14 +361,33 @@ def test_language_id_on_odd_texts(spark):
 
 
 def test_backoff_takes_the_longest_known_grams():
-    from arcmesh.llm.langid import Model
+    import pyarrow as pa
+
+    from arcmesh.llm.langid import Model, gram_keys
+    from arcmesh.llm.textblocks import hash_words
 
-    m = Model(["a", "b"], [0, 3, 1], ["a", "b", "a"], ["known", "xyz", "x"], [5, 4, 9])
-    known, grams, letter, unseen = m.vectors(["known", "xyz", "x", "q"])
+    column = lambda *w: pa.array([x.encode() for x in w], pa.large_binary())
+    gram = lambda g: int(gram_keys(column("0" + g + "0"), len(g))[0].view(np.int64)[2 if len(g) > 1 else 1])
+    m = Model(["a", "b"], [0, 3, 1], ["a", "b", "a"], [int(hash_words(column("known")).view(np.int64)[0]), gram("xyz"), gram("x")], [5, 4, 9])
+    known, grams, letter, unseen = m.vectors(column("known", "xyz", "x", "q"))
     assert known[0] > known[1] and grams[1] > grams[0]  # 3-grams, not the letter
     assert letter[0] > letter[1] and not unseen.any()
 
 
+def test_gram_keys_are_those_of_the_characters():
+    import pyarrow as pa
+
+    from arcmesh.llm.langid import gram_keys
+
+    own = ["é日x", "a", "", "naïve", "x" * 9]
+    for bad in ([], [b"\xff\xfe"]):
+        for n in (1, 2, 3, 4):
+            keys, word = gram_keys(pa.array([w.encode() for w in own] + bad, pa.large_binary()), n)
+            want = [(i, s[j : j + n]) for i, w in enumerate([*own, *(b.decode("utf-8", "replace") for b in bad)]) for s in [f"<{w}>" if n > 1 else w] for j in range(len(s) - n + 1)]
+            assert word.tolist() == [i for i, _ in want]
+            assert len({(k, g) for k, (_, g) in zip(keys.tolist(), want, strict=True)}) == len({g for _, g in want}) == len(set(keys.tolist()))
+
+
 def test_quality(spark, docs, raw, none):
     import math
     import random
