@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcmesh.llm.store import arrow_batches, keyed, parts
+from arcmesh.llm.store import arrow_batches, keyed, lean, parts
 from arcmesh.llm.textblocks import buffers
 from arcmesh.llm.wordjoin import BLOCK, PAYLOAD, blocks, opened, payloads, planes, unplanes
 
@@ -168,8 +168,8 @@ def _joined(docs: DataFrame, vocabulary: Vocabulary, block: int):
     text = docs.sparkSession.sparkContext.broadcast(vocabulary.text)  # the vocabulary's own size
     n = parts(docs)
     salt = F.pmod("block", F.lit(SALTS))
-    table = rows.mapInArrow(_requests(block), "word binary, block long, at int").repartition(n, "word", salt).sortWithinPartitions("word").mapInArrow(_encode(text, vocabulary.kind), "block long, at binary, n binary, ids binary")
-    payload = rows.mapInArrow(payloads(block, split), PAYLOAD)
+    table = rows.mapInArrow(lean(_requests(block)), "word binary, block long, at int").repartition(n, "word", salt).sortWithinPartitions("word").mapInArrow(lean(_encode(text, vocabulary.kind)), "block long, at binary, n binary, ids binary")
+    payload = rows.mapInArrow(lean(payloads(block, split)), PAYLOAD)
     return payload.groupBy("block").cogroup(table.groupBy("block"))
 
 
@@ -223,7 +223,7 @@ def decode_rows(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     in its partition. Only a document's first row carries its head."""
     table = F.broadcast(pieces(encoded.sparkSession, vocabulary))  # a row per id of the vocabulary
     rows = encoded.select("head", F.posexplode_outer("ids").alias("pos", "id")).select(F.expr("if(coalesce(pos, 0) = 0, head, null)").alias("head"), "id")
-    return rows.join(table, "id", "left").select("head", "piece").mapInArrow(_texts, "head binary, text binary")
+    return rows.join(table, "id", "left").select("head", "piece").mapInArrow(lean(_texts), "head binary, text binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

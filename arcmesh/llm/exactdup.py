@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcmesh.llm.store import arrow_batches, keyed
+from arcmesh.llm.store import arrow_batches, keyed, lean
 from arcmesh.llm.textblocks import NOT_SPACE, buffers, chunks
 
 #: Content bytes that a task holds before it hands its local winners on.
@@ -95,7 +95,7 @@ def winners(docs: DataFrame) -> DataFrame:
     """digest, second, keep_id, keep_rk, group_size, salts: a row for each distinct normalised text."""
     arrow_batches(docs.sparkSession)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
-    local = rows.mapInArrow(_local, "digest binary, second binary, salt int, content binary, neg long, no_id boolean, doc_id long, rk long, n long")
+    local = rows.mapInArrow(lean(_local), "digest binary, second binary, salt int, content binary, neg long, no_id boolean, doc_id long, rk long, n long")
     best = F.min(F.struct("neg", "no_id", "doc_id", "rk")).alias("best")
     salted = local.groupBy("digest", "second", "salt", "content").agg(best, F.sum("n").alias("n")).select("digest", "second", "salt", "content", "best.*", "n")
     whole = salted.repartition("digest", "second").groupBy("digest", "second", "content").agg(best, F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
@@ -109,7 +109,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     without `[\\x20\\x09-\\x0D]`; the row with the most code points, then the smallest doc_id, stays."""
     arrow_batches(docs.sparkSession)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
-    members = rows.mapInArrow(_members, "rk long, doc_id long, digest binary, second binary")
+    members = rows.mapInArrow(lean(_members), "rk long, doc_id long, digest binary, second binary")
     members = members.withColumn("salt", F.pmod(F.shiftright("rk", 33), F.lit(SALTS)).cast("int"))
     back = winners(docs).withColumn("salt", F.explode("salts")).drop("salts")
     return members.join(back, ["digest", "second", "salt"]).select("rk", "doc_id", "keep_id", "keep_rk", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

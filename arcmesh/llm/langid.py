@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcmesh.llm.store import arrow_batches, keyed
+from arcmesh.llm.store import arrow_batches, keyed, lean
 from arcmesh.llm.textblocks import WORD_CHAR, buffers, chunks, hash_words, rolling, words
 
 #: Bytes of text of each language that teach the model.
@@ -151,7 +151,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], [], [], [], [])
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / max(n, 1))))])[F.col("lang")]
     own = rows.filter(F.pmod(F.xxhash64("rk"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang")
-    items = own.mapInArrow(_count, "kind int, lang string, key long, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    items = own.mapInArrow(lean(_count), "kind int, lang string, key long, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).toArrow()
     return Model(sorted(sizes), *(items.column(c).combine_chunks() for c in ("kind", "lang", "key", "n")))
 
 
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores = f(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["rk", "doc_id", "lang_pred", "score"])
 
-    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))).mapInArrow(run, "rk long, doc_id long, lang_pred string, score double")
+    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))).mapInArrow(lean(run), "rk long, doc_id long, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -217,4 +217,4 @@ def with_language(docs: DataFrame, model: Model, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, name])
 
     arrow_batches(docs.sparkSession)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(name, kind)]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arcmesh.llm.store import arrow_batches, keyed
+from arcmesh.llm.store import arrow_batches, keyed, lean
 from arcmesh.llm.textblocks import WORD_CHAR, buffers, chunks, hash_words, rolling, words
 
 K = 3
@@ -99,7 +99,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     table = template_positions()
     needed = {t: sum(x[7] for x in table if x[0] == t) for t, *_ in table}
     places = F.broadcast(spark.createDataFrame([(*x, needed[x[0]]) for x in table], "t int, tpos int, h long, tgram binary, size int, label string, base boolean, must boolean, needed int"))
-    hits = rows.mapInArrow(_emit, "rk long, doc_id long, pos long, h long, gram binary").join(places, "h").filter("t < 0 or gram = tgram")
+    hits = rows.mapInArrow(lean(_emit), "rk long, doc_id long, pos long, h long, gram binary").join(places, "h").filter("t < 0 or gram = tgram")
     # votes by diagonal; the row of each text goes along as template -1
     same = [F.max(c).alias(c) for c in ("size", "label", "base", "needed")]
     votes = hits.groupBy("rk", "t", F.expr("if(t < 0, 0, pos - tpos)").alias("diagonal")).agg(

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from arcmesh.llm import gru
 from arcmesh.llm.langid import fold
-from arcmesh.llm.store import arrow_batches, forget, keyed, written
+from arcmesh.llm.store import arrow_batches, forget, keyed, lean, written
 from arcmesh.llm.textblocks import buffers, chunks, words
 from arcmesh.llm.wordjoin import BLOCK, PAYLOAD, blocks, opened, payloads
 
@@ -148,7 +148,7 @@ def learned(start: gru.Params, sequences: DataFrame, rounds: int = ROUNDS) -> gr
     for r in range(rounds):
         held = sc.broadcast(p)
         part = sequences.filter(F.pmod(F.xxhash64("rk"), F.lit(rounds)) == r)
-        copies = part.mapInArrow(_trained(held), schema)
+        copies = part.mapInArrow(lean(_trained(held)), schema)
         left = max(1, part.rdd.getNumPartitions())
         while left > 1:
             copies = copies.groupBy("piece", F.expr(f"copy div {FANOUT}").alias("g")).applyInArrow(_mean, schema)
@@ -164,7 +164,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, block: int = BLOCK) -
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), (fold("doc_id", 10) == 0).alias("held_out")))
-    asked = written(rows.mapInArrow(_requests(block), "word binary, block long, at int, n long"), "requests")
+    asked = written(rows.mapInArrow(lean(_requests(block)), "word binary, block long, at int, n long"), "requests")
     # totals combine before their shuffle; their join back to the blocks is one that Spark splits where a
     # word that every block holds makes a partition large
     counted = written(asked.filter("n > 0").groupBy("word").agg(F.sum("n").alias("total")), "counts")
@@ -180,7 +180,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, block: int = BLOCK) -
     n_of[0], v_of[0] = ends, ends > 0
     n_all, v_all = float(n_of.sum()), float(v_of.sum())
     start = gru.new(n_of, HIDDEN)
-    sequences = written(rows.filter(~F.col("held_out")).mapInArrow(_sequences(spark.sparkContext.broadcast(top)), "rk long, ids binary"), "sequences")
+    sequences = written(rows.filter(~F.col("held_out")).mapInArrow(lean(_sequences(spark.sparkContext.broadcast(top))), "rk long, ids binary"), "sequences")
     held = spark.sparkContext.broadcast((learned(start, sequences, rounds), n_of, v_of, n_all, v_all))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -209,5 +209,5 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, block: int = BLOCK) -
         return pa.table(columns, ["rk", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     answers = asked.select("word", "block", "at").join(coded, "word", "left").select("block", "at", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("code", group).alias("code"))
-    payload = rows.mapInArrow(payloads(block, words), PAYLOAD)
+    payload = rows.mapInArrow(lean(payloads(block, words)), PAYLOAD)
     return payload.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "rk long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from arcmesh.llm.store import arrow_batches, keyed, written
+from arcmesh.llm.store import arrow_batches, keyed, lean, written
 from arcmesh.llm.textblocks import word_counts
 
 MAX_PATTERNS = 200_000
@@ -47,7 +47,7 @@ def sized(docs: DataFrame, sources: str | None = None) -> DataFrame:
     """rk, doc_id, sources (array), size. `sources`: an array column, else the column source."""
     arrow_batches(docs.sparkSession)
     member = F.array_sort(F.array_distinct(F.col(sources))) if sources else F.array(F.col("source"))
-    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), member.cast("array<string>").alias("sources"), F.col("text").cast("binary").alias("text"))).mapInArrow(_sizes, "rk long, doc_id long, sources array<string>, size long")
+    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), member.cast("array<string>").alias("sources"), F.col("text").cast("binary").alias("text"))).mapInArrow(lean(_sizes), "rk long, doc_id long, sources array<string>, size long")
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = COPIES) -> dict[str | None, float]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcmesh.llm.graph import components
-from arcmesh.llm.store import arrow_batches, forget, fresh, keyed, written
+from arcmesh.llm.store import arrow_batches, forget, fresh, keyed, lean, written
 from arcmesh.llm.textblocks import buffers, chunks, hash_words, mix64, rolling, words
 
 #: Band hashes in each of the two collections, and minhashes in a band hash.
@@ -144,7 +144,7 @@ def near_dedup(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int =
     of similarity 0.8 or more between the sets of width-word shingles."""
     arrow_batches(docs.sparkSession)
     texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
-    signed = written(texts.mapInArrow(_signatures(width, bands, rows), "rk long, doc_id long, n long, digest binary, sig array<int>"), "signatures")
+    signed = written(texts.mapInArrow(lean(_signatures(width, bands, rows)), "rk long, doc_id long, n long, digest binary, sig array<int>"), "signatures")
     some = signed.filter("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk")).alias("first")
     classes = written(some.groupBy("digest").agg(F.min("rk").alias("cid"), first, F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
@@ -157,7 +157,7 @@ def near_dedup(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int =
     ends = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("mask"))
     buckets = written(keys.withColumn("salt", salt).join(_salted(ends.filter("hub <> last").drop("last")), ["key", "salt"]).drop("salt"), "buckets")
     wanted = buckets.select(F.col("cid").alias("rk")).distinct()
-    sets = written(texts.join(wanted, "rk", "left_semi").select("rk", "text").mapInArrow(_sets(width), "cid long, n long, bits array<long>, shingles array<long>"), "sets")
+    sets = written(texts.join(wanted, "rk", "left_semi").select("rk", "text").mapInArrow(lean(_sets(width)), "cid long, n long, bits array<long>, shingles array<long>"), "sets")
     brief = sets.select("cid", F.struct("n", "bits").alias("s"))
     star = buckets.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     star = written(star.join(brief.toDF("a", "x"), "a").join(brief.toDF("b", "y"), "b").filter(_alike("x", "y")).select("a", "b"), "star")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcmesh.llm.langid import fold
-from arcmesh.llm.store import arrow_batches, keyed
+from arcmesh.llm.store import arrow_batches, keyed, lean
 from arcmesh.llm.textblocks import buffers, chunks, hash_words, words
 
 LABELLED = 20_000
@@ -102,7 +102,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: Sequ
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     sample = F.broadcast(known.filter(h < share))  # about `labelled` rows
     taught = rows.join(sample, "doc_id").select("text", "good", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half"))
-    counts = taught.filter("half = 0").select("text", "good").mapInArrow(_word_counts, "bucket long, good double, bad double").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+    counts = taught.filter("half = 0").select("text", "good").mapInArrow(lean(_word_counts), "bucket long, good double, bad double").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
     good, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts:
         good[r.bucket], bad[r.bucket] = r.good, r.bad
@@ -115,7 +115,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: Sequ
             x = _inputs(b.column("text"), told.value)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column("good")], ["x", "good"])
 
-    half = taught.filter("half = 1").select("text", "good").mapInArrow(dense, "x binary, good double").collect()
+    half = taught.filter("half = 1").select("text", "good").mapInArrow(lean(dense), "x binary, good double").collect()
     fit = _fit(np.array([np.frombuffer(r.x, np.float32) for r in half]), np.array([r.good for r in half])) if half else (np.zeros(257), np.zeros(257), np.append(np.ones(257), 0.0))
     model = spark.sparkContext.broadcast((odds, *fit))
 
@@ -127,7 +127,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: Sequ
             z = np.where(empty, 0.0, np.clip(z, -30, 30))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rk", "doc_id", "host", "path", "held_out")), pa.array(z)], ["rk", "doc_id", "host", "path", "held_out", "doc_evidence"])
 
-    evidence = rows.mapInArrow(scored, "rk long, doc_id long, host string, path string, held_out boolean, doc_evidence double")
+    evidence = rows.mapInArrow(lean(scored), "rk long, doc_id long, host string, path string, held_out boolean, doc_evidence double")
     # grouped aggregation, paths first; a hot host is pre-aggregated by the partial aggregates
     labelled_rows = rows.select("doc_id", "host", "path").join(known, "doc_id")
     paths = labelled_rows.groupBy("host", "path").agg(F.sum("good").alias("pg"), F.count("*").alias("pn"))

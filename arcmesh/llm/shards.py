@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcmesh.llm.store import arrow_batches, keyed, parts, written
+from arcmesh.llm.store import arrow_batches, keyed, lean, parts, written
 from arcmesh.llm.textblocks import mix64
 
 LENGTH = 2048
@@ -126,12 +126,12 @@ def build(docs: DataFrame, key: int = 20240607, length: int = LENGTH, per_shard:
         offsets[r.p] = total
         total += r.n
     held = spark.sparkContext.broadcast((offsets, total, key))
-    sequences = rows.select("doc_id", "text").mapInArrow(_sequences(held, length), "slot long, doc_id long, part int, n int, body binary")
+    sequences = rows.select("doc_id", "text").mapInArrow(lean(_sequences(held, length)), "slot long, doc_id long, part int, n int, body binary")
     shards = max(1, -(-total // per_shard))
     each = min(RANGE, -(-shards // parts(docs)))  # shards of a partition, which are neighbours
     n = -(-shards // each)
     ranges = sequences.withColumn("shard", F.expr(f"slot div {per_shard}")).repartitionById(n, F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("slot")
-    return ranges.mapInArrow(_packed(length, per_shard), "shard long, first_slot long, records int, data binary")
+    return ranges.mapInArrow(lean(_packed(length, per_shard)), "shard long, first_slot long, records int, data binary")
 
 
 def save(shards: DataFrame, path: str) -> None:
@@ -164,7 +164,7 @@ def digests(shards: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD)
                 )
 
     arrow_batches(shards.sparkSession)
-    return shards.select("shard", "first_slot", "data").mapInArrow(run, "slot long, shard long, doc_id long, part int, n_tokens long, ids_sha256 string")
+    return shards.select("shard", "first_slot", "data").mapInArrow(lean(run), "slot long, shard long, doc_id long, part int, n_tokens long, ids_sha256 string")
 
 
 def training_order(docs: DataFrame, key: int = 20240607) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arcmesh.llm.store import arrow_batches, written
+from arcmesh.llm.store import arrow_batches, lean, written
 
 PIVOTS = 16
 #: Bytes of the vectors of a block of queries, and blocks searched in one job.
@@ -182,7 +182,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOT
     for n, v in pool.items():
         x = scaled(np.array(v, np.float64).reshape(len(v), n))
         tables[n] = pick_pivots(x[(np.abs(x) < WIDE).all(axis=1)], pivots) if n else np.zeros((0, 0))
-    rows = written(plain.mapInArrow(_tabled(spark.sparkContext.broadcast(tables)), "vec_id long, v array<double>, d array<double>"), "vectors")
+    rows = written(plain.mapInArrow(lean(_tabled(spark.sparkContext.broadcast(tables))), "vec_id long, v array<double>, d array<double>"), "vectors")
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     longest = asked.agg(F.max(F.size("v"))).first()[0] or 1
     size = query_block or max(1, QUERY_BYTES // (8 * longest))
@@ -202,7 +202,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOT
                 own[0].append(r.vec_id)
                 own[1].append(r.v)
             held = spark.sparkContext.broadcast(({n: (np.array(i, np.int64), np.array(v, np.float64).reshape(len(i), n)) for n, (i, v) in by.items()}, tables))
-            found.append(rows.mapInArrow(_search(held, k), FOUND))
+            found.append(rows.mapInArrow(lean(_search(held, k)), FOUND))
         if found:
             whole = found[0]
             for f in found[1:]:
