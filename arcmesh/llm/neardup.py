@@ -3,8 +3,8 @@
 Two small collections of m band hashes (of `rows` minhashes each) are computed per document; the m * m
 pairs of one hash from either make the table keys, so m * m tables of 2 * rows minhashes cost 2 * m * rows
 minhashes. Documents of equal shingle sets are one class from the start. In each bucket every class is
-first held against the bucket's smallest (its hub); after the links so found, only classes of a bucket
-that are still in different components are held against each other, once and only where their bit sketches
+first held against the bucket's smallest and largest (its hubs); after the links so found, only classes of
+a bucket that are still in different components are held against each other, once and only where their bit sketches
 agree, so a large group of near copies costs a link per member and not all pairs. All links are confirmed
 on the full shingle sets.
 
@@ -155,11 +155,11 @@ def near_dedup(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int =
     # what a bucket has in common is aggregated, partly before the shuffle, and goes back to each of its salts
     salt = F.pmod("cid", F.lit(SALTS)).cast("int")
     ends = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("mask"))
-    buckets = written(keys.withColumn("salt", salt).join(_salted(ends.filter("hub <> last").drop("last")), ["key", "salt"]).drop("salt"), "buckets")
+    buckets = written(keys.withColumn("salt", salt).join(_salted(ends.filter("hub <> last")), ["key", "salt"]).drop("salt"), "buckets")
     wanted = buckets.select(F.col("cid").alias("rk")).distinct()
     sets = written(texts.join(wanted, "rk", "left_semi").select("rk", "text").mapInArrow(lean(_sets(width)), "cid long, n long, bits array<long>, shingles array<long>"), "sets")
     brief = sets.select("cid", F.struct("n", "bits").alias("s"))
-    star = buckets.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    star = buckets.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).union(buckets.filter("cid <> last and cid <> hub").select(F.col("cid").alias("a"), F.col("last").alias("b"))).distinct()
     star = written(star.join(brief.toDF("a", "x"), "a").join(brief.toDF("b", "y"), "b").filter(_alike("x", "y")).select("a", "b"), "star")
     links = written(_confirmed(star, sets.select("cid", "shingles")), "links")
     found = components(links)
