@@ -237,10 +237,15 @@ def dedup_arcs(spark, sf):
 
 
 def decode_rings(spark, sf):
-    """Encoded and decoded again: the area of every brick, and that it is closed."""
+    """Encoded and decoded again: every vertex of every brick."""
     e = encode(_bricks(spark, sf), 4.0)
-    out = decode.stitched(e.refs, e.arcs)
-    return out.select("ring_id", geom.signed_area("pts").alias("area"), geom.is_closed("pts").alias("closed"))
+    return lines.vertices(decode.stitched(e.refs, e.arcs)).withColumn("pos", F.col("pos").cast("long"))
+
+
+def shared_coords_cut(spark, sf):
+    """Slots of a mesh cut where neighbours of a vertex differ."""
+    own = encode(mesh(spark, sf), 2.0, shared_coords=True).slots
+    return lines.vertices(own).select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), "x", "y")
 
 
 def topoquantize(spark, sf):
@@ -252,11 +257,11 @@ def topoquantize(spark, sf):
 
 
 def merge_contiguous(spark, sf):
-    """Interval lines with cuts that only other lines needed undone; lines keep their length."""
+    """Interval lines with cuts that only other lines needed undone."""
     v = intervals(spark, sf)
     found = junctions.path_connected(v, 4.0)
     own = dedup.merge_contiguous(cut.slots(cut.split(cut.insert_junctions(v, found, 4.0), found)))
-    return own.select("ring_id", geom.line_length("pts").alias("n")).groupBy("ring_id").agg(F.sum("n").alias("length"))
+    return lines.vertices(own).select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), "x", "y")
 
 
 # ---- simplification, documents
@@ -264,7 +269,7 @@ def merge_contiguous(spark, sf):
 
 def simplify_dp(spark, sf):
     out = simplify.simplify(trajectory_lines(spark, sf), 50.0, "dp")
-    return out.select("ring_id", F.size("pts").cast("long").alias("kept"))
+    return lines.vertices(out).withColumn("pos", F.col("pos").cast("long"))
 
 
 def simplify_vw(spark, sf):
@@ -308,15 +313,17 @@ def layer_filter(spark, sf):
 
 
 def duplicate_ids(spark, sf):
-    """Feature ids that are there more than once."""
-    return read(spark, sf, "lineitem").groupBy(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("id")).agg(F.count("*").alias("n")).filter("n > 1")
+    """Feature ids of a table of features that are there more than once."""
+    dot = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")).alias("coordinates")))
+    own = read(spark, sf, "lineitem").select("l_orderkey", dot.alias("geometry"))
+    return sources.repeated_ids(sources.from_table(own, "geometry", "l_orderkey")).select("id", "n")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         bbox_union, grid_transform, quantize_grid, quantize_lines, delta_encode, delta_roundtrip, dequantize_grid, point_quantize, signed_area, winding_fix, collinear_removal, line_lengths, valid_rings,
-        junctions_coords, junctions_paths, junctions_bricks, junctions_intervals, candidate_pairs, shared_directions, t_junction_insert, cut_rings_rotated, cut_lines, signed_refs, signed_refs_bricks, topology_encode,
+        junctions_coords, junctions_paths, junctions_bricks, junctions_intervals, candidate_pairs, shared_directions, t_junction_insert, cut_rings_rotated, cut_lines, shared_coords_cut, signed_refs, signed_refs_bricks, topology_encode,
         arc_numbering, shared_arc_counts, dedup_arcs, decode_rings, topoquantize, merge_contiguous, simplify_dp, simplify_vw, to_geojson, to_document, layer_filter, duplicate_ids,
     )
 }
@@ -345,9 +352,14 @@ ins AS (SELECT ring_id, pos + abs(t - s1) / (hi - lo) AS fpos, x, y FROM (SELECT
 v2 AS (SELECT ring_id, row_number() OVER (PARTITION BY ring_id ORDER BY fpos) - 1 AS pos, x, y FROM (SELECT ring_id, CAST(pos AS DOUBLE) AS fpos, x, y FROM v UNION ALL SELECT ring_id, fpos, x, y FROM ins))"""
 
 
-def _sql_slots(ring: bool) -> str:
+_COORDS = """n AS (SELECT x, y, coalesce(lag(struct_pack(x := x, y := y)) OVER w, last_value(struct_pack(x := x, y := y)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS a, coalesce(lead(struct_pack(x := x, y := y)) OVER w, first_value(struct_pack(x := x, y := y)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS b FROM v WINDOW w AS (PARTITION BY ring_id ORDER BY pos)),
+j AS (SELECT x, y FROM n GROUP BY x, y HAVING count(DISTINCT CASE WHEN a <= b THEN [a, b] ELSE [b, a] END) > 1),
+v2 AS (SELECT ring_id, pos, x, y FROM v)"""
+
+
+def _sql_slots(ring: bool, before: str = _INSERTED) -> str:
     r = "true" if ring else "false"
-    return f"""{_INSERTED},
+    return f"""{before},
 m AS (SELECT v2.*, j.x IS NOT NULL AS isj FROM v2 LEFT JOIN j USING (x, y)),
 m2 AS (SELECT *, max(pos) OVER (PARTITION BY ring_id) AS n, min(pos) FILTER (WHERE isj) OVER (PARTITION BY ring_id) AS fj FROM m),
 rot0 AS (SELECT ring_id, x, y, isj, n, CASE WHEN {r} AND fj > 0 THEN (pos - fj + n) % n ELSE pos END AS p FROM m2 WHERE NOT ({r} AND pos = n)),
@@ -412,11 +424,27 @@ ORACLE_SQL = {
     "arc_numbering": f"WITH {_sql_mesh('customer')}, {_sql_arcs(True)}, o AS (SELECT arc_id, unnest(range(len(pts))) AS pos, pts FROM coded WHERE slot = keep) SELECT CAST(arc_id AS BIGINT) AS arc_id, pos, pts[pos + 1].x AS x, pts[pos + 1].y AS y FROM o",
     "shared_arc_counts": f"WITH {_sql_mesh('customer')}, {_sql_arcs(True)} SELECT copies > 1 AS is_shared, count(*) AS arcs FROM coded WHERE slot = keep GROUP BY 1",
     "dedup_arcs": f"WITH {_sql_mesh('customer')}, {_sql_arcs(True)} SELECT ring_id, seq, keep // 1000 AS keep_ring, keep % 1000 AS keep_seq FROM coded WHERE slot <> keep",
-    "decode_rings": "SELECT CAST(c_custkey AS BIGINT) AS ring_id, CAST(2 AS DOUBLE) AS area, true AS closed FROM customer",
+    "decode_rings": f"WITH {_sql_mesh('customer', True)}, {_sql_slots(True)}, o AS (SELECT *, row_number() OVER (PARTITION BY ring_id, seq ORDER BY p) AS k FROM thin) SELECT ring_id, CAST(row_number() OVER (PARTITION BY ring_id ORDER BY seq, p) - 1 AS BIGINT) AS pos, x, y FROM o WHERE seq = 0 OR k > 1",
+    "shared_coords_cut": f"WITH {_sql_mesh('customer')}, {_sql_slots(True, _COORDS)} {_SLOT_ROWS}",
     "topoquantize": f"WITH {_sql_mesh('customer')}, {_sql_arcs(True)}, e AS (SELECT arc_id, pos, pts[pos + 1].x AS x, pts[pos + 1].y AS y FROM (SELECT arc_id, unnest(range(len(pts))) AS pos, pts FROM coded WHERE slot = keep)), {_sql_grid(15)}, q AS (SELECT arc_id, pos, CAST(round_even((x - x0) / kx, 0) AS BIGINT) AS x, CAST(round_even((y - y0) / ky, 0) AS BIGINT) AS y FROM e, t), d AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM q WINDOW w AS (PARTITION BY arc_id ORDER BY pos)), f AS (SELECT *, count(*) FILTER (WHERE px IS NULL OR x <> px OR y <> py) OVER (PARTITION BY arc_id) AS n FROM d) SELECT CAST(arc_id AS BIGINT) AS arc_id, CAST(row_number() OVER (PARTITION BY arc_id ORDER BY pos) - 1 AS BIGINT) AS pos, x, y FROM f WHERE n = 1 OR px IS NULL OR x <> px OR y <> py",
-    "merge_contiguous": "SELECT CAST(c_custkey AS BIGINT) AS ring_id, CAST(1 + c_custkey % 5 AS DOUBLE) AS length FROM customer",
+    "merge_contiguous": f"WITH {_INTERVALS}, {_sql_arcs(False)}, sl AS (SELECT ring_id, seq, copies > 1 AS shared, pts[1] AS a, pts[len(pts)] AS b FROM kept), deg AS (SELECT n, count(*) AS d FROM (SELECT a AS n FROM sl UNION ALL SELECT b FROM sl) GROUP BY 1), mg AS (SELECT sl.*, coalesce(shared OR lag(shared) OVER w OR d <> 2, true) AS apart FROM sl JOIN deg ON a = n WINDOW w AS (PARTITION BY ring_id ORDER BY seq)), r AS (SELECT *, sum(CAST(apart AS INTEGER)) OVER (PARTITION BY ring_id ORDER BY seq) AS run FROM mg), g AS (SELECT ring_id, CAST(max(seq) AS BIGINT) AS seq, arg_min(a, seq) AS a, arg_max(b, seq) AS b FROM r GROUP BY ring_id, run) SELECT ring_id, seq, CAST(0 AS BIGINT) AS pos, a.x AS x, a.y AS y FROM g UNION ALL SELECT ring_id, seq, CAST(1 AS BIGINT), b.x, b.y FROM g",
+    "simplify_dp": f"""WITH RECURSIVE {_TRAJ},
+pt AS (SELECT ring_id, x, y, CAST(row_number() OVER (PARTITION BY ring_id ORDER BY x, event_id) - 1 AS BIGINT) AS n FROM e),
+run AS (
+  SELECT ring_id, CAST(0 AS BIGINT) AS a, max(n) AS b FROM pt GROUP BY 1
+  UNION ALL
+  SELECT ring_id, CASE WHEN half = 0 THEN a ELSE far END, CASE WHEN half = 0 THEN far ELSE b END FROM (
+    SELECT ring_id, a, b, arg_max(n, [d, -n]) AS far, max(d) AS d FROM (
+      SELECT run.ring_id, run.a, run.b, q.n, CASE WHEN l = 0 THEN sqrt((q.x - u.x) * (q.x - u.x) + (q.y - u.y) * (q.y - u.y)) ELSE sqrt(pow(q.x - u.x - t * (w.x - u.x), 2) + pow(q.y - u.y - t * (w.y - u.y), 2)) END AS d
+      FROM run JOIN pt u ON u.ring_id = run.ring_id AND u.n = run.a JOIN pt w ON w.ring_id = run.ring_id AND w.n = run.b JOIN pt q ON q.ring_id = run.ring_id AND q.n > run.a AND q.n < run.b,
+      LATERAL (SELECT (w.x - u.x) * (w.x - u.x) + (w.y - u.y) * (w.y - u.y) AS l), LATERAL (SELECT CASE WHEN l = 0 THEN 0 ELSE least(1, greatest(0, ((q.x - u.x) * (w.x - u.x) + (q.y - u.y) * (w.y - u.y)) / l)) END AS t)
+    ) GROUP BY 1, 2, 3 HAVING max(d) > 50
+  ), (VALUES (0), (1)) h(half)
+),
+kept AS (SELECT DISTINCT ring_id, n FROM (SELECT ring_id, a AS n FROM run UNION ALL SELECT ring_id, b FROM run))
+SELECT ring_id, CAST(row_number() OVER (PARTITION BY ring_id ORDER BY n) - 1 AS BIGINT) AS pos, x, y FROM kept JOIN pt USING (ring_id, n)""",
     "to_geojson": f"WITH {_sql_mesh('nation')}, {_JUNCTIONS} SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST(5 AS BIGINT) AS positions FROM nation",
     "to_document": f"WITH {_sql_mesh('nation')}, {_sql_arcs(True)} SELECT (SELECT count(*) FROM nation) AS geometries, count(DISTINCT arc_id) AS arcs, true AS written FROM coded",
     "layer_filter": "SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(n_nationkey % 5 AS DOUBLE) AS x, CAST(n_nationkey // 5 AS DOUBLE) AS y FROM nation",
-    "duplicate_ids": "SELECT concat_ws('_', l_orderkey, l_linenumber) AS id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_ids": "SELECT CAST(l_orderkey AS VARCHAR) AS id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
 }

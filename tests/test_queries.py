@@ -7,7 +7,7 @@ import pytest
 from arcmesh.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-LIGHT = ("bbox_union", "quantize_lines", "delta_encode", "delta_roundtrip", "point_quantize", "signed_area", "winding_fix", "collinear_removal", "valid_rings", "junctions_coords", "junctions_paths", "junctions_bricks", "candidate_pairs", "shared_directions", "t_junction_insert", "cut_lines", "signed_refs_bricks", "decode_rings", "merge_contiguous")
+LIGHT = ("bbox_union", "quantize_lines", "delta_encode", "delta_roundtrip", "point_quantize", "signed_area", "winding_fix", "collinear_removal", "valid_rings", "junctions_coords", "junctions_paths", "junctions_bricks", "candidate_pairs", "shared_directions", "t_junction_insert", "cut_lines", "signed_refs_bricks", "decode_rings", "merge_contiguous", "shared_coords_cut", "simplify_dp", "duplicate_ids")
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
