@@ -1,7 +1,9 @@
 """documents, through language ID, exact dedup, near dedup, source mixing and BPE.
 
 Each stage takes (spark, docs, sf_dir), reads every row of docs and returns a DataFrame; all but the last
-return the columns of documents.
+return the columns of documents. Columns of clashing names stay as they are, and an empty table gives empty
+results in every stage. Nulls: a document with a null text has no letter and goes with the first stage; a
+null doc_id, source or lang stays a null. Repeated rows count as copies of each other.
 """
 
 from __future__ import annotations
@@ -47,7 +49,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("source_mix", mixed), ("bpe", encoded)]
-#: MinHash, the learned language model and BPE are beyond SQL; tests/llm holds run() against brute force.
+#: MinHash, the learned language model and BPE are beyond SQL; tests/llm holds the operators against brute
+#: force and run() against its stages.
 ORACLE_SQL = None
 
 

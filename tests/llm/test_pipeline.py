@@ -40,3 +40,12 @@ def test_the_operators_are_registered():
 
     names = [k for k in entry.queries() if k.startswith("op")]
     assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+def test_stages_on_an_empty_table(spark, none):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, "")
+        assert out.count() == 0, name
+        assert name == "bpe" or out.columns == none.columns, name
