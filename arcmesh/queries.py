@@ -6,8 +6,6 @@ one, so corners meet edges), trajectories of users, intervals on horizontal line
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -290,16 +288,18 @@ def nation_topology(spark: SparkSession, sf: str) -> Topology:
 
 
 def to_geojson(spark, sf):
-    """Features decoded from arcs, in Spark: name and the number of positions of the outline."""
+    """Features decoded from arcs, in Spark: name and the positions of the outline, wound for GeoJSON."""
     out = nation_topology(spark, sf).to_dataframe()
     ring = F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<array<array<double>>>")[0]
-    return out.select("id", F.get_json_object("properties", "$.n_name").alias("name"), F.size(ring).cast("long").alias("positions"))
+    own = out.select("id", F.get_json_object("properties", "$.n_name").alias("name"), F.posexplode(ring).alias("pos", "c"))
+    return own.select("id", "name", F.col("pos").cast("long").alias("pos"), F.col("c")[0].alias("x"), F.col("c")[1].alias("y"))
 
 
 def to_document(spark, sf):
-    """The encoded document's objects and arcs, counted."""
+    """The signed references of the encoded document's objects."""
     doc = nation_topology(spark, sf).to_dict()
-    return spark.createDataFrame([(len(doc["objects"]["data"]["geometries"]), len(doc["arcs"]), len(json.dumps(doc)) > 0)], "geometries long, arcs long, written boolean")
+    rows = [(int(g["id"]), i, int(v)) for g in doc["objects"]["data"]["geometries"] for i, v in enumerate(g["arcs"][0])]
+    return spark.createDataFrame(rows, "id long, seq long, signed_ref long")
 
 
 def layer_filter(spark, sf):
@@ -395,6 +395,9 @@ _QUADS = """k AS (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier),
 pts AS (SELECT k, CASE WHEN k % 2 = 1 THEN list_reverse(p) ELSE p END AS p FROM (SELECT k, [[0, 0], [k % 5 + 1, 0], [k % 5 + 1, k % 3 + 1], [0, k % 4 + 1], [0, 0]] AS p FROM k)),
 a AS (SELECT k, p, (p[1][1] * p[2][2] - p[2][1] * p[1][2] + p[2][1] * p[3][2] - p[3][1] * p[2][2] + p[3][1] * p[4][2] - p[4][1] * p[3][2] + p[4][1] * p[5][2] - p[5][1] * p[4][2]) / 2 AS area FROM pts)"""
 
+#: Outlines of nations as they are encoded: exteriors clockwise.
+_CW_NATIONS = _sql_mesh("nation").replace("(1, 1, 0), (2, 1, 1), (3, 0, 1)", "(1, 0, 1), (2, 1, 1), (3, 1, 0)")
+
 ORACLE_SQL = {
     "bbox_union": f"WITH {_sql_mesh('customer')} SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM (SELECT x, y FROM v UNION ALL SELECT CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE) FROM embeddings)",
     "grid_transform": f"WITH {_TRAJ}, {_sql_grid(1e5)} SELECT x0, y0, kx, ky FROM t",
@@ -443,8 +446,8 @@ run AS (
 ),
 kept AS (SELECT DISTINCT ring_id, n FROM (SELECT ring_id, a AS n FROM run UNION ALL SELECT ring_id, b FROM run))
 SELECT ring_id, CAST(row_number() OVER (PARTITION BY ring_id ORDER BY n) - 1 AS BIGINT) AS pos, x, y FROM kept JOIN pt USING (ring_id, n)""",
-    "to_geojson": f"WITH {_sql_mesh('nation')}, {_JUNCTIONS} SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST(5 AS BIGINT) AS positions FROM nation",
-    "to_document": f"WITH {_sql_mesh('nation')}, {_sql_arcs(True)} SELECT (SELECT count(*) FROM nation) AS geometries, count(DISTINCT arc_id) AS arcs, true AS written FROM coded",
+    "to_geojson": f"WITH {_CW_NATIONS}, {_sql_slots(True)}, o AS (SELECT *, row_number() OVER (PARTITION BY ring_id, seq ORDER BY p) AS k FROM thin), d AS (SELECT ring_id, x, y, row_number() OVER (PARTITION BY ring_id ORDER BY seq DESC, p DESC) - 1 AS pos FROM o WHERE seq = 0 OR k > 1) SELECT CAST(ring_id AS VARCHAR) AS id, n_name AS name, CAST(pos AS BIGINT) AS pos, x, y FROM d JOIN nation ON n_nationkey = ring_id",
+    "to_document": f"WITH {_CW_NATIONS}, {_sql_arcs(True)} SELECT ring_id AS id, seq, CAST(CASE WHEN ahead = kept_ahead THEN arc_id ELSE -arc_id - 1 END AS BIGINT) AS signed_ref FROM coded",
     "layer_filter": "SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(n_nationkey % 5 AS DOUBLE) AS x, CAST(n_nationkey // 5 AS DOUBLE) AS y FROM nation",
     "duplicate_ids": "SELECT CAST(l_orderkey AS VARCHAR) AS id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
 }
