@@ -35,3 +35,15 @@ def test_ends_stay_and_no_run_is_too_far(pts, eps):
         for q in p[a + 1 : b] - p[a]:
             t = min(max(float(q @ d) / n, 0), 1) if n else 0
             assert np.hypot(*(q - t * d)) <= eps + 1e-9
+
+
+def test_packages_stand_for_algorithms():
+    from arcmesh.operators.simplify import chosen
+
+    assert chosen("shapely", "vw", True) == ("dp", True) and chosen("shapely", "dp", False) == ("dp", False)
+    assert chosen("simplification", "dp", True) == ("dp", False) and chosen("simplification", "vw", True) == ("vw", True)
+
+
+def test_careful_visvalingam_keeps_a_line_from_crossing():
+    p = np.array([(0, 0), (5, 1), (10, 0), (10, 5), (5, 0.5), (0, 5)], float)
+    assert not visvalingam(p, 6.0)[1] and visvalingam(p, 6.0, careful=True)[1]
