@@ -4,14 +4,16 @@ Two small collections of m band hashes (of `rows` minhashes each) are computed p
 pairs of one hash from either make the table keys, so m * m tables of 2 * rows minhashes cost 2 * m * rows
 minhashes. Documents of equal shingle sets are one class from the start. In each bucket every class is
 first held against the bucket's smallest and largest (its hubs); after the links so found, only classes of
-a bucket that are still in different components are held against each other, once and only where their bit sketches
-agree, so a large group of near copies costs a link per member and not all pairs. All links are confirmed
-on the full shingle sets.
+a bucket that are still in different components are held against each other, once and only where their
+sketches agree, so a large group of near copies costs a link per member and not all pairs. All links are
+confirmed on the full shingle sets.
 
-With the defaults a pair of similarity 0.8 shares no table with probability 7e-5. A sketch has a bit of
-each of 64 * LONGS further minhashes, of documents that share a bucket; two sketches of similarity J agree
-in (1 + J) / 2 of them, and a pair is left out before the full comparison only if they agree 4.5 standard
-deviations less often than at 0.8 (4e-6).
+With the defaults a pair of similarity 0.8 shares no table with probability 7e-5. Before the full comparison
+pairs are left out by sketches of 64 * LONGS bits. For sets of up to LARGE shingles a bit is the parity of the
+shingles of one hash value: two sketches differ in no more bits than the sets do in shingles, so no pair of the
+wanted similarity is lost, and few others are left. For larger sets a bit is one of a further minhash: those of
+similarity J agree in (1 + J) / 2 of them, and a pair is left out only if they agree 4.5 standard deviations
+less often than at 0.8 (4e-6). A pair of either kind is compared in full.
 
 Nulls: a null text has no shingles and is linked with nothing, as are empty texts; a null doc_id is kept
 and is a component's id only if no member has one. Repeated rows are one class. Empty tables give empty
@@ -37,8 +39,9 @@ BANDS, ROWS = 10, 2
 PERCENT = 80
 #: Salts that the classes of a bucket are dealt to.
 SALTS = 32
-#: Sketch bits / 64, and the bits that must agree.
+#: Bits of a sketch / 64, the shingles beyond which it is of minhashes, and the bits of these that must agree.
 LONGS = 16
+LARGE = 64 * LONGS
 AGREE = int(64 * LONGS * (0.9 - 4.5 * (0.09 / (64 * LONGS)) ** 0.5))
 
 
@@ -101,6 +104,15 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """LONGS words of parity bits of each set: a bit is set if an odd number of shingles falls on it."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    at = owner * (64 * LONGS) + (flat % np.uint64(64 * LONGS)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sets) * 64 * LONGS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8").reshape(len(sets), LONGS)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +120,10 @@ def _sets(width: int):
             ends = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(s) for s in sets], out=ends[1:])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LONGS), pa.array(sketches(sets).reshape(-1).view(np.int64)))
+            large = np.diff(ends) > LARGE
+            own = parities(sets)
+            own[large] = sketches([sets[i] for i in np.flatnonzero(large)])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LONGS), pa.array(own.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array(np.diff(ends).astype(np.int64)), bits, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["cid", "n", "bits", "shingles"])
 
     return run
@@ -116,9 +131,12 @@ def _sets(width: int):
 
 def _alike(a: str, b: str):
     """Whether the sizes and sketches of two columns (struct of n and bits) allow the similarity."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = sum((F.bit_count(F.get(F.col(f"{a}.bits"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.bits"), F.lit(i)))) for i in range(LONGS)), F.lit(0))
-    sizes = 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= PERCENT * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return sizes & (apart <= 64 * LONGS - AGREE)
+    sizes = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    # sets that differ in d shingles share (n + m - d) / 2 of a union of (n + m + d) / 2
+    most = F.when(n > LARGE, F.lit((64 * LONGS - AGREE) * (100 + PERCENT))).otherwise((100 - PERCENT) * (n + m))
+    return sizes & (((n > LARGE) != (m > LARGE)) | ((100 + PERCENT) * apart <= most))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

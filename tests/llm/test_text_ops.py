@@ -62,6 +62,22 @@ def test_near_dedup(docs, raw, none, width):
     assert near_dedup(none, width).count() == 0
 
 
+def test_parities_never_differ_more_than_the_sets():
+    from arcmesh.llm.neardup import parities
+
+    r = np.random.default_rng(5)
+    for n, cut in ((0, 0), (1, 1), (150, 9), (150, 40), (1000, 120), (1024, 600)):
+        whole = np.unique(r.integers(0, 1 << 63, n + cut).astype(np.uint64))
+        a, b = whole[: len(whole) - cut], whole[cut:]
+        x, y = parities([a, b])
+        apart = sum(int(v).bit_count() for v in x ^ y)
+        differ = len(np.setxor1d(a, b))
+        assert apart <= differ and apart % 2 == differ % 2
+        if differ <= 20:
+            assert apart >= differ - 6
+    assert parities([]).shape == (0, 16)
+
+
 def test_sketches_follow_similarity():
     from arcmesh.llm.neardup import AGREE, LONGS, sketches
 
