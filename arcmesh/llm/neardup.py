@@ -170,35 +170,37 @@ def near_dedup(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int =
     # the hashes of both collections are computed once per class, then paired
     halves = classes.select("cid", *[F.array(*[F.xxhash64(F.slice("sig", F.lit(j * rows + base + 1), rows)) for j in range(bands)]).alias(name) for name, base in (("p", 0), ("q", half))])
     keys = halves.select("cid", F.posexplode("p").alias("i", "x"), "q").select("cid", "i", "x", F.posexplode("q").alias("j", "y")).select("cid", table_key(F.col("i"), F.col("x"), F.col("j"), F.col("y")).alias("key"))
-    # what a bucket has in common is aggregated, partly before the shuffle, and goes back to each of its salts
+    # what a bucket has in common is aggregated, partly before the shuffle, and goes back to each of its salts;
+    # merge joins here and below: the planner goes by the size of files, which tells nothing of explodes,
+    # lengths of arrays and repeated values, and would broadcast such tables through the driver
     salt = F.pmod("cid", F.lit(SALTS)).cast("int")
     ends = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("mask"))
-    buckets = written(keys.withColumn("salt", salt).join(_salted(ends.filter("hub <> last")), ["key", "salt"]).drop("salt"), "buckets")
+    buckets = written(keys.withColumn("salt", salt).hint("merge").join(_salted(ends.filter("hub <> last")), ["key", "salt"]).drop("salt"), "buckets")
     wanted = buckets.select(F.col("cid").alias("rk")).distinct()
     sets = written(texts.join(wanted, "rk", "left_semi").select("rk", "text").mapInArrow(lean(_sets(width)), "cid long, n long, bits array<long>, shingles array<long>"), "sets")
     brief = sets.select("cid", F.struct("n", "bits").alias("s"))
     star = buckets.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).union(buckets.filter("cid <> last and cid <> hub").select(F.col("cid").alias("a"), F.col("last").alias("b"))).distinct()
-    star = written(star.join(brief.toDF("a", "x"), "a").join(brief.toDF("b", "y"), "b").filter(_alike("x", "y")).select("a", "b"), "star")
+    star = written(star.join(brief.toDF("a", "x").hint("merge"), "a").join(brief.toDF("b", "y").hint("merge"), "b").filter(_alike("x", "y")).select("a", "b"), "star")
     links = written(_confirmed(star, sets.select("cid", "shingles")), "links")
     found = components(links)
     # classes of a bucket that the hubs have not brought together; a pair comes from its first common table
-    placed = buckets.join(found.withColumnRenamed("v", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
+    placed = buckets.join(found.withColumnRenamed("v", "cid").hint("merge"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
     apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("mask")).filter("lo <> hi").select("key", "mask")
-    split = placed.withColumn("salt", salt).join(_salted(apart), ["key", "salt"]).select("key", "cid", "comp")
-    split = split.join(brief, "cid").join(halves, "cid").select("key", "cid", "comp", "s", "p", "q")
+    split = placed.withColumn("salt", salt).hint("merge").join(_salted(apart), ["key", "salt"]).select("key", "cid", "comp")
+    split = split.join(brief.hint("merge"), "cid").join(halves.hint("merge"), "cid").select("key", "cid", "comp", "s", "p", "q")
     x, y = split.toDF("key", "a", "ca", "x", "xp", "xq"), split.toDF("key", "b", "cb", "y", "yp", "yq")
     same = lambda u, v: F.array_position(F.zip_with(u, v, lambda e, f: e == f), True)
     i, j = same("xp", "yp"), same("xq", "yq")
     first_table = (i > 0) & (j > 0) & (F.col("x_key") == table_key(i - 1, F.element_at("xp", i.cast("int")), j - 1, F.element_at("xq", j.cast("int"))))
     pairs = x.withColumnRenamed("key", "x_key").join(y, (F.col("x_key") == F.col("key")) & F.expr("a < b and ca <> cb") & _alike("x", "y") & first_table)
-    rest = pairs.select("a", "b").join(star, ["a", "b"], "left_anti")
+    rest = pairs.select("a", "b").join(star.hint("merge"), ["a", "b"], "left_anti")
     more = written(_confirmed(rest, sets.select("cid", "shingles")), "links")
     label = components(links.union(more))
-    placed = classes.join(label.withColumnRenamed("v", "cid"), "cid", "left").select("digest", "first", F.coalesce("label", "cid").alias("comp"))
+    placed = classes.join(label.withColumnRenamed("v", "cid").hint("merge"), "cid", "left").select("digest", "first", F.coalesce("label", "cid").alias("comp"))
     whole = placed.groupBy("comp").agg(F.min("first").alias("keep"))
     by_class = written(placed.join(whole, "comp").select("digest", F.col("keep.doc_id").alias("component_id"), F.col("keep.rk").alias("keep_rk")), "components")
     forget(buckets, sets, star)
-    out = signed.drop("sig").join(by_class, "digest", "left")
+    out = signed.drop("sig").join(by_class.hint("merge"), "digest", "left")
     return out.select("rk", "doc_id", F.col("n").alias("n_shingles"), F.expr("if(n > 0, component_id, doc_id)").alias("component_id"), F.expr("if(n > 0, keep_rk, rk)").alias("keep_rk")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 

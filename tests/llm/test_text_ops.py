@@ -117,6 +117,33 @@ def test_graded_near_copies(spark):
     assert sum(got[k] != want[k] for k in want) <= 1  # a link of exactly 0.8 is missed once in 10^4
 
 
+def test_near_dedup_broadcasts_no_buckets(docs, monkeypatch):
+    """A file's size says nothing of the keys that a class explodes to: no plan may send them to the driver."""
+    from arcmesh.llm import neardup
+
+    plans, write = {}, neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    neardup.near_dedup(docs)
+    assert "SortMergeJoin" in plans["buckets"] and "SortMergeJoin" in plans["star"]
+    assert "Broadcast" not in plans["buckets"] + plans["star"]
+
+
+def test_labels_are_not_broadcast(spark, monkeypatch):
+    """Equal labels pack to almost nothing in files, by which the planner goes."""
+    from arcmesh.llm import graph
+
+    plans, write, n = [], graph.written, 20_000
+    monkeypatch.setattr(graph, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(n * 8))  # over the files, under the rows of 24 bytes
+    try:
+        found = graph.components(spark.range(1, n).selectExpr("0L as a", "id as b"))
+        assert found.filter("label = 0").count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) >= 3 and not any("Broadcast" in x for x in plans)
+
+
 def test_bpe(docs, raw, none, tokenizer):
     from tokenizers import Tokenizer
 
