@@ -66,12 +66,16 @@ def grid(tokens: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, n
     return tok, doc
 
 
-def _room(space: dict, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+#: Between rows of windows: rows a power of two apart would share the same few places of the processor's cache.
+APART = 48
+
+
+def _room(space: dict, name: str, rows: int, *shape: int, kind: type = np.float32) -> np.ndarray:
     """An array kept in space for the next window: new pages cost more than what is computed in them."""
     size = int(np.prod(shape))
-    if name not in space or len(space[name]) < size:
-        space[name] = np.empty(size, kind)
-    return space[name][:size].reshape(shape)
+    if name not in space or len(space[name]) < rows * (size + APART):
+        space[name] = np.empty(rows * (size + APART), kind)
+    return space[name][: rows * (size + APART)].reshape(rows, size + APART)[:, :size].reshape(rows, *shape)
 
 
 def _run(p: Params, given: np.ndarray, reset: np.ndarray, h: np.ndarray, space: dict, keep: bool = True) -> tuple[np.ndarray, ...]:
@@ -79,33 +83,36 @@ def _run(p: Params, given: np.ndarray, reset: np.ndarray, h: np.ndarray, space:
     candidates and the state after, as (features, steps, lanes), so that every operation runs along lanes.
     h: the state to start from (features, lanes). Without keep only the states after are filled."""
     n = p["u"].shape[0]
-    half = p["u"].dtype.type(0.5)
-    u_gates, u_new = np.ascontiguousarray(p["u"][:, : 2 * n].T) * half, np.ascontiguousarray(p["u"][:, 2 * n :].T)
+    u_gates, u_new = -np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
     table = np.ascontiguousarray((p["x"] + p["b"]).T)
-    table[: 2 * n] *= half  # a sigmoid is half a tanh of the half, and a half
+    table[: 2 * n] *= -1  # for the exponentials in the sigmoids
     kind = table.dtype
-    x = np.take(table, given.reshape(-1), axis=1, out=_room(space, "x", 3 * n, given.size, kind=kind), mode="clip").reshape(3 * n, *given.shape)
+    x = _room(space, "x", 3 * n, *given.shape, kind=kind)
+    to = given.reshape(-1).astype(np.intp)
+    for row, out in zip(table, x.reshape(3 * n, -1), strict=True):
+        np.take(row, to, out=out, mode="clip")
     before, gates, cand, after = (_room(space, name, k * (keep or name == "after"), *given.shape, kind=kind) for name, k in (("before", n), ("gates", 2 * n), ("cand", n), ("after", n)))
-    any_reset = reset.any(axis=1)
+    starts = [np.flatnonzero(r) for r in reset]
+    g, c, rh = np.empty((2 * n, given.shape[1]), kind), np.empty((n, given.shape[1]), kind), np.empty((n, given.shape[1]), kind)
     for t in range(len(given)):
-        if any_reset[t]:
-            h = h * ~reset[t]
+        if len(starts[t]):
+            h = h.copy()
+            h[:, starts[t]] = 0
         if keep:
             before[:, t] = h
-        g = u_gates @ h
+            g, c = gates[:, t], cand[:, t]
+        np.matmul(u_gates, h, out=g)
         g += x[: 2 * n, t]
-        np.tanh(g, out=g)
-        g *= half
-        g += half
-        c = u_new @ (g[n:] * h)
+        with np.errstate(over="ignore"):  # 1 / inf is the 0 that is meant
+            np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        np.matmul(u_new, np.multiply(g[n:], h, out=rh), out=c)
         c += x[2 * n :, t]
         np.tanh(c, out=c)
-        if keep:
-            gates[:, t], cand[:, t] = g, c
-        c -= h
-        c *= g[:n]
-        h = h + c
-        after[:, t] = h
+        d = np.subtract(c, h, out=rh)
+        d *= g[:n]
+        h = np.add(h, d, out=after[:, t])
     return before, gates, cand, after
 
 
@@ -113,31 +120,38 @@ def _run(p: Params, given: np.ndarray, reset: np.ndarray, h: np.ndarray, space:
 ROWS = 1024
 
 
-def _less_one(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
-    """In x's place its softmax less 1 in one column of each row, the gradient of the loss; and the loss."""
-    among = np.arange(len(x))
-    if x.size and float(x.max()) > 60:  # else no sum overflows
+def _classes(p: Params, kind: type) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Weights and bias, below one another, of the classes and of the words of each; whether sums of their
+    exponentials could overflow or vanish (states lie within 1)."""
+    top = np.vstack([p["wc"], p["bc"]]).astype(kind, copy=False)
+    own = np.concatenate([p["ww"], p["bw"][:, None]], axis=1, dtype=kind).reshape(-1, WIDTH, len(top)).transpose(0, 2, 1)
+    return top, np.ascontiguousarray(own), max(float(np.abs(top).sum(axis=0).max()), float(np.abs(own).sum(axis=1).max())) > 60
+
+
+def _exps(s: np.ndarray, w: np.ndarray, at: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a softmax over s @ w: the exponentials, their sum in each row, the places (in all of them) of one
+    column of each row, and what stood there."""
+    x = s @ w
+    if large:
         x -= x.max(axis=1, keepdims=True)
-    own = float(x[among, at].sum())
+    place = np.arange(0, x.size, x.shape[1]) + at
+    own = x.reshape(-1).take(place)
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    x /= total[:, None]
-    x[among, at] -= 1
-    return x, float(np.log(total).sum()) - own
+    return x, x @ np.ones(x.shape[1], x.dtype), place, own
 
 
-def _own_log(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of one column of each row."""
-    own = x[np.arange(len(x)), at]
-    if x.size and float(x.max()) > 60:  # else no sum overflows
-        return own - x.max(axis=1) - np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1))
-    return own - np.log(np.exp(x, out=x).sum(axis=1))
+def _with_one(states: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The columns `at` of states as rows, and a 1 for the bias."""
+    rows = np.ones((states.shape[1], len(states) + 1), states.dtype)
+    rows[:, :-1] = states.T
+    return rows.take(at, axis=0)
 
 
 def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """Order of the tokens by class, the class of each in it, and (class, from, to)."""
-    order = np.argsort(y // WIDTH, kind="stable")
-    c = (y // WIDTH)[order]
+    c = (y // WIDTH).astype(np.uint16)  # sorted by radix
+    order = np.argsort(c, kind="stable")
+    c = c[order].astype(np.intp)
     cut = np.flatnonzero(np.diff(c)) + 1
     return order, c, [(int(c[a]), int(a), int(b)) for a, b in zip([0, *cut], [*cut, len(c)], strict=True)] if len(c) else []
 
@@ -145,21 +159,18 @@ def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, in
 def log_probs(p: Params, states: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
     """Natural log probability of y after each of the columns `real` of states (features, all)."""
     order, c, groups = _by_class(y)
-    s, w = states.take(real[order], axis=1).T, y[order] % WIDTH
-    own = np.empty(len(y))
+    s, w = _with_one(states, real[order]), y[order] % WIDTH
+    top, words, large = _classes(p, s.dtype)
+    own, total = np.empty((2, len(y)), s.dtype), np.empty((2, len(y)), s.dtype)
     for a in range(0, len(y), ROWS):
-        x = s[a : a + ROWS] @ p["wc"]
-        x += p["bc"]
-        own[a : a + ROWS] = _own_log(x, c[a : a + ROWS])
+        at = slice(a, a + ROWS)
+        _, total[0, at], _, own[0, at] = _exps(s[at], top, c[at], large)
     for k, first, end in groups:
-        at = slice(k * WIDTH, (k + 1) * WIDTH)
         for a in range(first, end, ROWS):
-            b = min(end, a + ROWS)
-            x = s[a:b] @ p["ww"][at].T
-            x += p["bw"][at]
-            own[a:b] += _own_log(x, w[a:b])
+            at = slice(a, min(end, a + ROWS))
+            _, total[1, at], _, own[1, at] = _exps(s[at], words[k], w[at], large)
     out = np.empty(len(y))
-    out[order] = own
+    out[order] = (own - np.log(total)).sum(axis=0, dtype=np.float64)
     return out
 
 
@@ -198,59 +209,70 @@ def gradients(p: Params, given: np.ndarray, wanted: np.ndarray, reset: np.ndarra
     y = wanted.reshape(-1)[at]
     order, c, groups = _by_class(y)
     at = at[order]
-    s, w, count = states.reshape(n, -1).take(at, axis=1).T, y[order] % WIDTH, max(1, len(y))
+    s, w, count = _with_one(states.reshape(n, -1), at), y[order] % WIDTH, max(1, len(y))
+    top, words, large = _classes(p, kind)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    ds, loss = np.empty((len(s), n), kind), 0.0
+    ds, by_top, by_words, loss = np.empty((len(s) + 1, n + 1), kind), np.zeros_like(top), np.zeros((len(words), WIDTH, n + 1), kind), 0.0
+
+    def back(rows: slice, weights: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The gradients of the loss times each row's sum, the rows over that sum, and that sum inverted."""
+        nonlocal loss
+        d, total, place, own = _exps(s[rows], weights, column[rows], large)
+        loss += float(np.log(total).sum()) - float(own.sum())
+        flat = d.reshape(-1)
+        flat[place] -= total
+        inverse = (1 / total)[:, None]
+        return d, s[rows] * inverse, inverse
+
     for a in range(0, len(s), ROWS):
-        own = s[a : a + ROWS]
-        d = own @ p["wc"]
-        d += p["bc"]
-        d, more = _less_one(d, c[a : a + ROWS])
-        loss += more
-        g["wc"] += own.T @ d
-        g["bc"] += d.sum(axis=0)
-        np.matmul(d, p["wc"].T, out=ds[a : a + ROWS])
+        rows = slice(a, min(len(s), a + ROWS))
+        d, own, inverse = back(rows, top, c)
+        by_top += own.T @ d
+        np.matmul(d, top.T, out=ds[rows])
+        ds[rows] *= inverse
     for k, first, end in groups:
-        of = slice(k * WIDTH, (k + 1) * WIDTH)
         for a in range(first, end, ROWS):
-            b = min(end, a + ROWS)
-            own = s[a:b]
-            d = own @ p["ww"][of].T
-            d += p["bw"][of]
-            d, more = _less_one(d, w[a:b])
-            loss += more
-            g["ww"][of] += d.T @ own
-            g["bw"][of] += d.sum(axis=0)
-            ds[a:b] += d @ p["ww"][of]
-    for k in ("wc", "bc", "ww", "bw"):
-        g[k] /= count
+            rows = slice(a, min(end, a + ROWS))
+            d, own, inverse = back(rows, words[k], w)
+            by_words[k] += d.T @ own
+            more = d @ words[k].T
+            more *= inverse
+            ds[rows] += more
+    by_words = by_words.reshape(-1, n + 1)
+    g["wc"], g["bc"], g["ww"], g["bw"] = (x / kind.type(count) for x in (by_top[:-1], by_top[-1], by_words[:, :-1], by_words[:, -1]))
     ds /= count
+    ds[-1] = 0
+    place = np.full(given.size, len(y))
+    place[at] = np.arange(len(y))
     dstates = room("dstates", n)
-    dstates[:] = 0
-    dstates.reshape(n, -1)[:, at] = ds.T
-    # what a step's gradients are multiplied by, for all steps at once; the loop is what depends on the step after
-    z, r = gates[:n], gates[n:]
-    keep, by_new, by_z, by_r, rh = np.subtract(1, z, out=room("keep", n)), np.multiply(cand, cand, out=room("by_new", n)), np.subtract(cand, before, out=room("by_z", n)), np.subtract(1, r, out=room("by_r", n)), np.multiply(r, before, out=room("rh", n))
-    np.subtract(1, by_new, out=by_new)
-    by_new *= z
-    by_z *= z
-    by_z *= keep
-    by_r *= rh
+    dstates.reshape(n, -1)[:] = ds.take(place, axis=0)[:, :-1].T
     u_gates, u_new = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :])
-    any_reset = reset.any(axis=1)
-    dh, dx = np.zeros((n, given.shape[1]), kind), room("dx", 3 * n)
+    starts = [np.flatnonzero(r) for r in reset]
+    dh, dx, rh = np.zeros((n, given.shape[1]), kind), room("dx", 3 * n), room("rh", n)
+    drh, keep, by = (np.empty_like(dh) for _ in range(3))
     for t in range(len(given) - 1, -1, -1):
+        z, r, new, old, dgates, da = gates[:n, t], gates[n:, t], cand[:, t], before[:, t], dx[: 2 * n, t], dx[2 * n :, t]
+        np.multiply(r, old, out=rh[:, t])
         dh += dstates[:, t]
-        da = dh * by_new[:, t]
-        drh = u_new @ da
-        dgates = np.concatenate([dh * by_z[:, t], drh * by_r[:, t]])
-        dx[: 2 * n, t], dx[2 * n :, t] = dgates, da
-        dh *= keep[:, t]
-        drh *= r[:, t]
+        np.multiply(new, new, out=by)
+        np.subtract(1, by, out=by)
+        by *= z
+        np.multiply(dh, by, out=da)
+        np.matmul(u_new, da, out=drh)
+        np.subtract(1, z, out=keep)
+        dh_kept = np.multiply(dh, keep, out=keep)
+        np.subtract(new, old, out=by)
+        by *= z
+        np.multiply(dh_kept, by, out=dgates[:n])
+        drh *= r
+        np.subtract(1, r, out=by)
+        by *= old
+        np.multiply(drh, by, out=dgates[n:])
+        np.matmul(u_gates, dgates, out=dh)
+        dh += dh_kept
         dh += drh
-        dh += u_gates @ dgates
-        if any_reset[t]:
-            dh *= ~reset[t]
+        if len(starts[t]):
+            dh[:, starts[t]] = 0
     flat = dx.reshape(3 * n, -1)
     g["u"][:, : 2 * n] = before.reshape(n, -1) @ flat[: 2 * n].T
     g["u"][:, 2 * n :] = rh.reshape(n, -1) @ flat[2 * n :].T

@@ -10,12 +10,13 @@ backpropagation, copies are averaged by tokens in a tree of groups, and the next
 average. Every training document is a sequence of one round; a partition reads its part in pieces of
 about PASS tokens, so memory does not grow with it.
 
-Counts reach each block of documents through a join by distinct word, so nothing of the vocabulary is
-broadcast but the model's OUTPUTS words.
+Texts are split once, into blocks that are written with their distinct words; counts, sequences and scores
+are taken from those. Counts reach each block through a join by distinct word, so nothing of the vocabulary
+is broadcast but the model's OUTPUTS words.
 
 Nulls: a null text is empty and is scored as its end token alone; a null doc_id counts as the empty id
 (held out) and is kept. Repeated rows are scored and counted each. Without training rows every count is
-0. Empty tables give empty results. Other columns are not read. The input must be replayable.
+0. Empty tables give empty results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcmesh.llm import gru
 from arcmesh.llm.langid import fold
 from arcmesh.llm.store import arrow_batches, forget, keyed, lean, written
-from arcmesh.llm.textblocks import buffers, chunks, words
-from arcmesh.llm.wordjoin import BLOCK, PAYLOAD, blocks, opened, payloads
+from arcmesh.llm.textblocks import buffers, words
+from arcmesh.llm.wordjoin import BLOCK, PAYLOAD, blocks, by_count, opened, packed, planes, unpacked
 
 OUTPUTS, SPELLINGS, HIDDEN = 2048, 95, 16
 ROUNDS = 2
@@ -69,36 +71,54 @@ def spelling_groups(keys: pa.Array) -> np.ndarray:
     return np.where(np.diff(off) > 1, _TWO[raw[np.maximum(off[1:] - 2, 0)].astype(np.int64) * 256 + last], _ONE[last])
 
 
-def _requests(size: int):
-    """word (its key), block, at, n: a block's distinct words and their counts in its training documents."""
+def _split(size: int):
+    """A block's payload (see wordjoin), its number of training documents, and its distinct words' keys and
+    counts in those, packed: one row per block. Every later step reads these rows, so texts are split once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, rows, index, distinct in blocks(batches, size, words):
-            learn = np.repeat(~rows.column("held_out").to_numpy(), rows.column("words").to_numpy())
-            n = np.bincount(index[learn], minlength=len(distinct))
-            whole = pa.RecordBatch.from_arrays([word_keys(distinct), pa.array(np.full(len(distinct), k)), pa.array(np.arange(len(distinct), dtype=np.int32)), pa.array(n.astype(np.int64))], ["word", "block", "at", "n"])
-            for i in range(0, len(distinct), 50_000):
-                yield whole.slice(i, 50_000)
+            learn = ~rows.column("held_out").to_numpy()
+            n = np.bincount(index[np.repeat(learn, rows.column("words").to_numpy())], minlength=len(distinct))
+            own = zstandard.ZstdCompressor(level=1).compress(packed(pa.table({"word": word_keys(distinct), "n": n.astype(np.int64)})))
+            index, often = by_count(index, len(distinct))
+            parts = (pa.array([x], pa.binary()) for x in (packed(rows), planes(often), planes(index), own))
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(distinct)], pa.int32()), *parts, pa.array([int(learn.sum())])], ["block", "distinct", "rows", "often", "index", "own", "learning"])
 
     return run
 
 
+def _own(x: bytes) -> pa.Table:
+    return unpacked(zstandard.ZstdDecompressor().decompress(x))
+
+
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word (its key), block, at, n: a block's distinct words and their counts in its training documents."""
+    for batch in batches:
+        for k, x in zip(batch.column("block").to_pylist(), batch.column("own"), strict=True):
+            own = _own(x.as_py())
+            for i in range(0, len(own), 50_000):
+                part = own.slice(i, 50_000).combine_chunks()
+                m = len(part)
+                yield pa.RecordBatch.from_arrays([part.column("word").chunk(0), pa.array(np.full(m, k)), pa.array(np.arange(i, i + m, dtype=np.int32)), part.column("n").chunk(0)], ["word", "block", "at", "n"])
+
+
 def _sequences(held):
     """ids (16-bit) of the training sequences: words, then the end (0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = pa.array(held.value, pa.binary())
         for batch in batches:
-            off, raw = buffers(batch.column("text"))
-            for a, b in chunks(off):
-                found, per = words(off[a : b + 1] - off[a], raw[off[a] : off[b]])
-                coded = found.dictionary_encode()
-                own = word_keys(coded.dictionary)
+            for i in range(len(batch)):
+                one = pa.Table.from_batches([batch.slice(i, 1)])
+                own = _own(one.column("own")[0].as_py()).column("word").combine_chunks()
+                rows, index, _ = opened(one, np.arange(len(own)))
                 at = pc.index_in(own, value_set=top).fill_null(-1).to_numpy()
-                ids = np.where(at >= 0, at + 1 + SPELLINGS, spelling_groups(own)).astype("<u2")[coded.indices.to_numpy()]
+                ids = np.where(at >= 0, at + 1 + SPELLINGS, spelling_groups(own)).astype("<u2")[index]
+                per = rows.column("words").to_numpy()
                 ids = np.insert(ids, np.cumsum(per), 0)
                 ends = np.cumsum(per + 1)
-                yield pa.RecordBatch.from_arrays([batch.column("rk").slice(a, b - a), pa.array([ids[e - n - 1 : e].tobytes() for e, n in zip(ends, per, strict=True)], pa.binary())], ["rk", "ids"])
+                learn = np.flatnonzero(~rows.column("held_out").to_numpy())
+                yield pa.RecordBatch.from_arrays([rows.column("rk").combine_chunks().take(pa.array(learn)), pa.array([ids[ends[d] - per[d] - 1 : ends[d]].tobytes() for d in learn], pa.binary())], ["rk", "ids"])
 
     return run
 
@@ -164,11 +184,13 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, block: int = BLOCK) -
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), (fold("doc_id", 10) == 0).alias("held_out")))
-    asked = written(rows.mapInArrow(lean(_requests(block)), "word binary, block long, at int, n long"), "requests")
+    # rows of some megabytes, so the writer looks at its size after each one
+    payload = written(rows.mapInArrow(lean(_split(block)), f"{PAYLOAD}, own binary, learning long"), "blocks", **{"parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
+    asked = payload.select("block", "own").mapInArrow(lean(_requests), "word binary, block long, at int, n long")
     # totals combine before their shuffle; their join back to the blocks is one that Spark splits where a
     # word that every block holds makes a partition large
     counted = written(asked.filter("n > 0").groupBy("word").agg(F.sum("n").alias("total")), "counts")
-    ends = rows.filter(~F.col("held_out")).count()
+    ends = payload.agg(F.sum("learning")).first()[0] or 0
     top = [bytes(r.word) for r in counted.orderBy(F.desc("total"), "word").limit(OUTPUTS - 1 - SPELLINGS).collect()]
     ranks = F.broadcast(spark.createDataFrame([(w, i + 1 + SPELLINGS) for i, w in enumerate(top)], "word binary, rank int"))  # OUTPUTS rows at most
     group = (1 + F.crc32(F.expr("substring(word, -2, 2)")) % SPELLINGS).cast("int")
@@ -180,8 +202,9 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, block: int = BLOCK) -
     n_of[0], v_of[0] = ends, ends > 0
     n_all, v_all = float(n_of.sum()), float(v_of.sum())
     start = gru.new(n_of, HIDDEN)
-    sequences = written(rows.filter(~F.col("held_out")).mapInArrow(lean(_sequences(spark.sparkContext.broadcast(top))), "rk long, ids binary"), "sequences")
+    sequences = written(payload.drop("learning").mapInArrow(lean(_sequences(spark.sparkContext.broadcast(top))), "rk long, ids binary"), "sequences")
     held = spark.sparkContext.broadcast((learned(start, sequences, rounds), n_of, v_of, n_all, v_all))
+    forget(sequences)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         params, n_of, v_of, n_all, v_all = held.value
@@ -209,5 +232,4 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, block: int = BLOCK) -
         return pa.table(columns, ["rk", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     answers = asked.select("word", "block", "at").join(coded, "word", "left").select("block", "at", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("code", group).alias("code"))
-    payload = rows.mapInArrow(lean(payloads(block, words)), PAYLOAD)
-    return payload.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "rk long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return payload.drop("own", "learning").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "rk long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

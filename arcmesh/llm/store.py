@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table of the shared folder and read it back."""
+def written(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """Cut the lineage: write df as a table of the shared folder and read it back. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arcmesh-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -215,6 +215,25 @@ def test_lm_score(docs, raw, none):
     assert score_documents(none).count() == 0
 
 
+def test_lm_splits_texts_once(docs):
+    from arcmesh.llm.lm import score_documents
+
+    rows = score_documents(docs, block=20_000)
+    assert not [f for f in rows.inputFiles() if "documents.parquet" in f]  # scores are made from the blocks that counts were made from
+    assert rows.count() == docs.count()
+
+
+def test_recurrent_model_with_far_biases():
+    from arcmesh.llm import gru
+
+    p, tokens, off = gru.new(np.arange(64.0), 4), np.arange(64, dtype=np.int32), np.array([0, 30, 64])
+    want = gru.score(p, tokens, off)
+    for by in (300, -300):  # no softmax changes, but sums of exponentials would overflow or vanish
+        q = p | {"bw": p["bw"] + np.float32(by), "bc": p["bc"] + np.float32(by)}
+        assert gru.score(q, tokens, off) == pytest.approx(want, rel=1e-4)
+        assert np.isfinite(gru.score(gru.train(q, tokens, off), tokens, off)).all()
+
+
 def test_lm_learns_from_every_training_document(docs, raw, monkeypatch):
     from arcmesh.llm import gru, lm
 
