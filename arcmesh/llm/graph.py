@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arcmesh.llm.store import forget, written
@@ -18,10 +18,11 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.hint("merge"), edges.w == labels.v).groupBy("u").agg(F.min("label").alias("m"))
         spread = labels.hint("merge").join(near, labels.v == near.u).select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = spread.select(F.col("v").alias("t"), F.col("label").alias("up"))
-        new = written(spread.join(up, spread.label == up.t).select("v", "old", F.least("label", "up").alias("label")), "labels")
-        moved = new.filter("old <> label").limit(1).count()
+        seen = Observation()  # counted while the table is written, not by a job of its own
+        jumped = spread.join(up, spread.label == up.t).select("v", "old", F.least("label", "up").alias("label")).observe(seen, F.count_if(F.expr("old <> label")).alias("moved"))
+        new = written(jumped.select("v", "label"), "labels")
         forget(labels)
-        labels = new.select("v", "label")
-        if not moved:
+        labels = new
+        if not seen.get["moved"]:
             forget(edges)
             return labels

@@ -22,10 +22,9 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from arcmesh.llm.store import arrow_batches, keyed, lean, written
+from arcmesh.llm.store import arrow_batches, forget, keyed, lean, local, settle, written
 from arcmesh.llm.textblocks import word_counts
 
 MAX_PATTERNS = 200_000
@@ -34,6 +33,9 @@ BUCKETS = 4096
 #: Comes behind every hash and row key of a bucket.
 LAST = 2**63 - 1
 CUTS = "pat int, gap double, b int, h long, rk long"
+GAPS = pa.schema([("pat", pa.int32()), ("gap", pa.float64()), ("behind", pa.int32())])
+PLAN = pa.schema([("pat", pa.int32()), ("sources", pa.list_(pa.string())), ("source_size", pa.int64()), ("target", pa.float64()), ("full", pa.int32()), ("rest", pa.float64())])
+TAKEN = pa.schema([("pat", pa.int32()), ("cuts", pa.list_(pa.struct([("gap", pa.float64()), ("b", pa.int32()), ("h", pa.int64()), ("rk", pa.int64())])))])
 EDGES = pa.schema([("pat", pa.int32()), ("gap", pa.float64()), ("b", pa.int32()), ("h", pa.int64()), ("rk", pa.int64()), ("after", pa.float64())])
 COPIES = 2
 
@@ -138,19 +140,17 @@ def _cuts(docs: DataFrame, gaps: dict[int, float]) -> list[tuple]:
     cuts: list[tuple] = []
     behind = dict.fromkeys(gaps, -1)
     while gaps := {k: g for k, g in gaps.items() if g >= 1}:
-        now = F.broadcast(spark.createDataFrame([(k, g, behind[k]) for k, g in gaps.items()], "pat int, gap double, behind int"))
+        settle(spark)
+        now = F.broadcast(local(spark, [(k, g, behind[k]) for k, g in gaps.items()], GAPS))
         left = docs.select("pat", "b", "h", "rk", "size").join(now, "pat").filter("b > behind and size <= gap")
         sums = left.groupBy("pat", "b", "gap").agg(F.sum("size").alias("n"))
         upto = sums.withColumn("before", F.sum("n").over(Window.partitionBy("pat").orderBy("b")) - F.col("n"))
-        edge = [(r.pat, r.b, r.gap - r.before) for r in upto.filter("before <= gap and before + n > gap").collect()]
-        cuts += [(k, g, BUCKETS, 0, 0) for k, g in gaps.items() if k not in {e[0] for e in edge}]  # all of it fits
-        if not edge:
-            break
-        at = F.broadcast(spark.createDataFrame(edge, "pat int, b int, open double"))
-        found = left.join(at, ["pat", "b"]).groupBy("pat").applyInArrow(_edges, CUTS + ", after double").collect()
+        edge = upto.filter("before <= gap and before + n > gap").selectExpr("pat", "b", "gap - before as open")  # a row per pattern at most
+        found = left.join(F.broadcast(edge), ["pat", "b"]).groupBy("pat").applyInArrow(_edges, CUTS + ", after double").collect()
+        behind = {r.pat: r.b for r in found}
+        cuts += [(k, g, BUCKETS, 0, 0) for k, g in gaps.items() if k not in behind]  # all of it fits
         cuts += [tuple(r)[:5] for r in found]
         gaps = {r.pat: r.after for r in found if r.h == r.rk == LAST}
-        behind = {k: b for k, b, _ in edge}
     return cuts
 
 
@@ -173,14 +173,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     for k, (p, n) in enumerate(patterns.items()):
         full = min(COPIES, int(taken[p] // n)) if n else 0
         rows.append((k, list(p), sizes[p[0]] if p else 0, quota[p[0]] if p else 0.0, full, float(taken[p] - full * n) if full < COPIES else 0.0))
-    schema = T.StructType.fromDDL("pat int, sources array<string>, source_size long, target double, full int, rest double")
-    plan = spark.createDataFrame(rows, schema)
+    plan = local(spark, rows, PLAN)
     # nulls inside arrays compare equal in a join only through a text form
     text = F.to_json(F.struct(F.col("sources")))
     plan = F.broadcast(plan.withColumn("p", text).drop("sources"))  # at most MAX_PATTERNS rows
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    placed = base.withColumn("p", text).join(plan, "p").drop("p").withColumn("h", h).withColumn("b", F.shiftrightunsigned("h", 52).cast("int"))
-    cuts = F.broadcast(spark.createDataFrame(_cuts(placed.filter("rest > 0 and size > 0"), {k: r[5] for k, r in enumerate(rows) if r[5] > 0}), CUTS))  # a few rows per pattern
-    done = placed.join(cuts.groupBy("pat").agg(F.collect_list(F.struct("gap", "b", "h", "rk")).alias("cuts")), "pat", "left")
+    placed = written(base.withColumn("p", text).join(plan, "p").drop("p").withColumn("h", h).withColumn("b", F.shiftrightunsigned("h", 52).cast("int")), "placed")
+    forget(base)
+    cuts: dict[int, list[dict]] = {}
+    for pat, gap, b, h, rk in _cuts(placed.filter("rest > 0 and size > 0"), {k: r[5] for k, r in enumerate(rows) if r[5] > 0}):
+        cuts.setdefault(pat, []).append({"gap": gap, "b": b, "h": h, "rk": rk})
+    done = placed.join(F.broadcast(local(spark, list(cuts.items()), TAKEN)), "pat", "left")  # a few cuts per pattern
     fits = "exists(cuts, c -> size <= c.gap and (b < c.b or (b = c.b and (h < c.h or (h = c.h and rk < c.rk)))))"
     return done.select("rk", "doc_id", "sources", "size", "source_size", "target", F.expr(f"size * (full + if(rest > 0 and coalesce({fits}, false), 1, 0))").cast("long").alias("taken"))

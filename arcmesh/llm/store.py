@@ -8,7 +8,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage: Spark drops shuffle files and broadcasts only when the driver
+    finds them unused, and each stage leaves blocks of 4 MB, for which its heap grows rather than being collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str, **options: int) -> DataFrame:
     """Cut the lineage: write df as a table of the shared folder and read it back. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arcmesh-{name}-{uuid.uuid4().hex}"
+    settle(spark)  # here, not behind the write: what has just run is still held for a moment
     df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,6 +73,20 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def local(spark: SparkSession, rows: Sequence[tuple], schema: pa.Schema) -> DataFrame:
+    """Rows that the driver holds, as a relation of the plan: it can be broadcast without a job, which
+    rows that go through an RDD need."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+
+
+def give_back() -> None:
+    """Freed memory of this Python process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -77,9 +98,7 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return own
 

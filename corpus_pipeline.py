@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from arcmesh.llm import bpe, exactdup, langid, mixing, neardup
 from arcmesh.llm.queries import table, tokenizer_path
-from arcmesh.llm.store import fresh, keyed, written
+from arcmesh.llm.store import fresh, give_back, keyed, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.langs:
         model = langid.Model(["any"], [], [], [], [])
     name = fresh(docs, "found")
-    return langid.with_language(docs, model, name).filter(F.col(f"{name}.score") > 0).drop(name)
+    out = langid.with_language(docs, model, name).filter(F.col(f"{name}.score") > 0).drop(name)
+    del model  # it was broadcast; the driver needs its memory for the stages to come
+    give_back()
+    return out
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -380,6 +380,27 @@ def test_source_mix_leaves_no_document_that_fits(spark):
         assert 0 <= gap < min((r["size"] for r in rows if not r.taken), default=1e9)
 
 
+def test_source_mix_holds_its_patterns_in_the_plan(docs, monkeypatch):
+    """What the driver holds is broadcast from the plan, without a job; a round of cuts is one query."""
+    from arcmesh.llm import mixing
+
+    asked, gaps = [], mixing.local
+    monkeypatch.setattr(mixing, "local", lambda spark, rows, schema: asked.append(schema) or gaps(spark, rows, schema))
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+    assert asked[0] is mixing.PLAN and asked[-1] is mixing.TAKEN and mixing.GAPS in asked
+
+
+def test_the_driver_collects_its_garbage_before_it_writes_a_table(spark):
+    from arcmesh.llm.store import written
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    assert written(spark.range(3), "three").count() == 3
+    assert full() > before
+
+
 def test_flow_routes_overlapping_sources(spark):
     from arcmesh.llm.mixing import flow, mix, targets
 
