@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str, **options: int) -> DataFrame:
     """Cut the lineage: write df as a table of the shared folder and read it back. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arcmesh-{name}-{uuid.uuid4().hex}"
-    settle(spark)  # here, not behind the write: what has just run is still held for a moment
+    settle(spark)
     df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
