@@ -1,6 +1,6 @@
 """Junctions: the points where shared paths start or end.
 
-Two ways. `coords_connected` compares the neighbours of every vertex and needs one shuffle. `path_connected`
+Two ways. `coords_connected` compares the neighbours of every vertex and needs one shuffle if lines are given. `path_connected`
 finds overlapping collinear segments of different lines and keeps the ends of what they share.
 
 Segments that overlap lie on one line, so they are joined on the line's equation and a cell along it: an
@@ -16,17 +16,41 @@ from pyspark.sql.window import Window
 
 from arcmesh.functions import geom
 from arcmesh.operators.lines import collected
+from arcmesh.operators.tables import dealt
+
+
+#: Vertices to a task where points are grouped.
+EACH = 1_500_000
+
+
+def _differing(near: DataFrame, rows: int) -> DataFrame:
+    """x, y whose neighbours a, b, in either order, are not the same everywhere."""
+    pair = near.select("x", "y", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    parts = [F.col(f"{v}.{c}").alias(v + c) for v in ("lo", "hi") for c in ("x", "y")]
+    gaps = F.expr("int(isnull(lo.x)) + 2 * int(isnull(lo.y)) + 4 * int(isnull(hi.x)) + 8 * int(isnull(hi.y))")
+    flat = dealt(pair.select("x", "y", *parts, gaps.alias("gaps")), rows, EACH, "x", "y")
+    # several pairs exactly if the least and the greatest of a part differ; numbers alone are grouped without a sort
+    names = ["lox", "loy", "hix", "hiy", "gaps"]
+    ends = flat.groupBy("x", "y").agg(*[f(n).alias(n + k) for n in names for f, k in ((F.min, "0"), (F.max, "1"))])
+    return ends.filter(" or ".join(f"{n}0 <> {n}1" for n in names)).select("x", "y")
+
+
+def lines_coords_connected(lines: DataFrame) -> DataFrame:
+    """x, y where a vertex of lines (ring_id, pts) has different pairs of neighbours. Neighbours wrap around
+    the line's ends."""
+    rows = lines.agg(F.sum(F.greatest(F.size("pts"), F.lit(0)))).first()[0] or 0
+    near = lines.select("pts", F.posexplode("pts").alias("pos", "p")).select("p.x", "p.y", F.coalesce(F.get("pts", F.col("pos") - 1), F.get("pts", F.size("pts") - 1)).alias("a"), F.coalesce(F.get("pts", F.col("pos") + 1), F.get("pts", F.lit(0))).alias("b"))
+    return _differing(near, rows)
 
 
 def coords_connected(verts: DataFrame) -> DataFrame:
-    """x, y where a vertex has different pairs of neighbours. Neighbours wrap around the line's ends."""
+    """The same of vertices."""
+    rows = verts.count()
     w = Window.partitionBy("ring_id").orderBy("pos")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     p = F.struct("x", "y")
-    near = verts.select("x", "y", F.coalesce(F.lag(p).over(w), F.last(p).over(whole)).alias("a"), F.coalesce(F.lead(p).over(w), F.first(p).over(whole)).alias("b"))
-    # min and max of the ordered pair differ exactly if there are several: no distinct, all map-side
-    pair = F.struct(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    return near.groupBy("x", "y").agg(F.min(pair).alias("m"), F.max(pair).alias("n")).filter("m <> n").select("x", "y")
+    near = dealt(verts, rows, EACH, "ring_id").select("x", "y", F.coalesce(F.lag(p).over(w), F.last(p).over(whole)).alias("a"), F.coalesce(F.lead(p).over(w), F.first(p).over(whole)).alias("b"))
+    return _differing(near, rows)
 
 
 def segments(verts: DataFrame) -> DataFrame:

@@ -26,3 +26,9 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{where.rstrip('/')}/arcmesh-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, rows: int, each: int, *keys: str) -> DataFrame:
+    """df dealt by keys to partitions of about each rows, so that a task's memory doesn't grow with the table:
+    partitions of a number that is given are not merged by their compressed size."""
+    return df.repartition(max(1, -(-rows // each)), *keys)

@@ -153,7 +153,7 @@ def valid_rings(spark, sf):
 
 
 def junctions_coords(spark, sf):
-    return junctions.coords_connected(mesh(spark, sf, "orders"))
+    return junctions.lines_coords_connected(mesh_lines(spark, sf, "orders"))
 
 
 def junctions_paths(spark, sf):
