@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -94,7 +94,8 @@ def cross(a: Column, b: Column, c: Column) -> Column:
 
 def drop_collinear(pts: Column | str) -> Column:
     """One pass: inner points on the line of their original neighbours go, spikes and repeats too."""
-    return let(pts, lambda p: F.filter(p, lambda v, i: (i == 0) | (i == F.size(p) - 1) | (cross(F.get(p, i - 1), v, F.get(p, i + 1)) != 0)))
+    inner = lambda p: F.filter(p, lambda v, i: (i == 0) | (i == F.size(p) - 1) | (cross(F.get(p, i - 1), v, F.get(p, i + 1)) != 0))
+    return let(pts, lambda p: F.when(F.size(p) > 2, inner(p)).otherwise(p))
 
 
 def is_closed(pts: Column | str) -> Column:
@@ -121,3 +122,18 @@ def canonical(pts: Column | str) -> Column:
     opened = lambda p: F.slice(p, F.lit(1), F.size(p) - 1)
     ring = lambda p: let(opened(p), lambda o: F.least(_least_rotation(o), _least_rotation(F.reverse(o))))
     return let(pts, lambda p: F.when(is_closed(p), ring(p)).otherwise(F.least(p, F.reverse(p))))
+
+
+def with_canonical(df: DataFrame) -> DataFrame:
+    """df with closed (is_closed) and canon (canonical) of its column pts, in steps of plain columns: these are
+    compiled, lambdas are interpreted. A ring whose smallest point is there more than once takes canonical."""
+    df = df.withColumn("closed", F.expr("coalesce(size(pts) > 2 and get(pts, 0) = get(pts, size(pts) - 1), false)"))
+    df = df.withColumn("_o", F.expr("if(closed, slice(pts, 1, size(pts) - 1), null)"))
+    df = df.withColumn("_i", F.expr("cast(array_position(_o, array_min(_o)) as int)"))
+    df = df.withColumn("_f", F.expr("slice(_o, 1, _i - 1)")).withColumn("_r", F.expr("slice(_o, _i + 1, size(_o))"))
+    # from the smallest point onward; the other way round it is the same start and the rest reversed
+    df = df.withColumn("_t", F.expr("concat(_r, _f)"))
+    again = F.expr("array_position(_t, get(_o, _i - 1)) > 0")
+    around = F.expr("concat(slice(_o, _i, 1), least(_t, reverse(_t)))")
+    canon = F.when(~F.col("closed"), F.least("pts", F.reverse("pts"))).when(again, canonical("pts")).otherwise(around)
+    return df.withColumn("canon", canon).drop("_o", "_i", "_f", "_r", "_t")

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from arcmesh.functions import geom
 from arcmesh.operators.lines import collected
-from arcmesh.operators.tables import dealt
+from arcmesh.operators.tables import dealt, settled
 
 
 #: Vertices to a task where points are grouped.
@@ -59,6 +59,14 @@ def segments(verts: DataFrame) -> DataFrame:
     return verts.select("ring_id", "pos", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).filter("x2 is not null and (x1 <> x2 or y1 <> y2)")
 
 
+def line_segments(lines: DataFrame) -> DataFrame:
+    """The same of lines (ring_id, pts, more columns), without a shuffle."""
+    more = [c for c in lines.columns if c != "pts"]
+    here, there = F.col("p"), F.get("pts", F.col("pos") + 1)
+    ends = lines.select(*more, "pts", F.posexplode("pts").alias("pos", "p")).select(*more, "pos", here["x"].alias("x1"), here["y"].alias("y1"), there["x"].alias("x2"), there["y"].alias("y2"))
+    return ends.filter("x2 is not null and (x1 <> x2 or y1 <> y2)")
+
+
 def with_cells(segs: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
     """segs with the grid cells (cx, cy) that each segment passes, give or take pad: for every column of
     cells along its longer axis those between its two places there, so a segment costs as many rows as it
@@ -94,29 +102,48 @@ def _line_keys(exact: bool, wide: bool) -> tuple[Column, Column]:
     return (slope + 0.0, c + 0.0) if exact else (F.round(slope, 7), F.round(c, 6))
 
 
-def overlaps(segs: DataFrame, cell: float, exact: bool = True, wide: bool = False) -> DataFrame:
-    """la < lb and the ends (px, py), (qx, qy) of every piece that segments of two lines share."""
+def _celled(segs: DataFrame, cell: float, exact: bool, wide: bool) -> DataFrame:
     slope, offset = _line_keys(exact, wide)
-    keyed = segs.withColumn("k1", slope).withColumn("k2", offset).withColumn("flat", F.expr("abs(y2 - y1) <= abs(x2 - x1)"))
-    lo, hi = F.expr("if(flat, least(x1, x2), least(y1, y2))"), F.expr("if(flat, greatest(x1, x2), greatest(y1, y2))")
-    # rounded keys: a line near the edge of a rounding step is found in the next one too
-    celled = keyed.withColumn("cell", F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))))
-    if exact:
-        probe = celled
-    else:
-        probe = celled.withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("k2", F.round(F.col("k2") + F.col("d") * 1e-6, 6)).withColumn("e", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("k1", F.round(F.col("k1") + F.col("e") * 1e-7, 7)).drop("d", "e")
-    names = ["ring_id", "x1", "y1", "x2", "y2", "k1", "k2", "cell"]
-    a = probe.select(names).toDF("la", "ax1", "ay1", "ax2", "ay2", "k1", "k2", "cell")
-    b = celled.select(names).toDF("lb", "bx1", "by1", "bx2", "by2", "k1", "k2", "cell")
-    eps = 0.0 if exact else 1e-8
+    # never null, as conditions on pairs below aren't: else each column's whole expression is put into a filter
+    # on nulls at the segments, a method too long to be compiled
+    keyed = segs.withColumn("k1", F.coalesce(slope, F.lit(0.0))).withColumn("k2", F.coalesce(offset, F.lit(0).cast("decimal(38,0)") if wide else F.lit(0.0))).withColumn("flat", F.expr("abs(y2 - y1) <= abs(x2 - x1)"))
+    keyed = keyed.withColumn("lo", F.expr("if(flat, least(x1, x2), least(y1, y2))")).withColumn("hi", F.expr("if(flat, greatest(x1, x2), greatest(y1, y2))"))
+    # a cell that a segment only touches holds no piece of it; quotients beyond EXACT may be rounded to its edge
+    last = F.expr(f"greatest(floor(lo / {cell}), ceil(hi / {cell}) - 1)" if exact and not wide else f"floor(hi / {cell})")
+    return keyed.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), last)))
+
+
+def _exact_overlaps(segs: DataFrame, cell: float, wide: bool) -> DataFrame:
+    """la < lb, px, py, qx, qy, same (direction), na, nb: each two segments that overlap once, from the cell in
+    which their common piece starts. Ends are ordered along the line, so a piece runs from the later start to
+    the earlier end; both are vertices."""
+    swap = F.expr("if(flat, x1 > x2, y1 > y2)")
+    ends = lambda a, b: F.when(F.col("swap"), F.col(b)).otherwise(F.col(a))
+    own = _celled(segs, cell, True, wide).withColumn("swap", swap).select("ring_id", "n", "k1", "k2", "cell", "lo", "hi", ends("x1", "x2"), ends("y1", "y2"), ends("x2", "x1"), ends("y2", "y1"), "swap")
+    side = lambda s: own.toDF(f"l{s}", f"n{s}", "k1", "k2", "cell", *[f"{s}{c}" for c in ("lo", "hi", "px", "py", "qx", "qy", "swap")])
+    d = (lambda e: f"cast({e} as decimal(19,0))") if wide else (lambda e: f"({e})")
+    # different lines may have equal keys
+    on = lambda v: f"{d('aqx - apx')} * {d(f'b{v}y - apy')} = {d('aqy - apy')} * {d(f'b{v}x - apx')}"
+    both = side("a").join(side("b"), ["k1", "k2", "cell"]).filter(f"coalesce(la < lb and alo < bhi and blo < ahi and floor(greatest(alo, blo) / {cell}) = cell and {on('p')} and {on('q')}, false)")
+    start, stop = (lambda c: F.expr(f"if(alo >= blo, ap{c}, bp{c})")), (lambda c: F.expr(f"if(ahi <= bhi, aq{c}, bq{c})"))
+    return both.select("la", "lb", start("x").alias("px"), start("y").alias("py"), stop("x").alias("qx"), stop("y").alias("qy"), F.expr("aswap = bswap").alias("same"), "na", "nb")
+
+
+def _near_overlaps(segs: DataFrame, cell: float) -> DataFrame:
+    """The same with rounded keys and a tolerance; two segments may come more than once."""
+    celled = _celled(segs, cell, False, False)
+    # a line near the edge of a rounding step is found in the next one too
+    probe = celled.withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("k2", F.round(F.col("k2") + F.col("d") * 1e-6, 6)).withColumn("e", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("k1", F.round(F.col("k1") + F.col("e") * 1e-7, 7)).drop("d", "e")
+    names = ["ring_id", "n", "x1", "y1", "x2", "y2", "k1", "k2", "cell"]
+    a = probe.select(names).toDF("la", "na", "ax1", "ay1", "ax2", "ay2", "k1", "k2", "cell")
+    b = celled.select(names).toDF("lb", "nb", "bx1", "by1", "bx2", "by2", "k1", "k2", "cell")
     both = a.join(b, ["k1", "k2", "cell"]).filter("la < lb")
     both = both.withColumn("dx", F.expr("ax2 - ax1")).withColumn("dy", F.expr("ay2 - ay1")).withColumn("dd", F.expr("dx * dx + dy * dy"))
-    d = (lambda e: f"cast({e} as decimal(19,0))") if wide else (lambda e: f"({e})")
-    off = lambda p: F.abs(F.expr(f"{d('dx')} * {d(f'by{p} - ay1')} - {d('dy')} * {d(f'bx{p} - ax1')}")) <= (F.lit(0) if wide else eps * F.sqrt("dd"))
+    off = lambda p: F.abs(F.expr(f"dx * (by{p} - ay1) - dy * (bx{p} - ax1)")) <= 1e-8 * F.sqrt("dd")
     both = both.filter(off(1) & off(2))
     both = both.withColumn("t1", F.expr("((bx1 - ax1) * dx + (by1 - ay1) * dy) / dd")).withColumn("t2", F.expr("((bx2 - ax1) * dx + (by2 - ay1) * dy) / dd"))
     both = both.withColumn("lo", F.least("t1", "t2")).withColumn("hi", F.greatest("t1", "t2"))
-    slack = 0.0 if exact else 1e-9
+    slack = 1e-9
     both = both.filter(F.least(F.lit(1.0), F.col("hi")) - F.greatest(F.lit(0.0), F.col("lo")) > slack)
     # ends are given as the vertex they come from, never computed
     near, far = F.expr("t1 <= t2"), F.expr("t1 > t2")
@@ -124,41 +151,65 @@ def overlaps(segs: DataFrame, cell: float, exact: bool = True, wide: bool = Fals
     p_at_a, q_at_a = F.col("lo") <= slack, F.col("hi") >= 1 - slack
     return both.select(
         "la", "lb",
-        F.struct(end(p_at_a, "ax1", near).alias("x"), end(p_at_a, "ay1", near).alias("y")).alias("p"),
-        F.struct(end(q_at_a, "ax2", far).alias("x"), end(q_at_a, "ay2", far).alias("y")).alias("q"),
-        F.expr("if((t2 >= t1), 1, -1)").alias("direction"),
+        end(p_at_a, "ax1", near).alias("px"), end(p_at_a, "ay1", near).alias("py"),
+        end(q_at_a, "ax2", far).alias("qx"), end(q_at_a, "ay2", far).alias("qy"),
+        F.expr("t2 >= t1").alias("same"), "na", "nb",
     )
 
 
-def shared_pieces(verts: DataFrame, cell: float, exact: bool = True, wide: bool = False) -> DataFrame:
-    """la, lb, p, q: the distinct undirected pieces that two lines share, of lines that aren't equal."""
-    segs = segments(verts)
-    pieces = overlaps(segs, cell, exact, wide).select("la", "lb", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
-    size = F.sqrt(F.pow(F.col("p.x") - F.col("q.x"), 2) + F.pow(F.col("p.y") - F.col("q.y"), 2))
-    shared = pieces.groupBy("la", "lb").agg(F.sum(size).alias("shared"))
-    length = segs.groupBy("ring_id").agg(F.sum(F.expr("sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))")).alias("len"))
+def overlaps(segs: DataFrame, cell: float, exact: bool = True, wide: bool = False) -> DataFrame:
+    """la < lb and the ends (px, py), (qx, qy) of every piece that segments of two lines share; same: whether
+    the two run the same way; na, nb: what segs has as n."""
+    return _exact_overlaps(segs, cell, wide) if exact else _near_overlaps(segs, cell)
+
+
+#: Shared pieces to a task.
+PIECES = 500_000
+
+
+def distinct_paths(lines: DataFrame) -> DataFrame:
+    """ring_id, pts of one line of each path (in either direction, closed ones from any start). Equal lines
+    have no junctions with each other and the same ones with all others, so however many copies of a line
+    there are, one stands for them; copies combine before the shuffle."""
+    own = geom.with_canonical(lines.select("ring_id", "pts")).select("ring_id", "closed", F.col("canon").alias("path"))
+    one = own.groupBy(F.xxhash64("path").alias("h"), "closed", "path").agg(F.min("ring_id").alias("ring_id"))
+    return one.select("ring_id", F.expr("if(closed, concat(path, slice(path, 1, 1)), path)").alias("pts"))
+
+
+def _ends(pieces: Column) -> Column:
+    """The points where other than two of a pair's pieces meet; without any, the smallest point."""
+    both = lambda v: F.array(v["p"], v["q"])
+    is_at = lambda s, i, v: F.get(s, i).eqNullSafe(v)
+    odd = lambda s: F.filter(s, lambda v, i: ~is_at(s, i - 1, v) & ~(is_at(s, i + 1, v) & ~is_at(s, i + 2, v)))
+    own = lambda s: geom.let(odd(s), lambda e: F.when(F.size(e) > 0, e).otherwise(F.slice(s, F.lit(1), F.lit(1))))
+    return geom.let(F.sort_array(F.flatten(F.transform(pieces, both))), own)
+
+
+def lines_connected(lines: DataFrame, cell: float, exact: bool = True, wide: bool = False) -> DataFrame:
+    """x, y: the ends of the paths that two lines share, of lines (ring_id, pts). exact: all coordinates are
+    integers; wide: some are beyond EXACT. A merged path ends where other than two of the pair's pieces meet;
+    a shared loop without such an end gives its smallest point. Pairs whose shared pieces are as long as
+    either line are equal and have no ends."""
+    segs = line_segments(settled(distinct_paths(lines)).withColumn("n", geom.line_length("pts")))
+    found = settled(overlaps(segs, cell, exact, wide).drop("same"))
+    # most pairs share one piece; it is found by numbers alone, without collecting
+    rows = found.count()
+    pair = dealt(found, rows, PIECES, "la", "lb").groupBy("la", "lb")
+    one = pair.agg(F.count("*").alias("c"), *[F.max(v).alias(v) for v in ("px", "py", "qx", "qy", "na", "nb")]).filter("c = 1")
+    one = one.select(F.array(F.struct(F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("p"), F.struct(F.col("qx").alias("x"), F.col("qy").alias("y")).alias("q"))).alias("pieces"), "na", "nb")
+    p, q = F.struct(F.expr("px + 0D").alias("x"), F.expr("py + 0D").alias("y")), F.struct(F.expr("qx + 0D").alias("x"), F.expr("qy + 0D").alias("y"))
+    several = dealt(found, rows, PIECES, "la", "lb").join(pair.agg(F.count("*").alias("c")).filter("c > 1").select("la", "lb"), ["la", "lb"], "left_semi")
+    several = several.groupBy("la", "lb").agg(F.collect_set(F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"))).alias("pieces"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    size = F.aggregate("pieces", F.lit(0.0), lambda s, v: s + F.sqrt(F.pow(v["p"]["x"] - v["q"]["x"], 2) + F.pow(v["p"]["y"] - v["q"]["y"], 2)))
+    length = F.sqrt(F.pow(F.expr("pieces[0].p.x - pieces[0].q.x"), 2) + F.pow(F.expr("pieces[0].p.y - pieces[0].q.y"), 2))
     close = lambda n: F.abs(F.col("shared") - F.col(n)) <= 1e-9 * F.col(n)
-    equal = shared.join(length.toDF("la", "na"), "la").join(length.toDF("lb", "nb"), "lb").filter(close("na") & close("nb"))
-    return pieces.join(equal.select("la", "lb"), ["la", "lb"], "left_anti")
-
-
-def distinct_lines(verts: DataFrame) -> DataFrame:
-    """verts of one line of each path (in either direction, closed ones from any start). Equal lines have
-    no junctions with each other and the same ones with all others, so however many copies of a line there
-    are, one stands for them; copies combine before the shuffle."""
-    own = collected(verts, ["ring_id"]).select("ring_id", geom.canonical("pts").alias("path"))
-    one = own.groupBy(F.xxhash64("path").alias("h"), "path").agg(F.min("ring_id").alias("ring_id"))
-    return verts.join(one.select("ring_id"), "ring_id", "left_semi")
+    ends = lambda pairs, size, at: pairs.withColumn("shared", size).filter(~(close("na") & close("nb"))).select(F.explode(at).alias("e")).select("e.x", "e.y")
+    return ends(one, length, F.expr("array(pieces[0].p, pieces[0].q)")).union(ends(several, size, _ends(F.col("pieces")))).distinct()
 
 
 def path_connected(verts: DataFrame, cell: float, exact: bool = True, wide: bool = False) -> DataFrame:
-    """x, y: the ends of the paths that two lines share. exact: all coordinates are integers; wide: some
-    are beyond EXACT. A merged path ends where other than two of the
-    pair's pieces meet; a shared loop without such an end gives its smallest point."""
-    pieces = shared_pieces(distinct_lines(verts), cell, exact, wide)
-    ends = pieces.select("la", "lb", F.explode(F.array("p", "q")).alias("n")).groupBy("la", "lb", "n").agg(F.count("*").alias("degree"))
-    loops = ends.groupBy("la", "lb").agg(F.min("degree").alias("lo"), F.max("degree").alias("hi"), F.min("n").alias("n")).filter("lo = 2 and hi = 2").select("n")
-    return ends.filter("degree <> 2").select("n").union(loops).select("n.x", "n.y").distinct()
+    """The same of vertices."""
+    return lines_connected(collected(verts, ["ring_id"]), cell, exact, wide)
 
 
 def default_cell(verts: DataFrame) -> float:
@@ -181,5 +232,5 @@ def envelope_pairs(verts: DataFrame, cell: float) -> DataFrame:
 
 def shared_directions(verts: DataFrame, cell: float, exact: bool = True) -> DataFrame:
     """la, lb, forward, backward: numbers of shared pieces that run the same and the opposite way."""
-    pieces = overlaps(segments(verts), cell, exact).distinct()
-    return pieces.groupBy("la", "lb").agg(F.count(F.when(F.col("direction") > 0, 1)).alias("forward"), F.count(F.when(F.col("direction") < 0, 1)).alias("backward"))
+    pieces = overlaps(segments(verts).withColumn("n", F.lit(0.0)), cell, exact).distinct()
+    return pieces.groupBy("la", "lb").agg(F.count(F.when(F.col("same"), 1)).alias("forward"), F.count(F.when(~F.col("same"), 1)).alias("backward"))

@@ -1,4 +1,4 @@
-"""Vertices to arcs and references without a facade, for tables that are already points."""
+"""Lines to arcs and references without a facade, for tables that are already points."""
 
 from __future__ import annotations
 
@@ -18,9 +18,8 @@ class Encoded:
     refs: DataFrame
 
 
-def encode(verts: DataFrame, cell: float, shared_coords: bool = False, exact: bool = True) -> Encoded:
-    """verts: ring_id, pos, x, y, is_ring. cell: about the length of a few segments."""
-    found = settled(junctions.coords_connected(verts) if shared_coords else junctions.path_connected(verts, cell, exact))
-    v = verts if shared_coords else cut.insert_junctions(verts, found, cell)
-    slots = settled(cut.slots(cut.split(v, found)))
+def encode(lines: DataFrame, cell: float, shared_coords: bool = False, exact: bool = True) -> Encoded:
+    """lines: ring_id, pts, is_ring. cell: about the length of a few segments."""
+    found = settled(junctions.lines_coords_connected(lines) if shared_coords else junctions.lines_connected(lines, cell, exact))
+    slots = cut.cut_lines(lines, found, None if shared_coords else cell, exact)
     return Encoded(found, slots, *dedup.arcs_and_refs(slots))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from arcmesh.functions import geom
 from arcmesh.operators import cut, decode, dedup, junctions, quantize, simplify
 from arcmesh.operators.ids import dense_ids
-from arcmesh.operators.lines import vertices
+from arcmesh.operators.lines import collected, vertices
 from arcmesh.operators.tables import settled
 from arcmesh.options import TopologyOptions, epsilon, quantum
 from arcmesh.sources import features as sources
@@ -197,10 +197,8 @@ class Topology:
 
     @cached_property
     def slots(self) -> DataFrame:
-        v = self._vertices
-        if self.options.topology and not self.options.shared_coords:
-            v = cut.insert_junctions(v, self.junctions, self._cell)
-        return settled(cut.slots(cut.split(v, self.junctions)))
+        own = collected(self._vertices, ["ring_id", "is_ring"])
+        return settled(cut.cut_lines(own, self.junctions, self._cell if self.options.topology and not self.options.shared_coords else None))
 
     @cached_property
     def _coded(self) -> tuple[DataFrame, DataFrame]:

@@ -38,12 +38,16 @@ def mesh(spark: SparkSession, sf: str, name: str = "customer", brick: bool = Fal
     return lines.vertices(mesh_lines(spark, sf, name, brick))
 
 
-def intervals(spark: SparkSession, sf: str) -> DataFrame:
+def interval_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of customers: [k % 7, k % 7 + 1 + k % 5] at y = k % 100."""
     k = F.col("c_custkey").cast("long")
     a = k % 7
     pts = F.array(geom.point(a, k % 100), geom.point(a + 1 + k % 5, k % 100))
-    return lines.vertices(read(spark, sf, "customer").select(k.alias("ring_id"), pts.alias("pts"), F.lit(False).alias("is_ring")))
+    return read(spark, sf, "customer").select(k.alias("ring_id"), pts.alias("pts"), F.lit(False).alias("is_ring"))
+
+
+def intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.vertices(interval_lines(spark, sf))
 
 
 def trajectories(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,15 +161,15 @@ def junctions_coords(spark, sf):
 
 
 def junctions_paths(spark, sf):
-    return junctions.path_connected(mesh(spark, sf, "customer"), 2.0)
+    return junctions.lines_connected(mesh_lines(spark, sf, "customer"), 2.0)
 
 
 def junctions_bricks(spark, sf):
-    return junctions.path_connected(mesh(spark, sf, "customer", True), 4.0)
+    return junctions.lines_connected(mesh_lines(spark, sf, "customer", True), 4.0)
 
 
 def junctions_intervals(spark, sf):
-    return junctions.path_connected(intervals(spark, sf), 4.0)
+    return junctions.lines_connected(interval_lines(spark, sf), 4.0)
 
 
 def candidate_pairs(spark, sf):
@@ -179,29 +183,24 @@ def shared_directions(spark, sf):
 # ---- cutting
 
 
-def _bricks(spark, sf):
-    return mesh(spark, sf, "customer", True)
-
-
 def t_junction_insert(spark, sf):
-    v = _bricks(spark, sf)
-    out = cut.insert_junctions(v, junctions.path_connected(v, 4.0), 4.0)
+    own = mesh_lines(spark, sf, "customer", True)
+    out = cut.insert_junctions(lines.vertices(own), junctions.lines_connected(own, 4.0), 4.0)
     return out.select("ring_id", F.col("pos").cast("long").alias("pos"), "x", "y")
 
 
-def _slots(spark, sf, v):
-    own = cut.slots(cut.split(v, junctions.path_connected(v, 4.0)))
+def _slots(uncut):
+    own = cut.cut_lines(uncut, junctions.lines_connected(uncut, 4.0))
     return lines.vertices(own).select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), "x", "y")
 
 
 def cut_rings_rotated(spark, sf):
-    return _slots(spark, sf, mesh(spark, sf))
+    return _slots(mesh_lines(spark, sf))
 
 
 def cut_lines(spark, sf):
-    v = intervals(spark, sf)
-    found = junctions.path_connected(v, 4.0)
-    own = cut.slots(cut.split(cut.insert_junctions(v, found, 4.0), found))
+    uncut = interval_lines(spark, sf)
+    own = cut.cut_lines(uncut, junctions.lines_connected(uncut, 4.0), 4.0, True)
     return lines.vertices(own).select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), "x", "y")
 
 
@@ -209,46 +208,47 @@ def cut_lines(spark, sf):
 
 
 def signed_refs(spark, sf):
-    return encode(mesh(spark, sf), 2.0).refs.select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("signed_ref").cast("long").alias("signed_ref"))
+    return encode(mesh_lines(spark, sf), 2.0).refs.select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("signed_ref").cast("long").alias("signed_ref"))
 
 
 def signed_refs_bricks(spark, sf):
-    return encode(_bricks(spark, sf), 4.0).refs.select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("signed_ref").cast("long").alias("signed_ref"))
+    return encode(mesh_lines(spark, sf, "customer", True), 4.0).refs.select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("signed_ref").cast("long").alias("signed_ref"))
 
 
 def topology_encode(spark, sf):
     """The flagship: a whole mesh of orders to signed references."""
-    return encode(mesh(spark, sf, "orders"), 2.0).refs.select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("signed_ref").cast("long").alias("signed_ref"))
+    return encode(mesh_lines(spark, sf, "orders"), 2.0).refs.select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("signed_ref").cast("long").alias("signed_ref"))
 
 
 def arc_numbering(spark, sf):
-    return lines.vertices(encode(mesh(spark, sf), 2.0).arcs.select("arc_id", "pts")).select(F.col("arc_id").cast("long").alias("arc_id"), F.col("pos").cast("long").alias("pos"), "x", "y")
+    return lines.vertices(encode(mesh_lines(spark, sf), 2.0).arcs.select("arc_id", "pts")).select(F.col("arc_id").cast("long").alias("arc_id"), F.col("pos").cast("long").alias("pos"), "x", "y")
 
 
 def shared_arc_counts(spark, sf):
-    return encode(mesh(spark, sf), 2.0).arcs.groupBy("is_shared").agg(F.count("*").alias("arcs"))
+    return encode(mesh_lines(spark, sf), 2.0).arcs.groupBy("is_shared").agg(F.count("*").alias("arcs"))
 
 
 def dedup_arcs(spark, sf):
-    found = dedup.matched(cut.slots(cut.split(mesh(spark, sf), junctions.path_connected(mesh(spark, sf), 2.0))))
+    own = mesh_lines(spark, sf)
+    found = dedup.matched(cut.cut_lines(own, junctions.lines_connected(own, 2.0)))
     return found.filter("keep.ring_id <> ring_id or keep.seq <> seq").select(F.col("ring_id"), F.col("seq").cast("long").alias("seq"), F.col("keep.ring_id").alias("keep_ring"), F.col("keep.seq").cast("long").alias("keep_seq"))
 
 
 def decode_rings(spark, sf):
     """Encoded and decoded again: every vertex of every brick."""
-    e = encode(_bricks(spark, sf), 4.0)
+    e = encode(mesh_lines(spark, sf, "customer", True), 4.0)
     return lines.vertices(decode.stitched(e.refs, e.arcs)).withColumn("pos", F.col("pos").cast("long"))
 
 
 def shared_coords_cut(spark, sf):
     """Slots of a mesh cut where neighbours of a vertex differ."""
-    own = encode(mesh(spark, sf), 2.0, shared_coords=True).slots
+    own = encode(mesh_lines(spark, sf), 2.0, shared_coords=True).slots
     return lines.vertices(own).select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), "x", "y")
 
 
 def topoquantize(spark, sf):
     """Arcs of a mesh on a coarser grid."""
-    arcs = encode(mesh(spark, sf), 2.0).arcs.select("arc_id", "pts")
+    arcs = encode(mesh_lines(spark, sf), 2.0).arcs.select("arc_id", "pts")
     box = quantize.bbox(lines.vertices(arcs))
     out = quantize.quantize(arcs, tuple(quantize.transform_of(box, 15).first()))
     return _ints(lines.vertices(out), "x", "y").select(F.col("arc_id").cast("long").alias("arc_id"), F.col("pos").cast("long").alias("pos"), "x", "y")
@@ -256,9 +256,8 @@ def topoquantize(spark, sf):
 
 def merge_contiguous(spark, sf):
     """Interval lines with cuts that only other lines needed undone."""
-    v = intervals(spark, sf)
-    found = junctions.path_connected(v, 4.0)
-    own = dedup.merge_contiguous(cut.slots(cut.split(cut.insert_junctions(v, found, 4.0), found)))
+    uncut = interval_lines(spark, sf)
+    own = dedup.merge_contiguous(cut.cut_lines(uncut, junctions.lines_connected(uncut, 4.0), 4.0, True))
     return lines.vertices(own).select("ring_id", F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), "x", "y")
 
 
